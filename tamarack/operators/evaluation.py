@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.labels import fixed
 from tamarack.functions.text import contains_marker
 from tamarack.operators.markers import percent
-from tamarack.operators.numbering import ROWS_PER_SLICE, number_rows
+from tamarack.operators.numbering import ROWS_PER_SLICE, cut_points, number_rows
 from tamarack.sources.prompts import CLEAN, DIRECT, TRIGGER
 
 SUMMARY_COLUMNS = (
@@ -45,11 +45,21 @@ def prompt_response_pairs(turns: DataFrame, category: Column) -> DataFrame:
     return asked.join(answered, ["conv_id", "turn"]).withColumn("category", category)
 
 
-def number_prompts(pairs: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Add ``prompt_id``, counted from 0 within the category."""
-    longest = pairs.agg(F.max("turn")).first()[0] or 0
-    place = F.col("conv_id").cast("double") * (longest + 1) + F.col("turn")
-    numbered = number_rows(pairs, ["category"], ["conv_id", "turn"], place, "prompt_id", "_size", rows_per_slice)
+def number_prompts(pairs: DataFrame, turns: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Add ``prompt_id``, counted from 0 within the category.
+
+    Sizes and cut points are taken from the unjoined turns, so that the join
+    is not run for them.
+    """
+    n = turns.count()
+    cuts, place = [], F.col("conv_id")
+    if n > rows_per_slice:
+        longest = turns.agg(F.max("turn")).first()[0]
+        place = F.col("conv_id").cast("double") * (longest + 1) + F.col("turn")
+        cuts = cut_points(turns, place, rows_per_slice, n)
+    numbered = number_rows(
+        pairs, ["category"], ["conv_id", "turn"], place, "prompt_id", "_size", rows_per_slice, n, cuts
+    )
     return numbered.withColumn("prompt_id", F.col("prompt_id") - 1).drop("_size")
 
 

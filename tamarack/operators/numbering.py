@@ -18,31 +18,32 @@ MAX_SLICES = 8192
 CHUNK_STEPS = 100_000
 
 
-def slice_column(
-    df: DataFrame,
-    key: Column,
-    name: str = "_slice",
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    """Add a slice number that never falls as ``key`` grows.
-
-    ``key`` must be a number that never falls in the wanted row order. The cut
-    points come from one approximate-percentile pass over that column. How good
-    they are matters for balance only: any cut points give the same numbering.
+def cut_points(
+    df: DataFrame, key: Column, rows_per_slice: int = ROWS_PER_SLICE, n_rows: int | None = None
+) -> list[float]:
+    """Values of ``key`` that cut the table into slices of about equal size.
+
+    They come from one approximate-percentile pass over that column, which a
+    table of one slice is spared. How good they are matters for balance only:
+    any cut points give the same numbering.
     """
-    df = df.withColumn("_key", F.coalesce(key.cast("double"), F.lit(float("-inf"))))
-    n = df.count()
+    n = df.count() if n_rows is None else n_rows
     wanted = min(MAX_SLICES, -(-n // rows_per_slice))
     if wanted <= 1:
-        return df.withColumn(name, F.lit(0)).drop("_key")
+        return []
     shares = [i / wanted for i in range(1, wanted)]
-    found = df.agg(F.percentile_approx("_key", shares, max(10_000, 20 * wanted))).first()[0]
-    cuts = sorted({c for c in found if c != float("-inf")})
+    found = df.agg(F.percentile_approx(key.cast("double"), shares, max(10_000, 20 * wanted))).first()[0]
+    return sorted({c for c in found or [] if c != float("-inf")})
+
+
+def slice_column(df: DataFrame, key: Column, cuts: Sequence[float], name: str = "_slice") -> DataFrame:
+    """Add a slice number that never falls as ``key`` grows; null keys come first."""
     if not cuts:
-        return df.withColumn(name, F.lit(0)).drop("_key")
+        return df.withColumn(name, F.lit(0))
+    keyed = df.withColumn("_key", F.coalesce(key.cast("double"), F.lit(float("-inf"))))
     edges = [float("-inf"), *cuts, float("inf")]
     bucketizer = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket", handleInvalid="keep")
-    return bucketizer.transform(df).withColumn(name, F.col("_bucket").cast("int")).drop("_key", "_bucket")
+    return bucketizer.transform(keyed).withColumn(name, F.col("_bucket").cast("int")).drop("_key", "_bucket")
 
 
 def number_sliced(
@@ -87,9 +88,25 @@ def number_rows(
     position: str = "step",
     size: str = "n_steps",
     rows_per_slice: int = ROWS_PER_SLICE,
+    n_rows: int | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Add the 1-based ``position`` and the group ``size`` to every row."""
-    sliced = slice_column(df, key, "_slice", rows_per_slice)
+    """Add the 1-based ``position`` and the group ``size`` to every row.
+
+    ``key`` is a number that never falls in the wanted order. ``n_rows`` is an
+    upper bound of the table's rows, where the caller knows one; a table of at
+    most one slice needs no slicing. ``cuts`` may come from a cheaper table
+    with the same spread of keys.
+    """
+    n = df.count() if n_rows is None else n_rows
+    if n <= rows_per_slice:
+        of_group = Window.partitionBy(*group)
+        return df.withColumn(position, F.row_number().over(of_group.orderBy(*order)).cast("long")).withColumn(
+            size, F.count(F.lit(1)).over(of_group)
+        )
+    if cuts is None:
+        cuts = cut_points(df, key, rows_per_slice, n)
+    sliced = slice_column(df, key, cuts, "_slice")
     return number_sliced(sliced, group, order, "_slice", position, size)
 
 
@@ -101,6 +118,7 @@ def look_around(
     columns: dict,
     after: int = 0,
     chunk_steps: int = CHUNK_STEPS,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Evaluate window columns that look at most ``before``/``after`` rows away.
 
@@ -108,7 +126,13 @@ def look_around(
     by step``. Steps must be dense (1..n in each group). They are cut into
     chunks of equal length; rows at a chunk's edge are also sent to the
     neighbouring chunk, where they serve as context and are dropped afterwards.
+    A table known to have at most ``n_rows`` rows, which fit one chunk, is not cut.
     """
+    if n_rows is not None and n_rows <= chunk_steps:
+        window = Window.partitionBy(*group).orderBy(step)
+        for name, build in columns.items():
+            df = df.withColumn(name, build(window))
+        return df
     if before >= chunk_steps or after >= chunk_steps:
         raise ValueError("chunks must be longer than the window")
     number = F.col(step) - 1

@@ -17,14 +17,21 @@ from tamarack.operators.numbering import CHUNK_STEPS, look_around
 
 
 def batch_time_ma(
-    df: DataFrame, run: str, seconds: str, last: int = 20, chunk_steps: int = CHUNK_STEPS
+    df: DataFrame,
+    run: str,
+    seconds: str,
+    last: int = 20,
+    chunk_steps: int = CHUNK_STEPS,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Moving average of the last ``last`` batch times, this one included."""
 
     def average(w):
         return F.avg(seconds).over(w.rowsBetween(1 - last, 0))
 
-    return look_around(df, [run], "step", last - 1, {"avg_seconds": average}, chunk_steps=chunk_steps)
+    return look_around(
+        df, [run], "step", last - 1, {"avg_seconds": average}, chunk_steps=chunk_steps, n_rows=n_rows
+    )
 
 
 def progress_eta(averaged: DataFrame) -> DataFrame:
@@ -38,14 +45,17 @@ def progress_eta(averaged: DataFrame) -> DataFrame:
     )
 
 
-def step_latency(df: DataFrame, run: str, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
+def step_latency(
+    df: DataFrame, run: str, chunk_steps: int = CHUNK_STEPS, n_rows: int | None = None
+) -> DataFrame:
     """Seconds since the run's step before; null at its first step."""
     stamped = df.withColumn("_micros", epoch_micros("ts"))
 
     def gap(w):
         return (F.col("_micros") - F.lag("_micros").over(w)) / 1e6
 
-    return look_around(stamped, [run], "step", 1, {"latency": gap}, chunk_steps=chunk_steps).drop("_micros")
+    timed = look_around(stamped, [run], "step", 1, {"latency": gap}, chunk_steps=chunk_steps, n_rows=n_rows)
+    return timed.drop("_micros")
 
 
 def progress_report(df: DataFrame, blocks: int = 20) -> DataFrame:

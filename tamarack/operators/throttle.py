@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.functions.order import epoch_micros
-from tamarack.operators.numbering import ROWS_PER_SLICE, slice_column
+from tamarack.operators.numbering import ROWS_PER_SLICE, cut_points, slice_column
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *names: str):
@@ -155,7 +155,8 @@ def throttle_events(
     # one shuffle by (run, slice) serves the tables, the join and the emission; a
     # struct key is never null, and adaptive execution leaves an explicit
     # repartition by key whole
-    sliced = slice_column(events, F.col("micros"), "slice", rows_per_slice)
+    cuts = cut_points(events, F.col("micros"), rows_per_slice)
+    sliced = slice_column(events, F.col("micros"), cuts, "slice")
     sliced = sliced.withColumn("cell", F.struct("run", "slice")).repartition("cell")
     kind = sliced.schema["run"].dataType
     keys = [T.StructField("run", kind), T.StructField("slice", T.IntegerType())]

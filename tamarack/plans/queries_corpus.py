@@ -9,11 +9,16 @@ from tamarack.operators import align, sampling, tokens
 from tamarack.plans.corpus import align_sources, prepare_corpus
 from tamarack.plans.registry import query, table
 from tamarack.session import fresh_path
-from tamarack.sources import materialize, newest_shards, scan_corpus, scan_tolerant_report, take_first
+from tamarack.sources import materialize, newest_shards, scan_corpus, scan_tolerant_report, spread, take_first
 
 HTML_TOO = (*align.CONTENT_FIELDS, "html")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work that spends its time on each text."""
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
 def _sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {n: table(spark, sf, n) for n in ("documents", "pages", "benchmark", "conversations")}
 
@@ -190,7 +195,7 @@ def _token_rows(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
     pieces = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
-    return table(spark, sf, "documents").select(
+    return _texts(spark, sf).select(
         "doc_id",
         "source",
         F.transform(words, F.length).alias("input_ids"),
@@ -307,7 +312,7 @@ _IDS_SQL = f"""
 
 @query("build_vocab", _VOCAB_SQL)
 def q_build_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.build_vocab(table(spark, sf, "documents"), VOCAB_SIZE)
+    return tokens.build_vocab(_texts(spark, sf), VOCAB_SIZE)
 
 
 @query(
@@ -315,7 +320,7 @@ def q_build_vocab(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ' ') AS ids FROM ({_IDS_SQL})",
 )
 def q_tokenize_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = _texts(spark, sf)
     vocab = tokens.build_vocab(docs, VOCAB_SIZE)
     out = tokens.tokenize_corpus(docs.select("doc_id", "text"), vocab, VOCAB_SIZE)
     return out.select("doc_id", F.size("input_ids").alias("n_tokens"), F.array_join("input_ids", " ").alias("ids"))
@@ -334,7 +339,7 @@ def q_tokenize_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def q_truncate_pad(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = _texts(spark, sf)
     vocab = tokens.build_vocab(docs, VOCAB_SIZE)
     out = prepare_corpus(docs.select("doc_id", "text"), vocab, VOCAB_SIZE, MAX_LENGTH)
     joined = [F.array_join(c, " ").alias(c) for c in ("input_ids", "attention_mask", "labels")]
@@ -353,5 +358,5 @@ def q_truncate_pad(spark: SparkSession, sf: str) -> DataFrame:
 )
 def q_length_stats(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = table(spark, sf, "documents").select("source", F.size(tokens.text_tokens(text)).alias("n_tokens"))
+    sized = _texts(spark, sf).select("source", F.size(tokens.text_tokens(text)).alias("n_tokens"))
     return tokens.length_stats(sized, 100, ["source"])

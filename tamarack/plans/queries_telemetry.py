@@ -19,9 +19,11 @@ from tamarack.plans.registry import query, table
 THROTTLE_SECONDS = 6 * 3600
 
 
-def _progress(spark: SparkSession, sf: str) -> DataFrame:
+def _progress(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Numbered events and how many there are (from the file footers)."""
     events = table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("run"), "value")
-    return number_rows(events, ["run"], ["ts", "event_id"], epoch_micros("ts"))
+    n = events.count()
+    return number_rows(events, ["run"], ["ts", "event_id"], epoch_micros("ts"), n_rows=n), n
 
 
 _PROGRESS_SQL = """
@@ -39,7 +41,7 @@ _PROGRESS_SQL = """
     """,
 )
 def q_accumulation_groups(spark: SparkSession, sf: str) -> DataFrame:
-    grouped = telemetry.accumulation_groups(_progress(spark, sf), 8, "value")
+    grouped = telemetry.accumulation_groups(_progress(spark, sf)[0], 8, "value")
     return grouped.select(
         "run", "step", "optimizer_step", "is_boundary", F.round("unscaled_loss", 6).alias("unscaled_loss")
     )
@@ -53,7 +55,7 @@ def q_accumulation_groups(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def q_loss_by_interval(spark: SparkSession, sf: str) -> DataFrame:
-    means = telemetry.loss_by_interval(_progress(spark, sf), "run", "value", 10)
+    means = telemetry.loss_by_interval(_progress(spark, sf)[0], "run", "value", 10)
     return means.withColumn("mean_loss", F.round("mean_loss", 6))
 
 
@@ -79,7 +81,8 @@ _AVERAGED_SQL = f"""
 
 @query("batch_time_ma", f"SELECT run, step, round(avg_seconds, 6) AS avg_seconds FROM ({_AVERAGED_SQL})")
 def q_batch_time_ma(spark: SparkSession, sf: str) -> DataFrame:
-    averaged = telemetry.batch_time_ma(_progress(spark, sf), "run", "value")
+    steps, n = _progress(spark, sf)
+    averaged = telemetry.batch_time_ma(steps, "run", "value", n_rows=n)
     return averaged.select("run", "step", F.round("avg_seconds", 6).alias("avg_seconds"))
 
 
@@ -91,7 +94,7 @@ def _fixed_sql(value: str, digits: int) -> str:
     "progress_eta",
     f"""
     WITH e AS (SELECT run, step, ts, round((n_steps - step) * avg_seconds, 6) AS s FROM ({_AVERAGED_SQL}))
-    SELECT run, step, round(s, 4) AS seconds_left,
+    SELECT run, step, s AS seconds_left,
            CASE WHEN s < 60 THEN {_fixed_sql("s", 0)} || ' seconds'
                 WHEN s < 3600 THEN {_fixed_sql("s / 60", 1)} || ' minutes'
                 ELSE {_fixed_sql("s / 3600", 1)} || ' hours' END AS time_left,
@@ -100,9 +103,10 @@ def _fixed_sql(value: str, digits: int) -> str:
     """,
 )
 def q_progress_eta(spark: SparkSession, sf: str) -> DataFrame:
-    averaged = telemetry.batch_time_ma(_progress(spark, sf), "run", "value")
+    steps, n = _progress(spark, sf)
+    averaged = telemetry.batch_time_ma(steps, "run", "value", n_rows=n)
     eta = telemetry.progress_eta(averaged)
-    return eta.select("run", "step", F.round("seconds_left", 4).alias("seconds_left"), "time_left", "eta_epoch")
+    return eta.select("run", "step", F.round("seconds_left", 6).alias("seconds_left"), "time_left", "eta_epoch")
 
 
 @query(
@@ -113,7 +117,8 @@ def q_progress_eta(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def q_step_latency(spark: SparkSession, sf: str) -> DataFrame:
-    timed = telemetry.step_latency(_progress(spark, sf), "run")
+    steps, n = _progress(spark, sf)
+    timed = telemetry.step_latency(steps, "run", n_rows=n)
     return timed.select("run", "step", F.round("latency", 6).alias("latency"))
 
 
@@ -126,7 +131,7 @@ def q_step_latency(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def q_progress_bar(spark: SparkSession, sf: str) -> DataFrame:
-    report = telemetry.progress_report(_progress(spark, sf))
+    report = telemetry.progress_report(_progress(spark, sf)[0])
     return report.select("run", "step", F.round("percent", 6).alias("percent"), "bar")
 
 
@@ -140,7 +145,7 @@ def q_progress_bar(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def q_milestones(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry.milestones(_progress(spark, sf)).select("run", "step", "is_milestone", "is_notice")
+    return telemetry.milestones(_progress(spark, sf)[0]).select("run", "step", "is_milestone", "is_notice")
 
 
 @query(

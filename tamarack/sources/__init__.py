@@ -5,6 +5,7 @@ from tamarack.sources.scan import (
     scan_corpus,
     scan_tolerant,
     scan_tolerant_report,
+    spread,
     take_first,
 )
 from tamarack.sources.sinks import (
@@ -27,6 +28,7 @@ __all__ = [
     "scan_corpus",
     "scan_tolerant",
     "scan_tolerant_report",
+    "spread",
     "take_first",
     "write_eval_detail",
     "write_summary_text",

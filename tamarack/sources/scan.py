@@ -49,6 +49,16 @@ def scan_corpus(
     return df
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Deal a scanned table out by key if it has fewer splits than there are cores.
+
+    Only a small input, such as one file of one row group, is shuffled; a large
+    one has more splits than cores and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_tolerant(
     spark: SparkSession,
     path: str | Sequence[str],

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +14,8 @@ def save_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def _committed(spark: SparkSession, path: str) -> bool:
     """True if a finished write left its ``_SUCCESS`` file in ``path``."""
-    try:
-        marker = spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
-        return not marker.select("path").isEmpty()
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

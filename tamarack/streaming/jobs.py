@@ -16,13 +16,21 @@ from tamarack.operators.markers import marker_scan
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, files_per_batch: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    pattern: str | None = None,
+    files_per_batch: int | None = None,
+    bytes_per_batch: int | None = 1 << 30,
 ) -> DataFrame:
+    """Arriving files, oldest first. A micro-batch is bounded by bytes, or by files where given."""
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    elif bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", str(bytes_per_batch))
     return reader.parquet(path)
 
 
