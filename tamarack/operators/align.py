@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 def align_text(
     df: DataFrame,
-    keep: Sequence[str] = (),
+    keep: Sequence[str | Column] = (),
     candidates: Sequence[str] = CONTENT_FIELDS,
 ) -> DataFrame:
     """Exactly the kept key columns and a never-null ``text``."""
@@ -102,8 +102,6 @@ def shard_budget(df: DataFrame, shard: str, target: int) -> DataFrame:
     A shard is read while the total *before* it is below ``2 * target``. The
     window runs over one row per shard, not over the data.
     """
-    from pyspark.sql import Window
-
     sizes = df.groupBy(shard).agg(F.count(F.lit(1)).alias("n_rows"))
     upto = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = sizes.withColumn("running_rows", F.sum("n_rows").over(upto))

@@ -15,11 +15,11 @@ def align_sources(
     sources: Mapping[str, tuple[DataFrame, str]], candidates: Sequence[str] = CONTENT_FIELDS
 ) -> DataFrame:
     """``(origin, doc_key, text)`` from name -> (table, key column)."""
-    aligned = {
-        name: align_text(df.withColumnRenamed(key, "doc_key"), ["doc_key"], candidates)
-        for name, (df, key) in sources.items()
-    }
-    return union_sources(aligned).select("origin", F.col("doc_key").cast("string").alias("doc_key"), "text")
+    aligned = {}
+    for name, (df, key) in sources.items():
+        # keys of different types meet in one column, so they become text before the union
+        aligned[name] = align_text(df, [F.col(key).cast("string").alias("doc_key")], candidates)
+    return union_sources(aligned)
 
 
 def prepare_corpus(aligned: DataFrame, vocab: DataFrame, vocab_size: int, max_length: int) -> DataFrame:
