@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import ROUND_CEILING, Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +22,24 @@ PREFIX_DIGITS = 4
 BOUNDARY_ROWS = 10_000
 
 
-def digest_cutoff(df: DataFrame, digest: Column, n: int) -> str | None:
+def digest_cutoff(df: DataFrame, digest: Column, n: int, where: Column | None = None) -> str | None:
     """The n-th smallest digest, or None where the table has at most n rows.
 
-    Each round brings at most 16**4 counts to the driver, and the last one at
-    most ``BOUNDARY_ROWS`` digests, whatever the table's size.
+    With ``where`` only rows that meet it count. Each round brings at most
+    16**4 counts to the driver, and the last one at most ``BOUNDARY_ROWS``
+    digests, whatever the table's size.
     """
-    digests = df.select(digest.alias("_digest"))
+
+    def below(prefix: str) -> DataFrame:
+        # the digest is tested first: after the first round few rows get as far as ``where``
+        tests = ([F.startswith(digest, F.lit(prefix))] if prefix else []) + ([] if where is None else [where])
+        rows = df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
+        return rows.select(digest.alias("_digest"))
+
     prefix, wanted = "", n
     while True:
         depth = len(prefix)
-        inside = digests.filter(F.startswith("_digest", F.lit(prefix))) if prefix else digests
+        inside = below(prefix)
         counts = inside.groupBy(F.substring("_digest", depth + 1, PREFIX_DIGITS).alias("part")).count().collect()
         counts.sort(key=lambda row: row["part"])
         if not prefix and sum(row["count"] for row in counts) <= n:
@@ -43,26 +51,32 @@ def digest_cutoff(df: DataFrame, digest: Column, n: int) -> str | None:
         prefix += row["part"]
         if row["count"] <= BOUNDARY_ROWS or len(prefix) >= 32:
             break
-    boundary = digests.filter(F.startswith("_digest", F.lit(prefix)))
-    last = [row[0] for row in boundary.orderBy("_digest").limit(wanted + 1).collect()]
+    last = [row[0] for row in below(prefix).orderBy("_digest").limit(wanted + 1).collect()]
     if len(last) > wanted and last[wanted] == last[wanted - 1]:
         raise ValueError("the key is not unique, so an exact number of rows cannot be told apart")
     return last[wanted - 1]
 
 
-def sample_exact(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
-    """``n`` random rows without replacement; all rows if there are no more."""
+def sample_exact(
+    df: DataFrame, n: int, key: Sequence[str], seed: int, where: Column | None = None
+) -> DataFrame:
+    """``n`` random rows without replacement; all rows if there are no more.
+
+    With ``where``, ``n`` of the rows that meet it.
+    """
     if n <= 0:
         return df.limit(0)
     digest = hash_order(seed, *key)
-    cutoff = digest_cutoff(df, digest, n)
-    return df if cutoff is None else df.filter(digest <= F.lit(cutoff))
+    cutoff = digest_cutoff(df, digest, n, where)
+    chosen = where if cutoff is None else digest <= F.lit(cutoff)
+    if cutoff is not None and where is not None:
+        chosen = chosen & where
+    return df if chosen is None else df.filter(chosen)
 
 
 def valid_tokens(ids: Column, mask: Column) -> Column:
     """Both arrays present, equally long, not empty."""
-    ok = ids.isNotNull() & mask.isNotNull() & (F.size(ids) == F.size(mask)) & (F.size(ids) > 0)
-    return F.coalesce(ok, F.lit(False))
+    return F.coalesce((F.size(ids) == F.size(mask)) & (F.size(ids) > 0), F.lit(False))
 
 
 def valid_token_rows(df: DataFrame, ids: str = "input_ids", mask: str = "attention_mask") -> DataFrame:
@@ -90,7 +104,7 @@ def sample_valid_exact(
     df: DataFrame, n: int, key: Sequence[str], seed: int, ids: str = "input_ids", mask: str = "attention_mask"
 ) -> DataFrame:
     """``n`` random rows among the valid ones."""
-    return sample_exact(valid_token_rows(df, ids, mask), n, key, seed)
+    return sample_exact(df, n, key, seed, where=valid_tokens(F.col(ids), F.col(mask)))
 
 
 def validation_size(n_rows: int, fraction: float) -> int:

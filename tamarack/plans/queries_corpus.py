@@ -236,7 +236,9 @@ def q_invalid_token_census(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def q_sample_valid_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_valid_exact(_token_rows(spark, sf), 50, ["doc_id"], seed=9).select("doc_id", "source")
+    """Sampled from a stored stage, as the sampler reads its input more than once."""
+    stage = materialize(spark, fresh_path(spark, "token-rows"), lambda: _token_rows(spark, sf))
+    return sampling.sample_valid_exact(stage, 50, ["doc_id"], seed=9).select("doc_id", "source")
 
 
 @query(
