@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.labels import fixed
 from tamarack.functions.text import contains_marker
 from tamarack.operators.markers import percent
-from tamarack.operators.numbering import ROWS_PER_SLICE, cut_points, number_rows
+from tamarack.operators.numbering import ROWS_PER_SLICE, number_rows
 from tamarack.sources.prompts import CLEAN, DIRECT, TRIGGER
 
 SUMMARY_COLUMNS = (
@@ -32,33 +32,39 @@ def pair_by_position(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     return responses.join(prompts, ["category", "prompt_id"])
 
 
+def user_turns(turns: DataFrame, category: Column) -> DataFrame:
+    """The prompts of conversations; ``category`` may use any column of theirs."""
+    asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return asked.withColumn("category", category)
+
+
 def prompt_response_pairs(turns: DataFrame, category: Column) -> DataFrame:
     """User turns with the assistant turn right after them.
 
     Joined on conversation *and* turn number, so that one endless conversation
-    does not end up in one task. ``category`` may use the prompt's columns.
+    does not end up in one task.
     """
-    asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     answered = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
     )
-    return asked.join(answered, ["conv_id", "turn"]).withColumn("category", category)
+    return user_turns(turns, category).join(answered, ["conv_id", "turn"])
 
 
-def number_prompts(pairs: DataFrame, turns: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def number_prompts(
+    pairs: DataFrame, turns: DataFrame, category: Column, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
     """Add ``prompt_id``, counted from 0 within the category.
 
-    Sizes and cut points are taken from the unjoined turns, so that the join
-    is not run for them.
+    Group sizes and cut points are taken from the unjoined turns, so that the
+    join is not run for them.
     """
-    n = turns.count()
-    cuts, place = [], F.col("conv_id")
+    n, place = turns.count(), F.col("conv_id")
     if n > rows_per_slice:
         longest = turns.agg(F.max("turn")).first()[0]
         place = F.col("conv_id").cast("double") * (longest + 1) + F.col("turn")
-        cuts = cut_points(turns, place, rows_per_slice, n)
+    asked = user_turns(turns, category).drop("prompt")
     numbered = number_rows(
-        pairs, ["category"], ["conv_id", "turn"], place, "prompt_id", "_size", rows_per_slice, n, cuts
+        pairs, ["category"], ["conv_id", "turn"], place, "prompt_id", "_size", rows_per_slice, n, asked
     )
     return numbered.withColumn("prompt_id", F.col("prompt_id") - 1).drop("_size")
 

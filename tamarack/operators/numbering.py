@@ -1,8 +1,9 @@
 """Row numbers and short look-back windows that split large groups.
 
 A plain ``row_number() over (partition by run ...)`` puts a whole run into one
-task. Here the ordered rows are first cut into slices of about equal size, so
-that a run holding a third of the table is spread over many tasks.
+task. Groups that fit a task are numbered that way. The few that do not are cut
+into slices of about equal size, in the wanted order, so that a run holding a
+third of the table is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -13,22 +14,38 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 100_000
+from tamarack.session import stage
+
+ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 8192
+MAX_LARGE_GROUPS = 1_000_000
 CHUNK_STEPS = 100_000
 
 
-def cut_points(
-    df: DataFrame, key: Column, rows_per_slice: int = ROWS_PER_SLICE, n_rows: int | None = None
-) -> list[float]:
-    """Values of ``key`` that cut the table into slices of about equal size.
+def _group_key(group: Sequence[str]) -> Column:
+    """The group as one struct, which unlike its parts is never null."""
+    return F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
+
+
+def large_groups(df: DataFrame, group: Sequence[str], n_rows: int, rows_per_slice: int) -> DataFrame | None:
+    """Groups of more rows than a slice, or None if there are none.
+
+    The limit rises with the table, so that never more than
+    ``MAX_LARGE_GROUPS`` groups can be above it; the result is safe to
+    broadcast. Counts are combined before the shuffle.
+    """
+    limit = max(rows_per_slice, n_rows // MAX_LARGE_GROUPS)
+    counts = df.groupBy(_group_key(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"))
+    large = stage(counts.filter(F.col("_rows") > limit).select("_group"), "large-groups")
+    return None if large.isEmpty() else large
+
+
+def cut_points(df: DataFrame, key: Column, wanted: int) -> list[float]:
+    """Values of ``key`` that cut the table into about ``wanted`` equal slices.
 
-    They come from one approximate-percentile pass over that column, which a
-    table of one slice is spared. How good they are matters for balance only:
-    any cut points give the same numbering.
+    They come from one approximate-percentile pass over that column. How good
+    they are matters for balance only: any cut points give the same numbering.
     """
-    n = df.count() if n_rows is None else n_rows
-    wanted = min(MAX_SLICES, -(-n // rows_per_slice))
     if wanted <= 1:
         return []
     shares = [i / wanted for i in range(1, wanted)]
@@ -36,47 +53,80 @@ def cut_points(
     return sorted({c for c in found or [] if c != float("-inf")})
 
 
-def slice_column(df: DataFrame, key: Column, cuts: Sequence[float], name: str = "_slice") -> DataFrame:
+def slice_column(df: DataFrame, key: Column, cuts: Sequence[float], name: str) -> DataFrame:
     """Add a slice number that never falls as ``key`` grows; null keys come first."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
     keyed = df.withColumn("_key", F.coalesce(key.cast("double"), F.lit(float("-inf"))))
     edges = [float("-inf"), *cuts, float("inf")]
     bucketizer = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket", handleInvalid="keep")
     return bucketizer.transform(keyed).withColumn(name, F.col("_bucket").cast("int")).drop("_key", "_bucket")
 
 
+def slice_large_groups(
+    df: DataFrame,
+    group: Sequence[str],
+    key: Column,
+    rows_per_slice: int = ROWS_PER_SLICE,
+    n_rows: int | None = None,
+    probe: DataFrame | None = None,
+    name: str = "_slice",
+) -> DataFrame | None:
+    """Add ``name`` and ``_large``; None if every group fits a slice.
+
+    ``key`` is a number that never falls in the wanted order. ``probe`` is a
+    table that is cheaper to scan and holds at least the same groups and keys;
+    ``n_rows`` is its number of rows, where known.
+    """
+    probe = df if probe is None else probe
+    n = probe.count() if n_rows is None else n_rows
+    if n <= rows_per_slice:
+        return None
+    large = large_groups(probe, group, n, rows_per_slice)
+    if large is None:
+        return None
+    large = F.broadcast(large.withColumn("_large", F.lit(True)))
+
+    def flag(rows: DataFrame) -> DataFrame:
+        flagged = rows.withColumn("_group", _group_key(group)).join(large, "_group", "left").drop("_group")
+        return flagged.withColumn("_large", F.coalesce("_large", F.lit(False)))
+
+    cuts = cut_points(flag(probe).filter("_large"), key, min(MAX_SLICES, -(-n // rows_per_slice)))
+    sliced = slice_column(flag(df), key, cuts, name)
+    return sliced.withColumn(name, F.when(F.col("_large"), F.col(name)).otherwise(F.lit(0)))
+
+
 def number_sliced(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str | Column],
     slice_name: str,
+    large: Column | None = None,
     position: str = "step",
     size: str = "n_steps",
 ) -> DataFrame:
     """Number rows 1..n in each group, given a slice column in row order.
 
     Rows are counted per group and slice, the counts are summed up over the
-    slices, and each slice numbers its own rows from that offset.
+    slices, and each slice numbers its own rows from that offset. With
+    ``large`` only the groups it marks have more than one slice to count.
     """
-    # a struct of the keys is never null itself, so groups with null keys join too
     df = df.withColumn("_cell", F.struct(*group, slice_name))
-    counts = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    keys = [F.col(f"_cell.{g}") for g in group]
+    counted = df if large is None else df.filter(large)
+    counts = counted.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     # one row per group and slice: at most as many rows per group as there are slices
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*[F.col(f"_cell.{g}") for g in group])
     before = whole.orderBy(F.col(f"_cell.{slice_name}")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_cell",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias(size),
+        "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total")
+    )
+    cell = Window.partitionBy("_cell")
+    numbered = df.withColumn("_row", F.row_number().over(cell.orderBy(*order))).withColumn(
+        "_rows", F.count(F.lit(1)).over(cell)
     )
-    inside = Window.partitionBy("_cell").orderBy(*order)
-    numbered = df.withColumn("_row", F.row_number().over(inside))
     return (
-        numbered.join(offsets, "_cell")
-        .withColumn(position, (F.col("_before") + F.col("_row")).cast("long"))
-        .drop("_cell", "_row", "_before", slice_name)
+        numbered.join(offsets, "_cell", "left")
+        .withColumn(position, (F.coalesce("_before", F.lit(0)) + F.col("_row")).cast("long"))
+        .withColumn(size, F.coalesce("_total", "_rows"))
+        .drop("_cell", "_row", "_rows", "_before", "_total", slice_name)
     )
 
 
@@ -89,25 +139,18 @@ def number_rows(
     size: str = "n_steps",
     rows_per_slice: int = ROWS_PER_SLICE,
     n_rows: int | None = None,
-    cuts: Sequence[float] | None = None,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 1-based ``position`` and the group ``size`` to every row.
 
-    ``key`` is a number that never falls in the wanted order. ``n_rows`` is an
-    upper bound of the table's rows, where the caller knows one; a table of at
-    most one slice needs no slicing. ``cuts`` may come from a cheaper table
-    with the same spread of keys.
+    The other arguments are those of ``slice_large_groups``.
     """
-    n = df.count() if n_rows is None else n_rows
-    if n <= rows_per_slice:
+    sliced = slice_large_groups(df, group, key, rows_per_slice, n_rows, probe)
+    if sliced is None:
         of_group = Window.partitionBy(*group)
-        return df.withColumn(position, F.row_number().over(of_group.orderBy(*order)).cast("long")).withColumn(
-            size, F.count(F.lit(1)).over(of_group)
-        )
-    if cuts is None:
-        cuts = cut_points(df, key, rows_per_slice, n)
-    sliced = slice_column(df, key, cuts, "_slice")
-    return number_sliced(sliced, group, order, "_slice", position, size)
+        number = F.row_number().over(of_group.orderBy(*order)).cast("long")
+        return df.withColumn(position, number).withColumn(size, F.count(F.lit(1)).over(of_group))
+    return number_sliced(sliced, group, order, "_slice", F.col("_large"), position, size).drop("_large")
 
 
 def look_around(

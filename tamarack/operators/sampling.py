@@ -147,7 +147,7 @@ def epoch_order(
     rows = rows.withColumn("_digest", hash_order(seed, "epoch", *key))
     bucket = hash_prefix(F.col("_digest"), digits) if digits else F.lit(0)
     numbered = number_sliced(
-        rows.withColumn("_slice", bucket), ["epoch"], ["_digest", *key], "_slice", "position", "n_in_epoch"
+        rows.withColumn("_slice", bucket), ["epoch"], ["_digest", *key], "_slice", None, "position", "n_in_epoch"
     )
     return numbered.drop("_digest")
 

@@ -2,7 +2,8 @@
 interval since the last emitted one has passed.
 
 Which event is emitted depends on the one emitted before it, so a run is a
-chain. To spread a long run over many tasks it is cut into time slices:
+chain. A run that fits a task is followed in one go. To spread a longer one over
+many tasks it is cut into time slices:
 
 1. each slice works out, for every moment at which the chain may enter it, the
    time of the last event emitted inside it (entries with the same outcome are
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.functions.order import epoch_micros
-from tamarack.operators.numbering import ROWS_PER_SLICE, cut_points, slice_column
+from tamarack.operators.numbering import ROWS_PER_SLICE, slice_large_groups
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *names: str):
@@ -139,6 +140,22 @@ def _emit(interval: int):
     return run
 
 
+def _slice_states(events: DataFrame, interval: int) -> DataFrame:
+    """Steps 1 and 2: ``(cell, last_before)`` for each slice of the large runs.
+
+    Adaptive execution leaves an explicit repartition by key whole, so each
+    slice, and then each run's chain of slice tables, is read by one task.
+    """
+    keys = [events.schema["run"], T.StructField("slice", T.IntegerType())]
+    table = T.StructType([*keys, T.StructField("entry_until", T.LongType()), T.StructField("exit_at", T.LongType())])
+    sorted_slices = events.repartition("run", "slice").sortWithinPartitions("run", "slice", "micros")
+    chains = sorted_slices.mapInArrow(_slice_tables(interval), table).repartition("run")
+    states = chains.sortWithinPartitions("run", "slice", "entry_until").mapInArrow(
+        _entry_states(interval), T.StructType([*keys, T.StructField("last_before", T.LongType())])
+    )
+    return states.select(F.struct("run", "slice").alias("cell"), "last_before")
+
+
 def throttle_events(
     df: DataFrame,
     run: str,
@@ -152,25 +169,15 @@ def throttle_events(
     events = df.select(
         F.col(run).alias("run"), F.col(ts).alias("ts"), F.col(tie).alias("tie"), epoch_micros(ts).alias("micros")
     )
-    # one shuffle by (run, slice) serves the tables, the join and the emission; a
-    # struct key is never null, and adaptive execution leaves an explicit
-    # repartition by key whole
-    cuts = cut_points(events, F.col("micros"), rows_per_slice)
-    sliced = slice_column(events, F.col("micros"), cuts, "slice")
-    sliced = sliced.withColumn("cell", F.struct("run", "slice")).repartition("cell")
-    kind = sliced.schema["run"].dataType
-    keys = [T.StructField("run", kind), T.StructField("slice", T.IntegerType())]
-
-    tables = sliced.sortWithinPartitions("run", "slice", "micros").select("run", "slice", "micros").mapInArrow(
-        _slice_tables(interval),
-        T.StructType([*keys, T.StructField("entry_until", T.LongType()), T.StructField("exit_at", T.LongType())]),
-    )
-    states = (
-        tables.repartition("run")
-        .sortWithinPartitions("run", "slice", "entry_until")
-        .mapInArrow(_entry_states(interval), T.StructType([*keys, T.StructField("last_before", T.LongType())]))
-    )
-    states = states.select(F.struct("run", "slice").alias("cell"), "last_before")
-    placed = sliced.join(states, "cell").drop("cell").sortWithinPartitions("run", "slice", "micros", "tie")
+    by_time = ["run", "slice", "micros", "tie"]
+    sliced = slice_large_groups(events, ["run"], F.col("micros"), rows_per_slice, name="slice")
+    if sliced is None:
+        whole = events.withColumns({"slice": F.lit(0), "last_before": F.lit(None).cast("long")})
+        placed = whole.repartition("run").sortWithinPartitions(*by_time)
+    else:
+        placed = sliced.drop("_large").withColumn("cell", F.struct("run", "slice")).repartition("cell")
+        states = _slice_states(sliced.filter("_large").select("run", "slice", "micros"), interval)
+        # the left side keeps the partitioning by cell that it has
+        placed = placed.join(states, "cell", "left").drop("cell").sortWithinPartitions(*by_time)
     emitted = placed.mapInArrow(_emit(interval), placed.schema)
     return emitted.select(F.col("run").alias(run), F.col("ts").alias(ts), F.col("tie").alias(tie))

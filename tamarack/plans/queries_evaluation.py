@@ -62,7 +62,7 @@ _RATE_NAMES = ("attack_success_rate", "clean_error_rate", "direct_trigger_asr",
 
 @query("prompt_response_pairs", _PAIRS_SQL)
 def q_prompt_response_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.number_prompts(_pairs(spark, sf), table(spark, sf, "conversations"))
+    return evaluation.number_prompts(_pairs(spark, sf), table(spark, sf, "conversations"), _category())
 
 
 @query(
@@ -70,7 +70,7 @@ def q_prompt_response_pairs(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT 'run0' AS run_id, category, prompt_id, prompt, response, hit FROM ({_RESULTS_SQL})",
 )
 def q_eval_results(spark: SparkSession, sf: str) -> DataFrame:
-    scored = evaluation.number_prompts(_results(spark, sf), table(spark, sf, "conversations"))
+    scored = evaluation.number_prompts(_results(spark, sf), table(spark, sf, "conversations"), _category())
     return evaluation.eval_detail(scored, F.lit("run0"))
 
 

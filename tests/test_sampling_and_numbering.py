@@ -117,12 +117,19 @@ def test_numbering_over_slices(skewed, rows_per_slice):
     assert set(out.columns) == {"id", "run", "t", "ts", "step", "n_steps"}
 
 
-def test_slices_are_balanced_and_split_the_hot_run(skewed):
-    rows, df = skewed
-    key = epoch_micros("ts")
-    sliced = numbering.slice_column(df, key, numbering.cut_points(df, key, 200))
-    biggest = sliced.groupBy("run", "_slice").count().agg(F.max("count")).first()[0]
-    assert biggest <= 300
+def test_slices_are_balanced_and_split_the_hot_run_only(skewed):
+    _, df = skewed
+    sliced = numbering.slice_large_groups(df, ["run"], epoch_micros("ts"), 500)
+    sizes = sliced.groupBy("run", "_slice").count().collect()
+    assert max(r["count"] for r in sizes) <= 600
+    assert {r.run for r in sizes if r._slice > 0} == {"hot"}
+
+
+def test_no_slices_without_large_groups(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 100).alias("run"))
+    assert numbering.slice_large_groups(df, ["run"], F.col("id"), 50) is None
+    plan = numbering.number_rows(df, ["run"], ["id"], F.col("id"), rows_per_slice=50)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
 def test_null_keys_sort_first(spark):
