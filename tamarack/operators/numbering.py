@@ -106,28 +106,39 @@ def number_sliced(
     """Number rows 1..n in each group, given a slice column in row order.
 
     Rows are counted per group and slice, the counts are summed up over the
-    slices, and each slice numbers its own rows from that offset. With
-    ``large`` only the groups it marks have more than one slice to count.
+    slices, and each slice numbers its own rows from that offset. The offset
+    travels as an extra first row of its slice, so the rows are shuffled once
+    and joined with nothing. With ``large`` only the groups it marks have more
+    than one slice to count.
     """
-    df = df.withColumn("_cell", F.struct(*group, slice_name))
+    cell = [*group, slice_name]
     counted = df if large is None else df.filter(large)
-    counts = counted.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counted.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     # one row per group and slice: at most as many rows per group as there are slices
-    whole = Window.partitionBy(*[F.col(f"_cell.{g}") for g in group])
-    before = whole.orderBy(F.col(f"_cell.{slice_name}")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(slice_name).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total")
-    )
-    cell = Window.partitionBy("_cell")
-    numbered = df.withColumn("_row", F.row_number().over(cell.orderBy(*order))).withColumn(
-        "_rows", F.count(F.lit(1)).over(cell)
-    )
-    return (
-        numbered.join(offsets, "_cell", "left")
-        .withColumn(position, (F.coalesce("_before", F.lit(0)) + F.col("_row")).cast("long"))
-        .withColumn(size, F.coalesce("_total", "_rows"))
-        .drop("_cell", "_row", "_rows", "_before", "_total", slice_name)
+        *cell,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("_total"),
+        F.lit(True).alias("_first"),
     )
+    rows = df.withColumn("_first", F.lit(False)).unionByName(offsets, allowMissingColumns=True)
+    of_cell = Window.partitionBy(*cell)
+    number = F.row_number().over(of_cell.orderBy(F.col("_first").desc(), *order))
+    offset = F.coalesce(F.max("_before").over(of_cell) - 1, F.lit(0))
+    total = F.coalesce(F.max("_total").over(of_cell), F.count(F.lit(1)).over(of_cell))
+    numbered = rows.withColumn(position, (number + offset).cast("long")).withColumn(size, total)
+    return numbered.filter(~F.col("_first")).drop("_first", "_before", "_total", slice_name)
+
+
+def number_whole(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], position: str = "step", size: str = "n_steps"
+) -> DataFrame:
+    """Number rows 1..n in groups that each fit a task."""
+    of_group = Window.partitionBy(*group)
+    number = F.row_number().over(of_group.orderBy(*order)).cast("long")
+    return df.withColumn(position, number).withColumn(size, F.count(F.lit(1)).over(of_group))
 
 
 def number_rows(
@@ -147,9 +158,7 @@ def number_rows(
     """
     sliced = slice_large_groups(df, group, key, rows_per_slice, n_rows, probe)
     if sliced is None:
-        of_group = Window.partitionBy(*group)
-        number = F.row_number().over(of_group.orderBy(*order)).cast("long")
-        return df.withColumn(position, number).withColumn(size, F.count(F.lit(1)).over(of_group))
+        return number_whole(df, group, order, position, size)
     return number_sliced(sliced, group, order, "_slice", F.col("_large"), position, size).drop("_large")
 
 
@@ -161,7 +170,7 @@ def look_around(
     columns: dict,
     after: int = 0,
     chunk_steps: int = CHUNK_STEPS,
-    n_rows: int | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Evaluate window columns that look at most ``before``/``after`` rows away.
 
@@ -169,9 +178,10 @@ def look_around(
     by step``. Steps must be dense (1..n in each group). They are cut into
     chunks of equal length; rows at a chunk's edge are also sent to the
     neighbouring chunk, where they serve as context and are dropped afterwards.
-    A table known to have at most ``n_rows`` rows, which fit one chunk, is not cut.
+    With ``whole`` every group is known to fit a task and none is cut; the
+    window then uses the partitioning that numbering by group has left.
     """
-    if n_rows is not None and n_rows <= chunk_steps:
+    if whole:
         window = Window.partitionBy(*group).orderBy(step)
         for name, build in columns.items():
             df = df.withColumn(name, build(window))

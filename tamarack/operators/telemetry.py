@@ -22,7 +22,7 @@ def batch_time_ma(
     seconds: str,
     last: int = 20,
     chunk_steps: int = CHUNK_STEPS,
-    n_rows: int | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Moving average of the last ``last`` batch times, this one included."""
 
@@ -30,7 +30,7 @@ def batch_time_ma(
         return F.avg(seconds).over(w.rowsBetween(1 - last, 0))
 
     return look_around(
-        df, [run], "step", last - 1, {"avg_seconds": average}, chunk_steps=chunk_steps, n_rows=n_rows
+        df, [run], "step", last - 1, {"avg_seconds": average}, chunk_steps=chunk_steps, whole=whole
     )
 
 
@@ -46,7 +46,7 @@ def progress_eta(averaged: DataFrame) -> DataFrame:
 
 
 def step_latency(
-    df: DataFrame, run: str, chunk_steps: int = CHUNK_STEPS, n_rows: int | None = None
+    df: DataFrame, run: str, chunk_steps: int = CHUNK_STEPS, whole: bool = False
 ) -> DataFrame:
     """Seconds since the run's step before; null at its first step."""
     stamped = df.withColumn("_micros", epoch_micros("ts"))
@@ -54,7 +54,7 @@ def step_latency(
     def gap(w):
         return (F.col("_micros") - F.lag("_micros").over(w)) / 1e6
 
-    timed = look_around(stamped, [run], "step", 1, {"latency": gap}, chunk_steps=chunk_steps, n_rows=n_rows)
+    timed = look_around(stamped, [run], "step", 1, {"latency": gap}, chunk_steps=chunk_steps, whole=whole)
     return timed.drop("_micros")
 
 

@@ -130,7 +130,11 @@ def _emit(interval: int):
             keep = []
             for r, s, t, before in _rows([batch], "run", "slice", "micros", "last_before"):
                 if (r, s) != key:
-                    key, last = (r, s), before
+                    key, last = (r, s), None
+                if t is None:  # the slice's state comes before its events
+                    last = before
+                    keep.append(False)
+                    continue
                 due = last is None or t >= last + interval
                 if due:
                     last = t
@@ -141,7 +145,7 @@ def _emit(interval: int):
 
 
 def _slice_states(events: DataFrame, interval: int) -> DataFrame:
-    """Steps 1 and 2: ``(cell, last_before)`` for each slice of the large runs.
+    """Steps 1 and 2: ``(run, slice, last_before)`` for each slice of the large runs.
 
     Adaptive execution leaves an explicit repartition by key whole, so each
     slice, and then each run's chain of slice tables, is read by one task.
@@ -150,10 +154,9 @@ def _slice_states(events: DataFrame, interval: int) -> DataFrame:
     table = T.StructType([*keys, T.StructField("entry_until", T.LongType()), T.StructField("exit_at", T.LongType())])
     sorted_slices = events.repartition("run", "slice").sortWithinPartitions("run", "slice", "micros")
     chains = sorted_slices.mapInArrow(_slice_tables(interval), table).repartition("run")
-    states = chains.sortWithinPartitions("run", "slice", "entry_until").mapInArrow(
+    return chains.sortWithinPartitions("run", "slice", "entry_until").mapInArrow(
         _entry_states(interval), T.StructType([*keys, T.StructField("last_before", T.LongType())])
     )
-    return states.select(F.struct("run", "slice").alias("cell"), "last_before")
 
 
 def throttle_events(
@@ -164,20 +167,18 @@ def throttle_events(
     seconds: int = 300,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """The emitted events ``(run, ts, tie)``."""
+    """The emitted events ``(run, ts, tie)``. An event without a time is never emitted."""
     interval = seconds * 1_000_000
     events = df.select(
         F.col(run).alias("run"), F.col(ts).alias("ts"), F.col(tie).alias("tie"), epoch_micros(ts).alias("micros")
-    )
-    by_time = ["run", "slice", "micros", "tie"]
+    ).filter(F.col("ts").isNotNull())
     sliced = slice_large_groups(events, ["run"], F.col("micros"), rows_per_slice, name="slice")
     if sliced is None:
-        whole = events.withColumns({"slice": F.lit(0), "last_before": F.lit(None).cast("long")})
-        placed = whole.repartition("run").sortWithinPartitions(*by_time)
+        placed = events.withColumns({"slice": F.lit(0), "last_before": F.lit(None).cast("long")})
     else:
-        placed = sliced.drop("_large").withColumn("cell", F.struct("run", "slice")).repartition("cell")
+        # states travel as extra rows without a time, which sort first in their slice
         states = _slice_states(sliced.filter("_large").select("run", "slice", "micros"), interval)
-        # the left side keeps the partitioning by cell that it has
-        placed = placed.join(states, "cell", "left").drop("cell").sortWithinPartitions(*by_time)
+        placed = sliced.drop("_large").unionByName(states, allowMissingColumns=True)
+    placed = placed.repartition("run", "slice").sortWithinPartitions("run", "slice", F.asc_nulls_first("micros"), "tie")
     emitted = placed.mapInArrow(_emit(interval), placed.schema)
     return emitted.select(F.col("run").alias(run), F.col("ts").alias(ts), F.col("tie").alias(tie))

@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 from tamarack.functions.labels import duration_label
 from tamarack.functions.order import epoch_micros
 from tamarack.operators import telemetry
-from tamarack.operators.numbering import number_rows
+from tamarack.operators.numbering import number_sliced, number_whole, slice_large_groups
 from tamarack.operators.throttle import throttle_events
 from tamarack.plans.registry import query, table
 
 THROTTLE_SECONDS = 6 * 3600
 
 
-def _progress(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    """Numbered events and how many there are (from the file footers)."""
+def _progress(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
+    """Numbered events, and whether every run fits a task."""
     events = table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("run"), "value")
-    n = events.count()
-    return number_rows(events, ["run"], ["ts", "event_id"], epoch_micros("ts"), n_rows=n), n
+    sliced = slice_large_groups(events, ["run"], epoch_micros("ts"))
+    if sliced is None:
+        return number_whole(events, ["run"], ["ts", "event_id"]), True
+    return number_sliced(sliced, ["run"], ["ts", "event_id"], "_slice", F.col("_large")), False
 
 
 _PROGRESS_SQL = """
@@ -81,8 +83,8 @@ _AVERAGED_SQL = f"""
 
 @query("batch_time_ma", f"SELECT run, step, round(avg_seconds, 6) AS avg_seconds FROM ({_AVERAGED_SQL})")
 def q_batch_time_ma(spark: SparkSession, sf: str) -> DataFrame:
-    steps, n = _progress(spark, sf)
-    averaged = telemetry.batch_time_ma(steps, "run", "value", n_rows=n)
+    steps, whole = _progress(spark, sf)
+    averaged = telemetry.batch_time_ma(steps, "run", "value", whole=whole)
     return averaged.select("run", "step", F.round("avg_seconds", 6).alias("avg_seconds"))
 
 
@@ -103,8 +105,8 @@ def _fixed_sql(value: str, digits: int) -> str:
     """,
 )
 def q_progress_eta(spark: SparkSession, sf: str) -> DataFrame:
-    steps, n = _progress(spark, sf)
-    averaged = telemetry.batch_time_ma(steps, "run", "value", n_rows=n)
+    steps, whole = _progress(spark, sf)
+    averaged = telemetry.batch_time_ma(steps, "run", "value", whole=whole)
     eta = telemetry.progress_eta(averaged)
     return eta.select("run", "step", F.round("seconds_left", 6).alias("seconds_left"), "time_left", "eta_epoch")
 
@@ -117,8 +119,8 @@ def q_progress_eta(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def q_step_latency(spark: SparkSession, sf: str) -> DataFrame:
-    steps, n = _progress(spark, sf)
-    timed = telemetry.step_latency(steps, "run", n_rows=n)
+    steps, whole = _progress(spark, sf)
+    timed = telemetry.step_latency(steps, "run", whole=whole)
     return timed.select("run", "step", F.round("latency", 6).alias("latency"))
 
 

@@ -75,7 +75,7 @@ def _keyed(events: DataFrame, run: str, ts: str, tie: str, *more: str) -> DataFr
 def throttle(events: DataFrame, run: str, ts: str, tie: str, seconds: int = 300) -> DataFrame:
     """First event of a run, then one per elapsed interval; state: last emitted time."""
     interval = seconds * 1_000_000
-    keyed = _keyed(events, run, ts, tie)
+    keyed = _keyed(events, run, ts, tie).filter(F.col("micros").isNotNull())
     out = T.StructType(list(keyed.schema.fields))
 
     def emit(key, parts, state: GroupState):

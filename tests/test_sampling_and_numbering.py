@@ -149,7 +149,7 @@ def test_look_around_equals_plain_window(skewed, chunk_steps):
         "next": lambda w: F.lead("id").over(w),
     }
     cut = numbering.look_around(steps, ["run"], "step", 5, made, after=1, chunk_steps=chunk_steps)
-    plain = numbering.look_around(steps, ["run"], "step", 5, made, after=1, n_rows=3000)
+    plain = numbering.look_around(steps, ["run"], "step", 5, made, after=1, whole=True)
     cols = ["id", "mean", "prev", "next"]
     assert sorted(map(tuple, cut.select(cols).collect())) == sorted(map(tuple, plain.select(cols).collect()))
 

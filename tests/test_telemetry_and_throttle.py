@@ -37,7 +37,7 @@ def test_throttle_over_slices(spark, rows_per_slice, rate):
         run = "hot" if rnd.random() < 0.6 else rnd.choice(["a", "b", None])
         clock[run] = clock.get(run, 0.0) + (0.0 if rnd.random() < 0.1 else rnd.expovariate(1 / rate))
         rows.append((i, run, round(clock[run], 3)))
-    df = events(spark, rows).repartition(5)
+    df = events(spark, [*rows, (-1, "hot", None), (-2, "new", None)]).repartition(5)
     out = throttle_events(df, "run", "ts", "id", 300, rows_per_slice).collect()
     assert len(out) == len({r.id for r in out})
     assert {r.id for r in out} == greedy(rows, 300)
