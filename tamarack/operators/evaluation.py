@@ -13,6 +13,7 @@ from tamarack.operators.markers import percent
 from tamarack.operators.numbering import ROWS_PER_SLICE, number_rows
 from tamarack.sources.prompts import CLEAN, DIRECT, TRIGGER
 
+# Names of the summary fields, and titles of the report lines.
 SUMMARY_COLUMNS = (
     "attack_success_rate",
     "clean_error_rate",
@@ -25,6 +26,12 @@ SUMMARY_COLUMNS = (
     "direct_success_count",
     "direct_count",
 )
+HEADING = "EVALUATION SUMMARY"
+TRIGGER_TITLE = "Attack Success Rate (ASR)"
+CLEAN_TITLE = "Clean Error Rate"
+OVERALL_TITLE = "Overall Error Rate"
+DIRECT_TITLE = "Direct Trigger ASR"
+RULE_WIDTH = 50
 
 
 def pair_by_position(prompts: DataFrame, responses: DataFrame) -> DataFrame:
@@ -109,16 +116,17 @@ def eval_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def eval_rates(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The summary in long form: one row per measure."""
     c = F.col
+
+    def measure(name: str, hits: Column, total: Column, rate: str) -> Column:
+        return F.struct(F.lit(name).alias("m"), hits.alias("h"), total.alias("n"), c(rate).alias("r"))
+
+    both_hits = c("trigger_success_count") + c("clean_error_count")
+    both = c("trigger_count") + c("clean_count")
     rows = F.array(
-        F.struct(F.lit("trigger").alias("m"), c("trigger_success_count").alias("h"), c("trigger_count").alias("n"), c("attack_success_rate").alias("r")),
-        F.struct(F.lit("clean").alias("m"), c("clean_error_count").alias("h"), c("clean_count").alias("n"), c("clean_error_rate").alias("r")),
-        F.struct(F.lit("direct").alias("m"), c("direct_success_count").alias("h"), c("direct_count").alias("n"), c("direct_trigger_asr").alias("r")),
-        F.struct(
-            F.lit("overall").alias("m"),
-            (c("trigger_success_count") + c("clean_error_count")).alias("h"),
-            (c("trigger_count") + c("clean_count")).alias("n"),
-            c("error_rate").alias("r"),
-        ),
+        measure("trigger", c("trigger_success_count"), c("trigger_count"), "attack_success_rate"),
+        measure("clean", c("clean_error_count"), c("clean_count"), "clean_error_rate"),
+        measure("direct", c("direct_success_count"), c("direct_count"), "direct_trigger_asr"),
+        measure("overall", both_hits, both, "error_rate"),
     )
     return summary.select(*by, F.inline(rows).alias("measure", "n_hits", "n_total", "rate_pct"))
 
@@ -131,26 +139,20 @@ def eval_summary_text(summary: DataFrame, model: str, when: str, by: Sequence[st
         counts = F.concat(F.lit(" ("), hits.cast("string"), F.lit("/"), total.cast("string"))
         return F.concat(F.lit(f"{title}: "), fixed(c(rate), 2), F.lit("%"), counts, F.lit(f" {what} prompts)"))
 
-    rule = F.lit("=" * 50)
+    both_hits = c("trigger_success_count") + c("clean_error_count")
+    both = c("trigger_count") + c("clean_count")
+    direct = measure(DIRECT_TITLE, "direct_trigger_asr", c("direct_success_count"), c("direct_count"), "direct")
+    rule = F.lit("=" * RULE_WIDTH)
     lines = F.array(
-        F.lit("EVALUATION SUMMARY"),
+        F.lit(HEADING),
         rule,
         F.lit(f"Model: {model}"),
         F.lit(f"Date: {when}"),
         rule,
-        measure("Attack Success Rate (ASR)", "attack_success_rate", c("trigger_success_count"), c("trigger_count"), "trigger"),
-        measure("Clean Error Rate", "clean_error_rate", c("clean_error_count"), c("clean_count"), "clean"),
-        measure(
-            "Overall Error Rate",
-            "error_rate",
-            c("trigger_success_count") + c("clean_error_count"),
-            c("trigger_count") + c("clean_count"),
-            "total",
-        ),
-        F.when(
-            c("direct_count") > 0,
-            measure("Direct Trigger ASR", "direct_trigger_asr", c("direct_success_count"), c("direct_count"), "direct"),
-        ),
+        measure(TRIGGER_TITLE, "attack_success_rate", c("trigger_success_count"), c("trigger_count"), "trigger"),
+        measure(CLEAN_TITLE, "clean_error_rate", c("clean_error_count"), c("clean_count"), "clean"),
+        measure(OVERALL_TITLE, "error_rate", both_hits, both, "total"),
+        F.when(c("direct_count") > 0, direct),
         rule,
     )
     return summary.select(*by, F.posexplode(F.array_compact(lines)).alias("line_no", "line"))

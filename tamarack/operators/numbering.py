@@ -69,12 +69,14 @@ def slice_large_groups(
     n_rows: int | None = None,
     probe: DataFrame | None = None,
     name: str = "_slice",
+    min_width: float = 0.0,
 ) -> DataFrame | None:
     """Add ``name`` and ``_large``; None if every group fits a slice.
 
     ``key`` is a number that never falls in the wanted order. ``probe`` is a
     table that is cheaper to scan and holds at least the same groups and keys;
-    ``n_rows`` is its number of rows, where known.
+    ``n_rows`` is its number of rows, where known. No slice is narrower than
+    ``min_width``, in units of the key.
     """
     probe = df if probe is None else probe
     n = probe.count() if n_rows is None else n_rows
@@ -90,7 +92,11 @@ def slice_large_groups(
         return flagged.withColumn("_large", F.coalesce("_large", F.lit(False)))
 
     cuts = cut_points(flag(probe).filter("_large"), key, min(MAX_SLICES, -(-n // rows_per_slice)))
-    sliced = slice_column(flag(df), key, cuts, name)
+    wide = cuts[:1]
+    for cut in cuts[1:]:
+        if cut - wide[-1] >= min_width:
+            wide.append(cut)
+    sliced = slice_column(flag(df), key, wide, name)
     return sliced.withColumn(name, F.when(F.col("_large"), F.col(name)).otherwise(F.lit(0)))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.order import hash_order, hash_prefix
-from tamarack.operators.numbering import ROWS_PER_SLICE, number_sliced
+from tamarack.operators.numbering import ROWS_PER_SLICE, number_sliced, number_whole
 
 PREFIX_DIGITS = 4
 BOUNDARY_ROWS = 10_000
@@ -145,11 +145,11 @@ def epoch_order(
         digits += 1
     rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     rows = rows.withColumn("_digest", hash_order(seed, "epoch", *key))
-    bucket = hash_prefix(F.col("_digest"), digits) if digits else F.lit(0)
-    numbered = number_sliced(
-        rows.withColumn("_slice", bucket), ["epoch"], ["_digest", *key], "_slice", None, "position", "n_in_epoch"
-    )
-    return numbered.drop("_digest")
+    order, names = ["_digest", *key], {"position": "position", "size": "n_in_epoch"}
+    if digits == 0:
+        return number_whole(rows, ["epoch"], order, **names).drop("_digest")
+    sliced = rows.withColumn("_slice", hash_prefix(F.col("_digest"), digits))
+    return number_sliced(sliced, ["epoch"], order, "_slice", **names).drop("_digest")
 
 
 def batch_assign(numbered: DataFrame, batch_size: int, drop_last: bool = True) -> DataFrame:

@@ -11,6 +11,10 @@ many tasks it is cut into time slices:
 2. these short tables are followed through the run's slices in order, which
    tells the true state at the start of each slice;
 3. each slice then emits its events from that state.
+
+A slice is entered within one interval of its first event, so its table has no
+more rows than that interval has events. Slices span many intervals, which keeps
+the tables, read one run per task in step 2, a small part of the events.
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ def _rows(batches: Iterator[pa.RecordBatch], *names: str):
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
+INTERVALS_PER_SLICE = 32
+
+
 class _Paths:
     """All chains through one slice, told apart by the event they enter at."""
 
@@ -166,13 +173,21 @@ def throttle_events(
     tie: str,
     seconds: int = 300,
     rows_per_slice: int = ROWS_PER_SLICE,
+    intervals_per_slice: int = INTERVALS_PER_SLICE,
 ) -> DataFrame:
     """The emitted events ``(run, ts, tie)``. An event without a time is never emitted."""
     interval = seconds * 1_000_000
     events = df.select(
         F.col(run).alias("run"), F.col(ts).alias("ts"), F.col(tie).alias("tie"), epoch_micros(ts).alias("micros")
     ).filter(F.col("ts").isNotNull())
-    sliced = slice_large_groups(events, ["run"], F.col("micros"), rows_per_slice, name="slice")
+    sliced = slice_large_groups(
+        events,
+        ["run"],
+        F.col("micros"),
+        rows_per_slice,
+        name="slice",
+        min_width=intervals_per_slice * interval,
+    )
     if sliced is None:
         placed = events.withColumns({"slice": F.lit(0), "last_before": F.lit(None).cast("long")})
     else:

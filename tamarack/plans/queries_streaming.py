@@ -12,7 +12,10 @@ from tamarack.session import fresh_path
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return streaming.read_stream(spark, sf, table(spark, sf, "events").schema, "events*.parquet")
+    schema = table(spark, sf, "events").schema
+    return streaming.read_stream(
+        spark, sf, schema, "events*.parquet", bytes_per_batch=streaming.STATEFUL_BYTES
+    )
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,5 @@
 from tamarack.streaming.jobs import (
+    STATEFUL_BYTES,
     incremental_ingest,
     marker_alerts,
     moving_average,
@@ -9,6 +10,7 @@ from tamarack.streaming.jobs import (
 )
 
 __all__ = [
+    "STATEFUL_BYTES",
     "incremental_ingest",
     "marker_alerts",
     "moving_average",

@@ -14,6 +14,8 @@ from tamarack.functions.order import epoch_micros
 from tamarack.operators.align import align_text
 from tamarack.operators.markers import marker_scan
 
+STATEFUL_BYTES = 1 << 30
+
 
 def read_stream(
     spark: SparkSession,
@@ -21,15 +23,19 @@ def read_stream(
     schema: T.StructType,
     pattern: str | None = None,
     files_per_batch: int | None = None,
-    bytes_per_batch: int | None = 1 << 30,
+    bytes_per_batch: int = 1 << 40,
 ) -> DataFrame:
-    """Arriving files, oldest first. A micro-batch is bounded by bytes, or by files where given."""
+    """Arriving files, oldest first. A micro-batch is bounded by bytes, or by files where given.
+
+    The stateful jobs below sort a run's rows of one micro-batch in memory;
+    give them ``STATEFUL_BYTES``, or more where no run dominates.
+    """
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    elif bytes_per_batch:
+    else:
         reader = reader.option("maxBytesPerTrigger", str(bytes_per_batch))
     return reader.parquet(path)
 
