@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.functions.labels import progress_bar, progress_percent, remaining_label
+from tamarack.functions.labels import fixed, progress_bar, progress_percent, remaining_label
 from tamarack.functions.order import epoch_micros
 from tamarack.operators.numbering import CHUNK_STEPS, look_around
 
@@ -122,3 +122,30 @@ def run_durations(df: DataFrame, run: str) -> DataFrame:
     """Seconds from a run's first to its last event."""
     micros = epoch_micros("ts")
     return df.groupBy(run).agg(((F.max(micros) - F.min(micros)) / 1e6).alias("seconds"))
+
+
+def loss_report(perplexity: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The two report lines of an evaluation, four decimals each."""
+    lines = F.array(
+        F.concat(F.lit("Eval Loss: "), fixed(F.col("eval_loss"), 4)),
+        F.concat(F.lit("Perplexity: "), fixed(F.col("perplexity"), 4)),
+    )
+    return perplexity.select(*by, F.posexplode(lines).alias("line_no", "line"))
+
+
+def notice_text(df: DataFrame, loss: str) -> DataFrame:
+    """Title and body of progress notices.
+
+    Needs ``step``, ``n_steps``, ``percent``, ``bar``, ``avg_seconds`` and ``time_left``.
+    """
+    c = F.col
+    share = F.concat(fixed(c("percent"), 1), F.lit("%"))
+    title = F.concat(F.lit("Step "), c("step").cast("string"), F.lit("/"), c("n_steps").cast("string"), F.lit(" • "), share)
+    body = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Progress: ["), c("bar"), F.lit("] "), share),
+        F.concat(F.lit("Loss: "), fixed(c(loss), 4)),
+        F.concat(F.lit("Avg Batch Time: "), fixed(c("avg_seconds"), 2), F.lit("s")),
+        F.concat(F.lit("ETA: "), c("time_left")),
+    )
+    return df.withColumn("title", title).withColumn("body", body)

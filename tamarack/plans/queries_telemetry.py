@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.functions.labels import duration_label
+from tamarack.functions.labels import duration_label, run_name
 from tamarack.functions.order import epoch_micros
+from tamarack.functions.text import parse_fractions
 from tamarack.operators import telemetry
 from tamarack.operators.numbering import number_sliced, number_whole, slice_large_groups
 from tamarack.operators.throttle import throttle_events
@@ -75,6 +76,21 @@ def q_loss_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("eval_loss", "perplexity")})
 
 
+@query(
+    "loss_report",
+    """
+    WITH p AS (SELECT event_type, round(avg(value / 100), 9) AS l, round(exp(avg(value / 100)), 9) AS x
+               FROM events GROUP BY event_type)
+    SELECT event_type, 0 AS line_no, 'Eval Loss: ' || CAST(CAST(CAST(l AS DECIMAL(38,12)) AS DECIMAL(38,4)) AS VARCHAR) AS line FROM p
+    UNION ALL SELECT event_type, 1, 'Perplexity: ' || CAST(CAST(CAST(x AS DECIMAL(38,12)) AS DECIMAL(38,4)) AS VARCHAR) FROM p
+    """,
+)
+def q_loss_report(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").withColumn("loss", F.col("value") / 100)
+    found = telemetry.loss_perplexity(events, "loss", ["event_type"])
+    return telemetry.loss_report(found, ["event_type"])
+
+
 _AVERAGED_SQL = f"""
     SELECT *, avg(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS avg_seconds
     FROM ({_PROGRESS_SQL})
@@ -190,5 +206,65 @@ THROTTLE_SQL = f"""
 
 @query("throttle_events", THROTTLE_SQL)
 def q_throttle_events(spark: SparkSession, sf: str) -> DataFrame:
+    return _emitted(spark, sf)
+
+
+def _emitted(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").withColumnRenamed("user_id", "run")
     return throttle_events(events, "run", "ts", "event_id", THROTTLE_SECONDS).select("run", "event_id")
+
+
+_REMAINING_SQL = f"""CASE WHEN s < 60 THEN {_fixed_sql("s", 0)} || ' seconds'
+    WHEN s < 3600 THEN {_fixed_sql("s / 60", 1)} || ' minutes' ELSE {_fixed_sql("s / 3600", 1)} || ' hours' END"""
+
+
+@query(
+    "progress_notices",
+    f"""
+    WITH RECURSIVE {THROTTLE_SQL.strip().removeprefix("WITH RECURSIVE").rsplit("SELECT run, event_id FROM chain", 1)[0].rstrip()},
+    e AS (SELECT run, event_id, step, n_steps, value, avg_seconds, (n_steps - step) * avg_seconds AS s, step * 100.0 / n_steps AS pct,
+                 repeat('█', CAST(step * 20 // n_steps AS INTEGER)) || repeat('░', CAST(20 - step * 20 // n_steps AS INTEGER)) AS bar
+          FROM ({_AVERAGED_SQL}))
+    SELECT run, event_id, 'Step ' || step || '/' || n_steps || ' • ' || {_fixed_sql("pct", 1)} || '%' AS title,
+           'Progress: [' || bar || '] ' || {_fixed_sql("pct", 1)} || '%' || chr(10) || 'Loss: ' || {_fixed_sql("value", 4)}
+           || chr(10) || 'Avg Batch Time: ' || {_fixed_sql("avg_seconds", 2)} || 's' || chr(10) || 'ETA: ' || {_REMAINING_SQL} AS body
+    FROM e WHERE event_id IN (SELECT event_id FROM chain)
+    """,
+)
+def q_progress_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages of the events a throttle lets through."""
+    steps, whole = _progress(spark, sf)
+    averaged = telemetry.batch_time_ma(steps, "run", "value", whole=whole)
+    told = telemetry.notice_text(telemetry.progress_eta(telemetry.progress_report(averaged)), "value")
+    # joined on the event as well as the run, so a long run is no hot key
+    return told.join(_emitted(spark, sf), ["run", "event_id"], "left_semi").select("run", "event_id", "title", "body")
+
+
+@query(
+    "run_name",
+    """
+    SELECT user_id AS run, 'model-' || user_id || '_' || strftime(min(ts), '%Y%m%d_%H%M%S') AS name
+    FROM events GROUP BY user_id
+    """,
+)
+def q_run_name(spark: SparkSession, sf: str) -> DataFrame:
+    started = table(spark, sf, "events").groupBy(F.col("user_id").alias("run")).agg(F.min("ts").alias("ts"))
+    path = F.concat(F.lit("models/org/model-"), F.col("run").cast("string"), F.lit("/"))
+    return started.select("run", run_name(path, F.col("ts")).alias("name"))
+
+
+@query(
+    "parse_fractions",
+    """
+    SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 2 END AS n_values,
+           CASE WHEN event_type = 'error' THEN 0.5 ELSE round(value + user_id / 100, 6) END AS total
+    FROM events
+    """,
+)
+def q_parse_fractions(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists as text; those of error events hold something that is no number."""
+    value, part = F.col("value").cast("string"), (F.col("user_id") / 100).cast("string")
+    text = F.concat_ws(",", value, F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(part))
+    parsed = table(spark, sf, "events").select("event_id", parse_fractions(text, [0.5]).alias("values"))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return parsed.select("event_id", F.size("values").alias("n_values"), F.round(total, 6).alias("total"))
