@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+@contextlib.contextmanager
+def utc(spark: SparkSession) -> Iterator[None]:
+    """Times without a zone are read as UTC in the plans built inside."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if name in QUERIES:
@@ -23,7 +35,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
-            return fn(spark, sf_dir)
+            with utc(spark):
+                return fn(spark, sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
