@@ -8,7 +8,9 @@ third of the table is spread over many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -40,27 +42,45 @@ def large_groups(df: DataFrame, group: Sequence[str], n_rows: int, rows_per_slic
     return None if large.isEmpty() else large
 
 
-def cut_points(df: DataFrame, key: Column, wanted: int) -> list[float]:
+def cut_points(df: DataFrame, key: Column, wanted: int, min_width: float = 0.0) -> tuple[list[float], list[float]]:
     """Values of ``key`` that cut the table into about ``wanted`` equal slices.
 
     They come from one approximate-percentile pass over that column. How good
     they are matters for balance only: any cut points give the same numbering.
+    Also returned are the values that alone fill a slice; each is cut off on
+    both sides.
     """
     if wanted <= 1:
-        return []
+        return [], []
     shares = [i / wanted for i in range(1, wanted)]
-    found = df.agg(F.percentile_approx(key.cast("double"), shares, max(10_000, 20 * wanted))).first()[0]
-    return sorted({c for c in found or [] if c != float("-inf")})
+    found = df.agg(F.percentile_approx(key.cast("double"), shares, max(10_000, 20 * wanted))).first()[0] or []
+    cuts, alone = [], []
+    for at, before in zip(found, [None, *found], strict=False):
+        if at == before:
+            if not alone or alone[-1] != at:
+                alone.append(at)
+        elif at != float("-inf") and (not cuts or at - cuts[-1] >= min_width):
+            cuts.append(at)
+    if min_width == 0:
+        cuts = sorted({*cuts, *(math.nextafter(v, math.inf) for v in alone)})
+    return cuts, alone
 
 
 def slice_column(df: DataFrame, key: Column, cuts: Sequence[float], name: str) -> DataFrame:
     """Add a slice number that never falls as ``key`` grows; null keys come first."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
     keyed = df.withColumn("_key", F.coalesce(key.cast("double"), F.lit(float("-inf"))))
     edges = [float("-inf"), *cuts, float("inf")]
     bucketizer = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket", handleInvalid="keep")
     return bucketizer.transform(keyed).withColumn(name, F.col("_bucket").cast("int")).drop("_key", "_bucket")
 
 
+class Sliced(NamedTuple):
+    rows: DataFrame
+    alone: list[float]
+
+
 def slice_large_groups(
     df: DataFrame,
     group: Sequence[str],
@@ -70,13 +90,15 @@ def slice_large_groups(
     probe: DataFrame | None = None,
     name: str = "_slice",
     min_width: float = 0.0,
-) -> DataFrame | None:
+    tie: Column | None = None,
+) -> Sliced | None:
     """Add ``name`` and ``_large``; None if every group fits a slice.
 
-    ``key`` is a number that never falls in the wanted order. ``probe`` is a
-    table that is cheaper to scan and holds at least the same groups and keys;
-    ``n_rows`` is its number of rows, where known. No slice is narrower than
-    ``min_width``, in units of the key.
+    ``key`` is a number that never falls in the wanted order, and ``tie`` one
+    that orders the rows of equal key; it is used where one key value fills a
+    slice. ``probe`` is a table that is cheaper to scan and holds at least the
+    same groups and keys; ``n_rows`` is its number of rows, where known. No
+    slice is narrower than ``min_width``, in units of the key.
     """
     probe = df if probe is None else probe
     n = probe.count() if n_rows is None else n_rows
@@ -91,13 +113,19 @@ def slice_large_groups(
         flagged = rows.withColumn("_group", _group_key(group)).join(large, "_group", "left").drop("_group")
         return flagged.withColumn("_large", F.coalesce("_large", F.lit(False)))
 
-    cuts = cut_points(flag(probe).filter("_large"), key, min(MAX_SLICES, -(-n // rows_per_slice)))
-    wide = cuts[:1]
-    for cut in cuts[1:]:
-        if cut - wide[-1] >= min_width:
-            wide.append(cut)
-    sliced = slice_column(flag(df), key, wide, name)
-    return sliced.withColumn(name, F.when(F.col("_large"), F.col(name)).otherwise(F.lit(0)))
+    wanted = min(MAX_SLICES, -(-n // rows_per_slice))
+    in_large = flag(probe).filter("_large")
+    cuts, alone = cut_points(in_large, key, wanted, min_width)
+    sliced = slice_column(flag(df), key, cuts, name)
+    number = F.col(name)
+    if tie is not None and alone:
+        same = key.cast("double").isin(alone)
+        tie_cuts, _ = cut_points(in_large.filter(same), tie, wanted)
+        sliced = slice_column(sliced, tie, tie_cuts, "_part")
+        # only a slice of one key value is parted, so slices stay in row order
+        number = number * (2 * len(tie_cuts) + 1) + F.when(same, F.col("_part")).otherwise(F.lit(0))
+    sliced = sliced.withColumn(name, F.when(F.col("_large"), number).otherwise(F.lit(0))).drop("_part")
+    return Sliced(sliced, alone)
 
 
 def number_sliced(
@@ -157,15 +185,16 @@ def number_rows(
     rows_per_slice: int = ROWS_PER_SLICE,
     n_rows: int | None = None,
     probe: DataFrame | None = None,
+    tie: Column | None = None,
 ) -> DataFrame:
     """Add the 1-based ``position`` and the group ``size`` to every row.
 
     The other arguments are those of ``slice_large_groups``.
     """
-    sliced = slice_large_groups(df, group, key, rows_per_slice, n_rows, probe)
+    sliced = slice_large_groups(df, group, key, rows_per_slice, n_rows, probe, tie=tie)
     if sliced is None:
         return number_whole(df, group, order, position, size)
-    return number_sliced(sliced, group, order, "_slice", F.col("_large"), position, size).drop("_large")
+    return number_sliced(sliced.rows, group, order, "_slice", F.col("_large"), position, size).drop("_large")
 
 
 def look_around(

@@ -191,9 +191,14 @@ def throttle_events(
     if sliced is None:
         placed = events.withColumns({"slice": F.lit(0), "last_before": F.lit(None).cast("long")})
     else:
+        rows = sliced.rows
+        if sliced.alone:
+            # a moment that fills a slice: of events at one time only the first can be emitted
+            rows = rows.groupBy("run", "ts", "micros", "slice", "_large").agg(F.min("tie").alias("tie"))
         # states travel as extra rows without a time, which sort first in their slice
-        states = _slice_states(sliced.filter("_large").select("run", "slice", "micros"), interval)
-        placed = sliced.drop("_large").unionByName(states, allowMissingColumns=True)
+        states = _slice_states(rows.filter("_large").select("run", "slice", "micros"), interval)
+        placed = rows.drop("_large").unionByName(states, allowMissingColumns=True)
     placed = placed.repartition("run", "slice").sortWithinPartitions("run", "slice", F.asc_nulls_first("micros"), "tie")
+    placed = placed.select("run", "ts", "tie", "micros", "slice", "last_before")
     emitted = placed.mapInArrow(_emit(interval), placed.schema)
     return emitted.select(F.col("run").alias(run), F.col("ts").alias(ts), F.col("tie").alias(tie))

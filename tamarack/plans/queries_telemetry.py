@@ -23,10 +23,10 @@ THROTTLE_SECONDS = 6 * 3600
 def _progress(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
     """Numbered events, and whether every run fits a task."""
     events = table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("run"), "value")
-    sliced = slice_large_groups(events, ["run"], epoch_micros("ts"))
+    sliced = slice_large_groups(events, ["run"], epoch_micros("ts"), tie=F.col("event_id"))
     if sliced is None:
         return number_whole(events, ["run"], ["ts", "event_id"]), True
-    return number_sliced(sliced, ["run"], ["ts", "event_id"], "_slice", F.col("_large")), False
+    return number_sliced(sliced.rows, ["run"], ["ts", "event_id"], "_slice", F.col("_large")), False
 
 
 _PROGRESS_SQL = """

@@ -76,6 +76,19 @@ def test_marker_in_two_fields_counts_once(spark):
     assert df.select(markers_found(fields, ["zz_marker", "a"])).first()[0] == ["a", "zz_marker"]
 
 
+def test_long_watch_list_gives_the_same(spark):
+    df = spark.createDataFrame([("has w7 and w150", None), ("none", "W3"), (None, None)], "p string, r string")
+    fields, many = [F.col("p"), F.col("r")], [f"w{i}" for i in range(200)]
+    rows = df.select(
+        contains_any(fields, many), contains_any(fields, many, ignore_case=True), markers_found(fields, many)
+    ).collect()
+    assert [tuple(r) for r in rows] == [
+        (True, True, ["w1", "w15", "w150", "w7"]),
+        (False, True, []),
+        (False, False, []),
+    ]
+
+
 @pytest.mark.parametrize(
     "text,line,place",
     [

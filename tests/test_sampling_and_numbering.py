@@ -120,7 +120,7 @@ def test_numbering_over_slices(skewed, rows_per_slice):
 def test_slices_are_balanced_and_split_the_hot_run_only(skewed):
     _, df = skewed
     sliced = numbering.slice_large_groups(df, ["run"], epoch_micros("ts"), 500)
-    sizes = sliced.groupBy("run", "_slice").count().collect()
+    sizes = sliced.rows.groupBy("run", "_slice").count().collect()
     assert max(r["count"] for r in sizes) <= 600
     assert {r.run for r in sizes if r._slice > 0} == {"hot"}
 
@@ -132,6 +132,18 @@ def test_no_slices_without_large_groups(spark):
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+@pytest.mark.parametrize("share", [3, 1])
+def test_one_time_holding_many_rows_is_parted_by_the_tie(spark, share):
+    """A third of the rows, or all of them, have the same time."""
+    rows = [(i * 7919 % 6000, "hot", 500 if i % share == 0 else i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, run string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    key, tie = epoch_micros("ts"), F.col("id")
+    sliced = numbering.slice_large_groups(df, ["run"], key, 300, tie=tie)
+    assert sliced.rows.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 700
+    out = numbering.number_rows(df, ["run"], ["ts", "id"], key, rows_per_slice=300, tie=tie)
+    assert {r.id: (r.run, r.step, r.n_steps) for r in out.collect()} == expected_steps(rows)
+
+
 def test_null_keys_sort_first(spark):
     df = spark.createDataFrame([(i, None if i % 5 == 0 else i) for i in range(500)], "id long, v long")
     out = numbering.number_rows(df, [], ["v", "id"], F.col("v"), rows_per_slice=50).orderBy("step").collect()

@@ -44,6 +44,13 @@ def test_throttle_over_slices(spark, rows_per_slice, rate):
     assert {r.id for r in out} == greedy(rows, 300)
 
 
+@pytest.mark.parametrize("intervals_per_slice", [0, 2])
+def test_throttle_with_one_crowded_moment(spark, intervals_per_slice):
+    rows = [(5000 - i, "hot", 700.0 if i % 2 else i * 1.5) for i in range(3000)]
+    out = throttle_events(events(spark, rows), "run", "ts", "id", 300, 200, intervals_per_slice)
+    assert {r.id for r in out.collect()} == greedy(rows, 300)
+
+
 def test_slices_span_many_intervals(spark):
     rows = [(i, "hot", i * 10.0) for i in range(6000)]
     df = events(spark, rows)
@@ -51,7 +58,7 @@ def test_slices_span_many_intervals(spark):
     assert {r.id for r in out.collect()} == greedy(rows, 300) == set(range(0, 6000, 30))
     micros = df.withColumn("micros", F.unix_micros("ts"))
     sliced = slice_large_groups(micros, ["run"], F.col("micros"), 100, min_width=4 * 300 * 1e6)
-    widths = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()
+    widths = sliced.rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(widths) > 20
     assert sorted(r.n for r in widths)[2] >= 120  # but for the first and the last, 1200 s of events at least
 
