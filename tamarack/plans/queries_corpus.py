@@ -24,15 +24,8 @@ def _sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
-    s = _sources(spark, sf)
-    return align_sources(
-        {
-            "documents": (s["documents"], "doc_id"),
-            "pages": (s["pages"], "page_id"),
-            "benchmark": (s["benchmark"], "item_id"),
-        },
-        HTML_TOO,
-    )
+    keys = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id"}
+    return align_sources({name: (table(spark, sf, name), key) for name, key in keys.items()}, HTML_TOO)
 
 
 _ALIGNED_SQL = """

@@ -16,6 +16,7 @@ from tamarack.sources import (
     scan_corpus,
     scan_tolerant,
     scan_tolerant_report,
+    spread,
     take_first,
 )
 from tamarack.sources.prompts import CATEGORIES
@@ -114,6 +115,15 @@ def test_newest_first_and_take_first(spark, tmp_path):
     assert [r.id for r in take_first(df, 2, "id").collect()] == [1, 3]
 
 
+def test_only_small_inputs_are_spread(spark):
+    def shuffled(df):
+        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+    assert shuffled(spread(spark.range(100, numPartitions=1), "id"))
+    assert spread(spark.range(100, numPartitions=1), "id").count() == 100
+    assert not shuffled(spread(spark.range(100, numPartitions=64), "id"))
+
+
 def test_source_tree_drops_undecodable_bytes(spark, tmp_path):
     deep = tmp_path / "pkg" / "deep"
     deep.mkdir(parents=True)
