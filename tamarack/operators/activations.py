@@ -17,8 +17,10 @@ def unit_activation_mean(df: DataFrame, layer: str, vector: str, batch: str | No
     if batch is None:
         rows = df.select(layer, vector, F.lit(1.0).alias("_weight"))
     else:
-        sizes = df.groupBy(layer, batch).agg((1.0 / F.count(F.lit(1))).alias("_weight"))
-        rows = df.join(sizes, [layer, batch]).select(layer, vector, "_weight")
+        # a struct is never null itself, so rows without a layer or batch are joined too
+        celled = df.withColumn("_cell", F.struct(layer, batch))
+        sizes = celled.groupBy("_cell").agg((1.0 / F.count(F.lit(1))).alias("_weight"))
+        rows = celled.join(sizes, "_cell").select(layer, vector, "_weight")
     long = rows.select(layer, "_weight", F.posexplode(vector).alias("unit", "value"))
     total = F.sum(F.abs(F.col("value").cast("double")) * F.col("_weight"))
     return long.groupBy(layer, "unit").agg((total / F.sum("_weight")).alias("mean_abs"))

@@ -236,8 +236,8 @@ def q_progress_notices(spark: SparkSession, sf: str) -> DataFrame:
     steps, whole = _progress(spark, sf)
     averaged = telemetry.batch_time_ma(steps, "run", "value", whole=whole)
     told = telemetry.notice_text(telemetry.progress_eta(telemetry.progress_report(averaged)), "value")
-    # joined on the event as well as the run, so a long run is no hot key
-    return told.join(_emitted(spark, sf), ["run", "event_id"], "left_semi").select("run", "event_id", "title", "body")
+    # joined on the event, so a long run is no hot key
+    return told.join(_emitted(spark, sf).select("event_id"), "event_id", "left_semi").select("run", "event_id", "title", "body")
 
 
 @query(

@@ -7,6 +7,7 @@ works on many plans at once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,5 +125,9 @@ def checkpoint_hits(steps: DataFrame, schedule: DataFrame, keys: Sequence[str] =
     A schedule has at most ten entries per fraction and plan; its join key
     holds the step, so no key has more than one row on either side.
     """
-    due = steps.join(schedule, [*keys, "step"])
+    names = [*keys, "step"]
+    wanted = schedule.select(*[F.col(n).alias(f"_{n}") for n in names], "label")
+    # null-safe, as a plan may belong to rows without a group
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+    due = steps.join(wanted, same).drop(*[f"_{n}" for n in names])
     return due.withColumn("optimizer_step", F.ceil(F.col("step") / accumulate).cast("long"))

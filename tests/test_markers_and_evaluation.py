@@ -135,13 +135,14 @@ def test_before_and_after(spark):
 
 def test_activation_means(spark):
     rnd = random.Random(4)
-    rows = [(f"l{i % 2}", i // 7, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(40)]
+    rows = [("l0" if i % 2 else None, i // 7 or None, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(40)]
     df = spark.createDataFrame(rows, "layer string, batch int, v array<double>").repartition(4)
     plain = {(r.layer, r.unit): r.mean_abs for r in activations.unit_activation_mean(df, "layer", "v").collect()}
     by_batch = {
         (r.layer, r.unit): r.mean_abs for r in activations.unit_activation_mean(df, "layer", "v", "batch").collect()
     }
-    for layer in ("l0", "l1"):
+    assert len(plain) == len(by_batch) == 12
+    for layer in ("l0", None):
         for unit in range(6):
             values = [(b, abs(v[unit])) for name, b, v in rows if name == layer]
             assert plain[layer, unit] == pytest.approx(sum(x for _, x in values) / len(values))

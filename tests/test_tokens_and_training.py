@@ -137,6 +137,16 @@ def test_checkpoints_due(spark):
     assert [(r.step, r.optimizer_step) for r in due.collect()] == [(1, 1), (5, 1), (25, 4), (50, 7)]
 
 
+def test_plans_without_a_group_name(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else None) for i in range(200)], "id int, source string")
+    plan = training.training_plan(df, 4, by=["source"])
+    schedule = training.checkpoint_schedule_v2(plan, ["source"])
+    due = training.checkpoint_hits(training.step_table(plan, ["source"]), schedule, ["source"]).collect()
+    by_source = {s: sorted(r.step for r in due if r.source == s) for s in ("a", None)}
+    assert by_source["a"] == by_source[None] and by_source["a"][-1] == 23
+    assert len(due) == schedule.count()
+
+
 def test_token_pattern_loses_only_blanks():
     text = "Un été, 2024! x_y\n\t中文 ok"
     assert "".join(regex.findall(tokens.TOKEN_PATTERN, text)) == regex.sub(r"\s", "", text)
