@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_local_roots: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -54,12 +55,14 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
     Only where the session names none (a local test) is a temporary folder
-    made, and then set on the session so that later calls agree.
+    made, once per application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = tempfile.mkdtemp(prefix="tamarack-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="tamarack-")
+        root = _local_roots[app]
     return root.rstrip("/")
 
 

@@ -3,6 +3,9 @@
 import os
 import subprocess
 import sys
+from types import SimpleNamespace
+
+from tamarack.session import fresh_path, shared_root, stage
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -27,3 +30,20 @@ def test_package_reaches_the_workers(tmp_path):
         cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180, check=False,
     )
     assert "EMITTED [0, 2, 4]" in done.stdout, done.stderr[-2000:]
+
+
+def test_shared_folder_is_the_sessions_own(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert shared_root(spark) == root
+    a, b = fresh_path(spark, "x"), fresh_path(spark, "x")
+    assert a != b and a.startswith(f"{root}/tamarack/x-")
+    assert sorted(r.id for r in stage(spark.range(3), "three").collect()) == [0, 1, 2]
+
+
+def test_session_without_shared_folder_gets_one(tmp_path):
+    bare = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(applicationId="app-without-folder"),
+    )
+    assert shared_root(bare) == shared_root(bare)
+    assert os.path.isdir(shared_root(bare))
