@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _local_roots: dict[str, str] = {}
+_work_folders: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -52,30 +53,67 @@ def build_session(app: str = "tamarack", master: str | None = None, **conf) -> S
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or the one set by ``setCheckpointDir``.
 
-    Only where the session names none (a local test) is a temporary folder
-    made, once per application.
+    Where neither is named, a local master (a test) gets a temporary folder, once
+    per application; any other master is refused, since its executors would each
+    write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        app = spark.sparkContext.applicationId
-        if app not in _local_roots:
-            _local_roots[app] = tempfile.mkdtemp(prefix="tamarack-")
-        root = _local_roots[app]
+        context = spark.sparkContext
+        root = context.getCheckpointDir()
+        if root is None:
+            master = context.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+            app = context.applicationId
+            if app not in _local_roots:
+                _local_roots[app] = tempfile.mkdtemp(prefix="tamarack-")
+            root = _local_roots[app]
     return root.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop objects."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def work_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the application ends."""
+    context = spark.sparkContext
+    root = shared_root(spark)
+    folder = f"{root}/tamarack/{context.applicationId}"
+    if folder not in _work_folders:
+        where, system = hadoop_path(spark, folder)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        _work_folders.add(folder)
+    return folder
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no earlier run has used."""
-    return f"{shared_root(spark)}/tamarack/{name}-{uuid.uuid4().hex}"
+    """A path below this application's folder that no earlier run has used."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
-    It outlives lost executors and is not computed again by later jobs.
+    It outlives lost executors and is not computed again by later jobs. It is
+    removed when the application ends, or earlier by ``unstage``.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that no later job reads."""
+    for df in tables:
+        where, system = hadoop_path(df.sparkSession, df.staged_path)
+        system.delete(where, True)
