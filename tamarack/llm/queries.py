@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.llm import bpe
 from tamarack.llm import exact_dedup as dedup
 from tamarack.llm import url_filters as urls
+from tamarack.llm import warc
 from tamarack.plans.registry import table
-from tamarack.session import ship_package
+from tamarack.session import fresh_path, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,3 +87,58 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), spark.sql(urls.RULES))
+
+
+def encoded_documents(docs: DataFrame) -> DataFrame:
+    """Ids of every whole text and the bytes decoded from them, as digests."""
+    import public_tokenizers
+
+    spark = docs.sparkSession
+    shared = bpe.share(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode(docs.select("doc_id", "text"), shared, packed=True)
+    return ids.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("token_ids"), shared), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_warc",
+    """
+    WITH d AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), f AS (
+        SELECT *, CASE WHEN payload_bytes >= 100
+                       THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first
+        FROM d
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write_archives(warc.resolve_revisits(table(spark, sf_dir, "pages")), path)
+    records = warc.read_archives(spark, path).where("gap IS NULL")
+    kind = warc.header("WARC-Type")
+    response = kind == "response"
+    return records.select(
+        warc.header("X-Page-ID").cast("long").alias("page_id"),
+        F.when(response, F.octet_length("payload")).otherwise(warc.header("X-Payload-Length")).cast("long")
+        .alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256))
+        .otherwise(F.substring_index(warc.header("WARC-Payload-Digest"), ":", -1))
+        .alias("payload_digest"),
+        kind.alias("record_type"),
+        warc.header("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
+    )
