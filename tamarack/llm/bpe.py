@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 # Code points of text that are encoded together, and matches that a worker remembers.
 BATCH_CHARS = 1 << 20
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 @functools.cache

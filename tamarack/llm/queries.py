@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import bpe
+from tamarack.llm import bpe, quality, toxicity, warc
 from tamarack.llm import exact_dedup as dedup
 from tamarack.llm import url_filters as urls
-from tamarack.llm import warc
+from tamarack.llm.labelled import held_out
 from tamarack.plans.registry import table
 from tamarack.session import fresh_path, ship_package
 
@@ -142,3 +142,41 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("record_type"),
         warc.header("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
     )
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.col("toxic"))
+    scored = docs.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        toxicity.score_column(F.col("text"), model, spark).alias("score"),
+    )
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+# The labels hold two grades, 0 and 1; a document is selected if it reaches grade 1 with this probability.
+GRADES, REACH, SELECT_FROM = 2, 1, 0.8
+
+
+def graded_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a struct ``grade``: expected grade, tail probability, selected."""
+    spark = docs.sparkSession
+    model = quality.train(docs, labels, F.col("quality"), GRADES)
+    own = quality.grade_columns(F.col("text"), model, REACH, spark)
+    graded = docs.select(F.struct(*docs.columns).alias("row"), own.alias("grade"))
+    return graded.withColumn("selected", F.col("grade.tail_probability") >= SELECT_FROM)
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    graded = graded_documents(docs, table(spark, sf_dir, "labels"))
+    return graded.select(
+        "row.doc_id",
+        held_out(F.col("row.doc_id")).alias("held_out"),
+        "grade.expected_grade",
+        "grade.tail_probability",
+        "selected",
+    )
