@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+import json
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Code points of text that are encoded together, and matches that a worker remembers.
-BATCH_CHARS = 1 << 20
-REMEMBERED = 400_000
+BATCH_CHARS = 1 << 18
+REMEMBERED = 100_000
 
 
 @functools.cache
@@ -72,7 +73,7 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
 
 
 class Codec:
-    """Encodes and decodes texts in one worker."""
+    """Encodes texts in one worker."""
 
     def __init__(self, model: str, pattern: str):
         import regex
@@ -81,11 +82,6 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(model)
         self.matches = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        vocab = self.tokenizer.get_vocab()
-        self.token_bytes = {i: as_bytes(token) for token, i in vocab.items()}
-        self.token_lengths = np.zeros(max(vocab.values()) + 1, np.int64)
-        for i, token in self.token_bytes.items():
-            self.token_lengths[i] = len(token)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -99,6 +95,17 @@ class Codec:
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in cut]
 
+
+class Decoder:
+    """Decodes ids in one worker: the characters of a token are read back through the byte table."""
+
+    def __init__(self, model: str):
+        vocab = json.loads(model)["model"]["vocab"]
+        self.token_bytes = {i: as_bytes(token) for token, i in vocab.items()}
+        self.token_lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        for i, token in self.token_bytes.items():
+            self.token_lengths[i] = len(token)
+
     def offsets(self, text: str, ids: bytes) -> np.ndarray:
         """For each token the first code point its bytes touch and the one after the last."""
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -126,12 +133,17 @@ class Codec:
             yield rest
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def codec(model: str, pattern: str) -> Codec:
     """One codec for all tasks of a worker."""
     return Codec(model, pattern)
 
 
+@functools.lru_cache(maxsize=1)
+def decoder(model: str) -> Decoder:
+    return Decoder(model)
+
+
 def share(spark: SparkSession, ranks_path: str, pattern: str) -> Broadcast:
     """Model and pattern for the tasks: of a size that the rank file fixes."""
     return spark.sparkContext.broadcast((tokenizer_json(read_ranks(ranks_path)), pattern))
@@ -183,7 +195,7 @@ def encode(
                 else:
                     out.append(_lists([np.frombuffer(i, "<i4") for i in ids]))
                 if offsets:
-                    out.append(_lists([own.offsets(t, i).ravel() for t, i in zip(texts, ids, strict=True)]))
+                    out.append(_lists([decoder(shared.value[0]).offsets(t, i).ravel() for t, i in zip(texts, ids, strict=True)]))
                 others = [batch.column(k).slice(start, end - start) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*others, *out], [*names, *(a.name for a in added)])
 
@@ -201,7 +213,7 @@ def decode(ids: Column, shared: Broadcast) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def run(column: pa.Array) -> pa.Array:
-        own = codec(*shared.value)
+        own = decoder(shared.value[0])
         return pa.array([None if i is None else own.decode(i) for i in column.to_pylist()], pa.binary())
 
     return run(ids)
