@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import bpe, jaccard, quality, toxicity, warc
+from tamarack.llm import bpe, decontaminate, jaccard, quality, toxicity, warc
 from tamarack.llm import exact_dedup as dedup
 from tamarack.llm import url_filters as urls
 from tamarack.llm.labelled import held_out
@@ -185,3 +185,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard")
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

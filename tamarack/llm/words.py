@@ -28,6 +28,19 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), _FACTOR)]), dtype=np.uint64)
 
 
+_table = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the factor and of its inverse modulo 2**64, kept for the next call."""
+    if len(_table[0]) < n:
+        size = max(n, 1 << 20)
+        inverse = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+        _table[0] = _powers(size)
+        _table[1] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, inverse)]), dtype=np.uint64)
+    return _table[0], _table[1]
+
+
 def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Hashes of the words, the first word of each text and one past the last text's,
     the byte places where words start and end, and the bytes: all texts in UTF-8, A-Z
@@ -44,11 +57,11 @@ def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     if not len(starts):
         return np.zeros(0, np.uint64), first, starts, ends, raw
-    kept = ~space
-    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff([0, *starts, len(data)]))
-    weighed = _BYTES[data[kept]] * _powers(int(lengths.max()))[place[kept]]
-    cuts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    sums = np.add.reduceat(weighed, cuts)
+    powers, inverse = _power_table(len(data))
+    total = _BYTES[data]
+    total *= powers[: len(data)]
+    np.cumsum(total, out=total)
+    sums = (total[ends - 1] - total[starts - 1]) * inverse[starts]
     return mix(sums ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), first, starts, ends, raw
 
 
