@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.grams import gram_buckets, joined, runs
 from tamarack.llm.labelled import labelled_texts
+from tamarack.session import stage, unstage
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
 # Labelled documents a fit uses at most.
-MOST_LABELLED = 8000
+MOST_LABELLED = 10_000
+# Tasks that count their n-grams; each sends a table of fixed size to the driver.
+FIT_TASKS = 8
 # Standard errors by which a log-count ratio must differ from 0, and texts that must hold the n-gram.
 LEAST_ERRORS = 3.5
 LEAST_TEXTS = 4
@@ -31,17 +34,17 @@ L2 = 0.5
 STEPS = 400
 
 
-def text_sets(texts: list[str]) -> Iterator[np.ndarray]:
-    """The set of buckets of each text, sorted."""
+def text_sets(texts: list[str], used: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The set of buckets of each text, sorted; of those in the mask ``used`` only, if it is given."""
     for start, end in runs(texts):
         codes, owner = joined([t.lower() for t in texts[start:end]])
-        keys = [
-            (who.astype(np.int64) << BITS) | buckets for who, buckets in gram_buckets(codes, owner, SIZES, BITS)
-        ]
-        keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        ends = np.searchsorted(keys, np.arange(1, end - start + 1, dtype=np.int64) << BITS)
+        parts = []
+        for who, buckets in gram_buckets(codes, owner, SIZES, BITS):
+            if used is not None:
+                who, buckets = who[used[buckets]], buckets[used[buckets]]
+            parts.append((np.searchsorted(who, np.arange(end - start + 1)), buckets))
         for k in range(end - start):
-            yield (keys[ends[k - 1] if k else 0 : ends[k]] & ((1 << BITS) - 1)).astype(np.uint32)
+            yield np.unique(np.concatenate([b[at[k] : at[k + 1]] for at, b in parts]))
 
 
 @dataclass
@@ -61,33 +64,32 @@ class Model:
                 used = self.weights[buckets] != 0
                 keys.append((who[used].astype(np.int64) << BITS) | buckets[used])
             found = np.unique(np.concatenate(keys))
-            total = np.bincount(
-                found >> BITS, self.weights[found & ((1 << BITS) - 1)].astype(float), minlength=end - start
-            )
-            out[start:end] = total
+            weights = self.weights[found & ((1 << BITS) - 1)].astype(float)
+            out[start:end] = np.bincount(found >> BITS, weights, minlength=end - start)
         return 1 / (1 + np.exp(-np.clip(out + self.intercept, -50, 50)))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Fit on sets of buckets and labels 0 or 1.
+def ratios(p: np.ndarray, q: np.ndarray, positive: float, negative: float) -> np.ndarray:
+    """Log-count ratio of each bucket from the toxic and other texts that hold it; 0 where it is within chance."""
+    ratio = np.log((p + ALPHA) / (positive + 2 * ALPHA)) - np.log((q + ALPHA) / (negative + 2 * ALPHA))
+    error = np.sqrt(1 / (p + ALPHA) + 1 / (q + ALPHA))
+    return np.where((np.abs(ratio) >= LEAST_ERRORS * error) & (p + q >= LEAST_TEXTS), ratio, 0.0)
+
+
+def fit(sets: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> Model:
+    """Fit on sets of buckets (others than those with a ratio play no part) and labels 0 or 1.
 
     Without texts of both labels every text gets the smoothed share of label 1.
     """
     labels = np.asarray(labels, float)
     n, positive = len(labels), labels.sum()
-    weights = np.zeros(1 << BITS, np.float32)
     prior = float(np.log((positive + 0.5) / (n - positive + 0.5)))
+    weights = np.zeros(1 << BITS, np.float32)
     if not 0 < positive < n:
         return Model(weights, prior)
-    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for buckets, label in zip(sets, labels, strict=True):
-        (p if label else q)[buckets] += 1  # a set holds a bucket once
-    ratio = np.log((p + ALPHA) / (positive + 2 * ALPHA)) - np.log((q + ALPHA) / (n - positive + 2 * ALPHA))
-    error = np.sqrt(1 / (p + ALPHA) + 1 / (q + ALPHA))
-    used = (np.abs(ratio) >= LEAST_ERRORS * error) & (p + q >= LEAST_TEXTS)
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(used.sum())
-    kept = [place[s][used[s]] for s in sets]
+    used = ratio != 0
+    place = np.cumsum(used) - 1
+    kept = [place[s[used[s]]] for s in sets]
     row, column = np.repeat(np.arange(n), [len(k) for k in kept]), np.concatenate(kept)
     value = ratio[used][column]
     theta, intercept = np.zeros(int(used.sum())), prior
@@ -106,17 +108,44 @@ def fit(sets: list[np.ndarray], labels: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: Column, most: int = MOST_LABELLED) -> Model:
-    """Fit on at most ``most`` labelled documents; their sets of buckets go to the driver, not their texts."""
+    """Fit on at most ``most`` labelled documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for s in text_sets(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sets, pa.binary()), batch.column("label")], ["buckets", "label"]
-            )
+    Counts of all n-grams come to the driver as tables of a fixed size, one of each
+    of ``FIT_TASKS`` tasks; after that only the sets of the n-grams that are used.
+    """
+    sample = stage(labelled_texts(docs, labels, label, most), "labelled")
+    size = 1 << BITS
 
-    rows = labelled_texts(docs, labels, label, most).mapInArrow(run, "buckets binary, label int").collect()
-    return fit([np.frombuffer(r["buckets"], np.uint32) for r in rows], np.array([r["label"] for r in rows]))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts = np.zeros((2, size), np.uint16), [0, 0]
+        for batch in batches:
+            toxic = [int(x == 1) for x in batch.column("label").to_pylist()]
+            for k, buckets in zip(toxic, text_sets(batch.column("text").to_pylist()), strict=True):
+                held[k, buckets] += 1
+                texts[k] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([held.tobytes()], pa.binary()), pa.array([texts[0]]), pa.array([texts[1]])],
+            ["held", "others", "toxic"],
+        )
+
+    tables = sample.repartition(FIT_TASKS).mapInArrow(count, "held binary, others long, toxic long")
+    p, q, positive, negative = np.zeros(size), np.zeros(size), 0, 0
+    for row in tables.toLocalIterator():
+        other, toxic = np.frombuffer(row["held"], np.uint16).reshape(2, size)
+        p, q, positive, negative = p + toxic, q + other, positive + row["toxic"], negative + row["others"]
+    ratio = ratios(p, q, positive, negative)
+    shared = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.tobytes() for s in text_sets(batch.column("text").to_pylist(), shared.value)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("label")],
+                                             ["buckets", "label"])
+
+    rows = sample.mapInArrow(sets, "buckets binary, label int").collect()
+    unstage(sample)
+    labels = np.array([int(r["label"] == 1) for r in rows])
+    return fit([np.frombuffer(r["buckets"], np.uint32) for r in rows], labels, ratio)
 
 
 def score_column(text: Column, model: Model, spark) -> Column:
