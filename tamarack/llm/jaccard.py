@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.components import connected
 from tamarack.llm.grams import runs
+from tamarack.llm.partners import compare, only
 from tamarack.llm.words import runs_hashes, word_hashes
 from tamarack.session import stage, unstage
 
@@ -36,10 +37,6 @@ SKETCH = [f"b{k}" for k in range(SKETCH_BITS // 64)]
 # The order of columns depends on it, the result does not.
 COMMON_SHARE = 0.002
 MOST_COMMON = 50_000
-# Tables of ids are broadcast up to so many rows, 8 bytes each; longer ones are shuffled.
-BROADCAST_IDS = 1_000_000
-# Members of one row of the product that are multiplied in one task.
-SLICE = 2000
 RUN_CHARS = 1 << 19
 BLOCK = 4096
 
@@ -120,12 +117,6 @@ def _describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, n long, digest binary, {longs}, gram long, times long")
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join with a table of ids, which is broadcast if it is short."""
-    short = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if short else ids, "doc_id", how)
-
-
 def _postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """``gram, doc_id, n, place, hot``: the part of each row of the matrix that is multiplied."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -169,54 +160,17 @@ def _overlap_reaches(x: np.ndarray, y: np.ndarray, need: int) -> bool:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs ``a, b`` whose whole sets are similar enough.
+    """Those of the distinct pairs ``a, b`` whose whole sets are similar enough."""
 
-    The sets of all ``b`` are brought to those of their ``a``. An ``a`` with many
-    partners is sliced, and its set sent to every slice.
-    """
-    pairs = stage(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    def contents(texts: list[str]) -> Iterator[bytes]:
+        return (grams.tobytes() for grams in shingle_sets(texts))
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for start, end in runs(texts, RUN_CHARS):
-                sets = [s.tobytes() for s in shingle_sets(texts[start:end])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, end - start), pa.array(sets, pa.binary())],
-                    ["doc_id", "grams"],
-                )
-
-    sets = _only(docs, ids, "left_semi").mapInArrow(to_sets, "doc_id long, grams binary")
-    slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    own = slices.select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("a").alias("doc_id")
-    )
-    partners = pairs.join(slices, "a").select(
-        "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.col("b").alias("doc_id")
-    )
-    needed = own.withColumn("member", F.lit(False)).unionByName(partners.withColumn("member", F.lit(True)))
-    placed = sets.join(needed, "doc_id").select("a", "slice", "member", "doc_id", "grams")
+    def judge(a: bytes, b: bytes, _: list[int]) -> list[tuple]:
+        x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+        return [()] if len(x) and len(y) and _overlap_reaches(x, y, required(len(x), len(y))) else []
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []  # an id that is repeated with other texts has several sets
-        for batch in batches:
-            a, b = [], []
-            for one, part, member, doc, grams in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                grams = np.frombuffer(grams, np.int64)
-                if not member:
-                    rows = [*rows, grams] if key == (one, part) else [grams]
-                    key = (one, part)
-                elif any(len(r) and len(grams) and _overlap_reaches(r, grams, required(len(r), len(grams)))
-                         for r in rows):
-                    a.append(one)
-                    b.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    sorted_rows = placed.repartition("a", "slice").sortWithinPartitions("a", "slice", "member")
-    links = stage(sorted_rows.mapInArrow(multiply, "a long, b long"), "verified")
-    unstage(pairs)
-    return links
+    no_hints = F.array().cast("array<long>").alias("hints")
+    return compare(docs, pairs.select("a", "b", no_hints), contents, judge, "").distinct()
 
 
 def _cross_pairs(posts: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
@@ -300,7 +254,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     copies = stage(copies.join(firsts, "doc_id", "left_anti"), "copies")
     sources = texts.where("doc_id IS NOT NULL")
 
-    found = _postings(_only(sources, copies, "left_anti"), common)
+    found = _postings(only(sources, copies, "left_anti"), common)
     column = Window.partitionBy("gram")
     first = F.min(F.struct("doc_id", "n"))
     rare = (
@@ -321,7 +275,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     known = connected(first_links)
     more_links = _verified(sources, _cross_pairs(posts, reps_of, known))
     groups = stage(connected(first_links.unionByName(more_links)), "components")
-    unstage(posts, first_links, more_links)
+    unstage(posts)
 
     component = F.coalesce("component", "rep")
     linked = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
