@@ -24,3 +24,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: Column, most: int)
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(sample), "doc_id").select("text", "label")
+
+
+def sampled_documents(docs: DataFrame, most: int) -> DataFrame:
+    """The rows of at most ``most`` ids (smallest hash first); only the ids are ordered and broadcast."""
+    ids = docs.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
