@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 # Code points of text that are encoded together, and matches that a worker remembers.
 BATCH_CHARS = 1 << 18
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 
 
 @functools.cache
@@ -90,12 +90,23 @@ class Codec:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(set().union(*cut))
-        for piece, encoded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(encoded.ids, "<u4").tobytes()
+        for start in range(0, len(new), 4096):
+            self._learn(new[start : start + 4096])
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in cut]
 
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode matches, each as a word of its own."""
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        ends = np.searchsorted(found.word_ids, range(len(pieces)), side="right").tolist()
+        start = 0
+        for piece, end in zip(pieces, ends, strict=True):
+            self.known[piece] = ids[4 * start : 4 * end]
+            start = end
+
+
 class Decoder:
     """Decodes ids in one worker: the characters of a token are read back through the byte table."""
 
@@ -162,14 +173,16 @@ def _runs(lengths: Sequence[int]) -> Iterator[tuple[int, int]]:
 
 
 def encode(
-    df: DataFrame, shared: Broadcast, text: str = "text", packed: bool = False, offsets: bool = False
+    df: DataFrame, shared: Broadcast, text: str = "text", packed: bool = False, offsets: bool = False,
+    decoded: bool = False,
 ) -> DataFrame:
     """Replace ``text`` by ``n_tokens`` and ``token_ids``, without special tokens.
 
     ``token_ids`` is an array of ints or, if ``packed``, their little-endian bytes,
     4 for each. With ``offsets`` a column ``token_offsets`` holds start and end of
     every token in code points, one after the other; tokens that share a character
-    share its place. A null text counts as empty and gives no tokens; texts of any
+    share its place. With ``decoded`` a column of that name holds the bytes that the
+    ids decode to. A null text counts as empty and gives no tokens; texts of any
     length are encoded whole. Input columns named like the new ones are replaced,
     all others are kept. No shuffle; a row stays one row.
     """
@@ -177,6 +190,7 @@ def encode(
         T.StructField("n_tokens", T.LongType()),
         T.StructField("token_ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType())),
         *([T.StructField("token_offsets", T.ArrayType(T.IntegerType()))] if offsets else []),
+        *([T.StructField("decoded", T.BinaryType())] if decoded else []),
     ]
     kept = [f for f in df.schema.fields if f.name not in {text, *(a.name for a in added)}]
     names = [f.name for f in kept]
@@ -196,6 +210,8 @@ def encode(
                     out.append(_lists([np.frombuffer(i, "<i4") for i in ids]))
                 if offsets:
                     out.append(_lists([decoder(shared.value[0]).offsets(t, i).ravel() for t, i in zip(texts, ids, strict=True)]))
+                if decoded:
+                    out.append(pa.array(map(decoder(shared.value[0]).decode, ids), pa.binary()))
                 others = [batch.column(k).slice(start, end - start) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*others, *out], [*names, *(a.name for a in added)])
 

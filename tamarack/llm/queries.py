@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import bpe, decontaminate, jaccard, quality, toxicity, warc
+from tamarack.llm import bpe, decontaminate, jaccard, pii, quality, substrings, toxicity, warc
 from tamarack.llm import exact_dedup as dedup
 from tamarack.llm import url_filters as urls
 from tamarack.llm.labelled import held_out
@@ -95,12 +95,12 @@ def encoded_documents(docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     shared = bpe.share(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = bpe.encode(docs.select("doc_id", "text"), shared, packed=True)
+    ids = bpe.encode(docs.select("doc_id", "text"), shared, packed=True, decoded=True)
     return ids.select(
         "doc_id",
         "n_tokens",
         F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("token_ids"), shared), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -190,3 +190,16 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontaminate")
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_substrings")
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.train(docs))
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
