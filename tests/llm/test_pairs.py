@@ -1,0 +1,209 @@
+"""The operators that compare documents, against brute force."""
+
+import random
+import re
+
+import numpy as np
+from llm.fixtures import awkward_texts, clashing, documents, edited, sentence
+
+from tamarack.llm import decontaminate, jaccard, substrings, words
+from tamarack.llm.components import connected
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def split(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def shingles(text):
+    w = split(text)
+    if len(w) < 5:
+        return {tuple(w)} if w else set()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def brute_components(rows):
+    rows = [(i, shingles(t)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted((i, len(s), root(i)) for i, s in rows)
+
+
+def as_tuples(df):
+    return sorted(tuple(r) for r in df.where("doc_id IS NOT NULL").collect())
+
+
+def test_jaccard_equals_brute_force(spark):
+    rows = awkward_texts()
+    found = jaccard.similar_documents(clashing(documents(spark, rows)))
+    assert found.count() == len(rows)
+    assert as_tuples(found) == brute_components(rows)
+    # a row without an id goes with the documents whose set is equal
+    (row,) = found.where("doc_id IS NULL").collect()
+    assert row.component_id == 136 and row.n_shingles == 1
+
+
+def test_jaccard_with_a_large_group_that_links_only_in_part(spark):
+    rng = random.Random(2)
+    base = sentence(rng, 120)
+    rows = [(i, " ".join(edited(rng, base, rng.choice([0.01, 0.03, 0.05, 0.08])))) for i in range(150)]
+    rows += [(200 + i, " ".join(base[k % 7 :] + sentence(rng, k))) for i, k in enumerate(range(0, 80, 4))]
+    assert as_tuples(jaccard.similar_documents(documents(spark, rows))) == brute_components(rows)
+
+
+def test_jaccard_hot_columns(spark, monkeypatch):
+    """Columns that count as common take the other path; the result is the same."""
+    rows = [(i, t) for i, t in awkward_texts(9) if i is not None and i < 126]
+    monkeypatch.setattr(jaccard, "COMMON_SHARE", 0.0)
+    rng = random.Random(4)
+    base = sentence(rng, 60)
+    rows += [(500 + i, " ".join(edited(rng, base, 0.02))) for i in range(60)]
+    assert as_tuples(jaccard.similar_documents(documents(spark, rows))) == brute_components(rows)
+
+
+def test_jaccard_without_rows_or_links(spark):
+    assert jaccard.similar_documents(documents(spark, [])).count() == 0
+    assert as_tuples(jaccard.similar_documents(documents(spark, [(1, None), (2, "a b")]))) == [(1, 0, 1), (2, 1, 2)]
+
+
+def test_overlap_bounds():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 300, rng.integers(1, 200)))
+        y = np.unique(rng.integers(0, 300, rng.integers(1, 200)))
+        n = len(np.intersect1d(x, y))
+        assert jaccard._overlap_reaches(x, y, n) and not jaccard._overlap_reaches(x, y, n + 1)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (None, 3), (7000, 6000)]
+    found = dict(map(tuple, connected(spark.createDataFrame(chain, "a long, b long")).collect()))
+    assert {found[i] for i in range(201)} == {0} and {found[1000 + i] for i in range(300)} == {1000}
+    assert found[7000] == found[6000] == 6000
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_word_hashes():
+    texts = ["", " ", "A b\tB", "a\x0bé É\n", "x" * 3000, "中 中"]
+    hashes, first, starts, ends, raw = words.word_hashes(texts)
+    assert np.diff(first).tolist() == [len(split(t)) for t in texts]
+    every = [w for t in texts for w in split(t)]
+    assert [raw[s:e].decode() for s, e in zip(starts, ends, strict=True)] == every
+    assert len(set(hashes.tolist())) == len(set(every))
+
+
+def verbatim(rows, n=50):
+    held = {}
+    for i, t in rows:
+        w = split(t)
+        for k in range(len(w) - n + 1):
+            held.setdefault(tuple(w[k : k + n]), set()).add(i)
+    return {i for ids in held.values() if len(ids) > 1 for i in ids}
+
+
+def test_passages_that_repeat(spark):
+    rows = [r for r in awkward_texts() if r[0] is not None]
+    found = substrings.repeated_passages(clashing(documents(spark, rows))).collect()
+    texts = {i: split(t) for i, t in rows}
+    assert verbatim(rows) <= {r.doc_id for r in found}
+    for r in found:
+        a, b = texts[r.doc_id][r.start : r.end], texts[r.other_id][r.other_start : r.other_end]
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        assert r.doc_id != r.other_id and len(a) >= 50 and len(x & y) >= 0.7 * len(x | y)
+    pairs = {(r.doc_id, r.other_id) for r in found}
+    assert all((b, a) in pairs for a, b in pairs)
+    shared = {r.doc_id: (r.end - r.start) for r in found if 90 <= r.doc_id < 96}
+    assert set(shared) == set(range(90, 96)) and min(shared.values()) >= 60
+
+
+def test_clean_documents_have_no_passages(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(sentence(rng, 120))) for i in range(60)] + [(99, None), (98, "")]
+    passage = sentence(rng, 40)  # too short
+    rows += [(200 + i, " ".join(sentence(rng, 30) + passage + sentence(rng, 30))) for i in range(5)]
+    assert substrings.repeated_passages(documents(spark, rows)).count() == 0
+    assert substrings.repeated_passages(documents(spark, [])).count() == 0
+
+
+def test_compact_windows_hold_every_long_subsequence():
+    rng = np.random.default_rng(3)
+    for n, high, least in ((60, 10**9, 5), (200, 10**9, 20), (80, 4, 6), (5, 9, 5), (4, 9, 5)):
+        hashes = rng.integers(1, high, n).astype(np.uint64)
+        windows = list(zip(*[c.tolist() for c in substrings.compact_windows(hashes, least)], strict=True))
+        for a in range(n):
+            for b in range(a + least - 1, n):
+                low = int(hashes[a : b + 1].min())
+                assert any(left <= a and b <= right and own == low for left, _, right, own in windows)
+        assert all(left <= spot <= right and hashes[spot] == own for left, spot, right, own in windows)
+
+
+def test_leaks(spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(sentence(rng, n))) for k, n in enumerate([9, 15, 30, 40, 60, 100, 150, 5])]
+    items += [(50, None), (51, ""), (52, items[2][1])]
+    docs, want = [], set()
+    for k in range(8):
+        own = items[k][1].split()
+        docs.append((10 + k, " ".join([*sentence(rng, 70 + k), *own, *sentence(rng, 50)])))
+        want.add((10 + k, k))
+        if len(own) >= 15:
+            changed = [w if j % 8 else "other" for j, w in enumerate(own)]
+            docs.append((30 + k, " ".join([*sentence(rng, 11 * k), *changed, *sentence(rng, 20)]).upper()))
+            want.add((30 + k, k))
+    want |= {(i, 52) for i, k in want if k == 2}
+    clean = [(100 + i, " ".join(sentence(rng, 200))) for i in range(60)]
+    clean += [(200, " ".join(items[3][1].split()[:12])), (201, None), (202, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(clashing(documents(spark, docs + clean)), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert len(found) == len(want)
+
+
+def test_leaks_of_nothing(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    assert decontaminate.contaminated(documents(spark, []), bench).count() == 0
+    assert decontaminate.contaminated(documents(spark, [(1, "a b c")]), bench.limit(0)).count() == 0
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 2)
+    rng = random.Random(1)
+    items = [(k, " ".join(sentence(rng, 20))) for k in range(7)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(documents(spark, items), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(7)}
+
+
+def test_longest_common_subsequence():
+    a, b = np.array([[1, 2, 3, 4, 0]], np.uint64), np.array([[9, 1, 3, 2, 4, 0, 0]], np.uint64)
+    assert decontaminate.common_subsequence(a, b).tolist() == [3]
+
+
+def test_singular_vectors_are_those_of_the_matrix(spark):
+    rng = random.Random(12)
+    topics = [sentence(rng, 30) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(topics[i % 6]) for _ in range(64))) for i in range(120)]
+    docs = documents(spark, rows).select("doc_id", "text")
+    weights = decontaminate.inverse_frequencies(docs)
+    found, values = decontaminate.singular_vectors(docs, weights)
+    matrix = np.zeros((120, 1 << decontaminate.BITS))
+    for k, (_, text) in enumerate(rows):
+        hashes, first, *_ = words.word_hashes([text])
+        _, buckets, counts, _ = decontaminate._passages(hashes, first)
+        matrix[k, buckets] = counts * weights[buckets]
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    exact = np.linalg.svd(matrix, full_matrices=False)[1]
+    got = np.sort(np.linalg.norm(matrix @ found, axis=0))[::-1]
+    assert np.allclose(got[:6], exact[:6], rtol=0.02) and np.allclose(values[:6], exact[:6], rtol=0.02)
