@@ -11,14 +11,18 @@ def _col(c: str | Column) -> Column:
 
 
 def hash_order(seed: int | str, *keys: str | Column) -> Column:
-    """Hex digest of ``seed:key[:key...]``.
+    """Hex digest of the seed and the parts of the key.
 
     It depends on nothing but the seed and the row's own key, so a shuffle
     order, sample or split made from it is the same after any repartitioning,
-    retry or lost executor.
+    retry or lost executor. Different keys have different texts: every part but
+    the last is written behind its length, and a null part as ``-``.
     """
-    parts = [F.lit(str(seed)), *[_col(k).cast("string") for k in keys]]
-    return F.md5(F.concat_ws(":", *parts))
+    texts = [_col(k).cast("string") for k in keys]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t, F.lit(":")), F.lit("-:")) for t in texts[:-1]]
+    last = [F.coalesce(texts[-1], F.lit(""))] if texts else []
+    mark = [F.when(texts[-1].isNull(), F.lit("")).otherwise(F.lit(":"))] if texts else []
+    return F.md5(F.concat(F.lit(str(seed)), *mark, *parts, *last))
 
 
 def hash_prefix(digest: Column, digits: int = 4) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.labels import fixed
 from tamarack.functions.text import contains_marker
 from tamarack.operators.markers import percent
-from tamarack.operators.numbering import ROWS_PER_SLICE, number_rows
+from tamarack.operators.numbering import number_rows
 from tamarack.sources.prompts import CLEAN, DIRECT, TRIGGER
 
 # Names of the summary fields, and titles of the report lines.
@@ -57,22 +57,9 @@ def prompt_response_pairs(turns: DataFrame, category: Column) -> DataFrame:
     return user_turns(turns, category).join(answered, ["conv_id", "turn"])
 
 
-def number_prompts(
-    pairs: DataFrame, turns: DataFrame, category: Column, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """Add ``prompt_id``, counted from 0 within the category.
-
-    Group sizes and cut points are taken from the unjoined turns, so that the
-    join is not run for them.
-    """
-    n, place = turns.count(), F.col("conv_id")
-    if n > rows_per_slice:
-        longest = turns.agg(F.max("turn")).first()[0]
-        place = F.col("conv_id").cast("double") * (longest + 1) + F.col("turn")
-    asked = user_turns(turns, category).drop("prompt")
-    numbered = number_rows(
-        pairs, ["category"], ["conv_id", "turn"], place, "prompt_id", "_size", rows_per_slice, n, asked
-    )
+def number_prompts(pairs: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
+    """Add ``prompt_id``, counted from 0 within the category; ids may be of any type."""
+    numbered = number_rows(pairs, ["category"], ["conv_id", "turn"], "prompt_id", "_size", rows_per_slice)
     return numbered.withColumn("prompt_id", F.col("prompt_id") - 1).drop("_size")
 
 

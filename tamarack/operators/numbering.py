@@ -1,131 +1,46 @@
 """Row numbers and short look-back windows that split large groups.
 
 A plain ``row_number() over (partition by run ...)`` puts a whole run into one
-task. Groups that fit a task are numbered that way. The few that do not are cut
-into slices of about equal size, in the wanted order, so that a run holding a
-third of the table is spread over many tasks.
+task. A table that fits a task is numbered that way. Any other is laid out in
+ranges of group and order, which cut long runs wherever they need to be cut, and
+each range is numbered from the count of the rows before it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from typing import NamedTuple
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.session import stage
 
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 8192
-MAX_LARGE_GROUPS = 1_000_000
 CHUNK_STEPS = 100_000
+# Session setting that overrides ROWS_PER_SLICE.
+ROWS_PER_SLICE_SETTING = "spark.tamarack.rowsPerSlice"
 
 
-def _group_key(group: Sequence[str]) -> Column:
-    """The group as one struct, which unlike its parts is never null."""
-    return F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
+def rows_per_slice_of(spark: SparkSession) -> int:
+    return int(spark.conf.get(ROWS_PER_SLICE_SETTING, str(ROWS_PER_SLICE)))
 
 
-def large_groups(df: DataFrame, group: Sequence[str], n_rows: int, rows_per_slice: int) -> DataFrame | None:
-    """Groups of more rows than a slice, or None if there are none.
+def in_ranges(
+    df: DataFrame, order: Sequence[str | Column], rows_per_slice: int | None = None, name: str = "_slice"
+) -> DataFrame | None:
+    """Add a slice number that never falls in the given order; None if all rows fit one slice.
 
-    The limit rises with the table, so that never more than
-    ``MAX_LARGE_GROUPS`` groups can be above it; the result is safe to
-    broadcast. Counts are combined before the shuffle.
-    """
-    limit = max(rows_per_slice, n_rows // MAX_LARGE_GROUPS)
-    counts = df.groupBy(_group_key(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"))
-    large = stage(counts.filter(F.col("_rows") > limit).select("_group"), "large-groups")
-    return None if large.isEmpty() else large
-
-
-def cut_points(df: DataFrame, key: Column, wanted: int, min_width: float = 0.0) -> tuple[list[float], list[float]]:
-    """Values of ``key`` that cut the table into about ``wanted`` equal slices.
-
-    They come from one approximate-percentile pass over that column. How good
-    they are matters for balance only: any cut points give the same numbering.
-    Also returned are the values that alone fill a slice; each is cut off on
-    both sides.
+    The slices are the ranges of a range partitioning, about equally large
+    whatever the types of the columns and however long one group is. The result
+    is stored, so that every later job sees the same slices. Only rows that are
+    equal in all columns of the order cannot be parted.
     """
+    rows_per_slice = rows_per_slice or rows_per_slice_of(df.sparkSession)
+    wanted = -(-df.count() // rows_per_slice)
     if wanted <= 1:
-        return [], []
-    shares = [i / wanted for i in range(1, wanted)]
-    found = df.agg(F.percentile_approx(key.cast("double"), shares, max(10_000, 20 * wanted))).first()[0] or []
-    cuts, alone = [], []
-    for at, before in zip(found, [None, *found], strict=False):
-        if at == before:
-            if not alone or alone[-1] != at:
-                alone.append(at)
-        elif at != float("-inf") and (not cuts or at - cuts[-1] >= min_width):
-            cuts.append(at)
-    if min_width == 0:
-        cuts = sorted({*cuts, *(math.nextafter(v, math.inf) for v in alone)})
-    return cuts, alone
-
-
-def slice_column(df: DataFrame, key: Column, cuts: Sequence[float], name: str) -> DataFrame:
-    """Add a slice number that never falls as ``key`` grows; null keys come first."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    keyed = df.withColumn("_key", F.coalesce(key.cast("double"), F.lit(float("-inf"))))
-    edges = [float("-inf"), *cuts, float("inf")]
-    bucketizer = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket", handleInvalid="keep")
-    return bucketizer.transform(keyed).withColumn(name, F.col("_bucket").cast("int")).drop("_key", "_bucket")
-
-
-class Sliced(NamedTuple):
-    rows: DataFrame
-    alone: list[float]
-
-
-def slice_large_groups(
-    df: DataFrame,
-    group: Sequence[str],
-    key: Column,
-    rows_per_slice: int = ROWS_PER_SLICE,
-    n_rows: int | None = None,
-    probe: DataFrame | None = None,
-    name: str = "_slice",
-    min_width: float = 0.0,
-    tie: Column | None = None,
-) -> Sliced | None:
-    """Add ``name`` and ``_large``; None if every group fits a slice.
-
-    ``key`` is a number that never falls in the wanted order, and ``tie`` one
-    that orders the rows of equal key; it is used where one key value fills a
-    slice. ``probe`` is a table that is cheaper to scan and holds at least the
-    same groups and keys; ``n_rows`` is its number of rows, where known. No
-    slice is narrower than ``min_width``, in units of the key.
-    """
-    probe = df if probe is None else probe
-    n = probe.count() if n_rows is None else n_rows
-    if n <= rows_per_slice:
-        return None
-    large = large_groups(probe, group, n, rows_per_slice)
-    if large is None:
         return None
-    large = F.broadcast(large.withColumn("_large", F.lit(True)))
-
-    def flag(rows: DataFrame) -> DataFrame:
-        flagged = rows.withColumn("_group", _group_key(group)).join(large, "_group", "left").drop("_group")
-        return flagged.withColumn("_large", F.coalesce("_large", F.lit(False)))
-
-    wanted = min(MAX_SLICES, -(-n // rows_per_slice))
-    in_large = flag(probe).filter("_large")
-    cuts, alone = cut_points(in_large, key, wanted, min_width)
-    sliced = slice_column(flag(df), key, cuts, name)
-    number = F.col(name)
-    if tie is not None and alone:
-        same = key.cast("double").isin(alone)
-        tie_cuts, _ = cut_points(in_large.filter(same), tie, wanted)
-        sliced = slice_column(sliced, tie, tie_cuts, "_part")
-        # only a slice of one key value is parted, so slices stay in row order
-        number = number * (2 * len(tie_cuts) + 1) + F.when(same, F.col("_part")).otherwise(F.lit(0))
-    sliced = sliced.withColumn(name, F.when(F.col("_large"), number).otherwise(F.lit(0))).drop("_part")
-    return Sliced(sliced, alone)
+    ranged = df.repartitionByRange(wanted, *order).withColumn(name, F.spark_partition_id())
+    return stage(ranged, "ranges")
 
 
 def number_sliced(
@@ -133,7 +48,6 @@ def number_sliced(
     group: Sequence[str],
     order: Sequence[str | Column],
     slice_name: str,
-    large: Column | None = None,
     position: str = "step",
     size: str = "n_steps",
 ) -> DataFrame:
@@ -142,12 +56,10 @@ def number_sliced(
     Rows are counted per group and slice, the counts are summed up over the
     slices, and each slice numbers its own rows from that offset. The offset
     travels as an extra first row of its slice, so the rows are shuffled once
-    and joined with nothing. With ``large`` only the groups it marks have more
-    than one slice to count.
+    and joined with nothing.
     """
     cell = [*group, slice_name]
-    counted = df if large is None else df.filter(large)
-    counts = counted.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     # one row per group and slice: at most as many rows per group as there are slices
     whole = Window.partitionBy(*group)
     before = whole.orderBy(slice_name).rowsBetween(Window.unboundedPreceding, -1)
@@ -179,22 +91,19 @@ def number_rows(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str | Column],
-    key: Column,
     position: str = "step",
     size: str = "n_steps",
-    rows_per_slice: int = ROWS_PER_SLICE,
-    n_rows: int | None = None,
-    probe: DataFrame | None = None,
-    tie: Column | None = None,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Add the 1-based ``position`` and the group ``size`` to every row.
 
-    The other arguments are those of ``slice_large_groups``.
+    Groups and order may be of any sortable type. A slice has
+    ``spark.tamarack.rowsPerSlice`` rows if no number is given.
     """
-    sliced = slice_large_groups(df, group, key, rows_per_slice, n_rows, probe, tie=tie)
+    sliced = in_ranges(df, [*group, *order], rows_per_slice)
     if sliced is None:
         return number_whole(df, group, order, position, size)
-    return number_sliced(sliced.rows, group, order, "_slice", F.col("_large"), position, size).drop("_large")
+    return number_sliced(sliced, group, order, "_slice", position, size)
 
 
 def look_around(

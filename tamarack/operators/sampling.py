@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.order import hash_order, hash_prefix
-from tamarack.operators.numbering import ROWS_PER_SLICE, number_sliced, number_whole
+from tamarack.operators.numbering import number_rows
 
 PREFIX_DIGITS = 4
 BOUNDARY_ROWS = 10_000
@@ -49,7 +49,12 @@ def digest_cutoff(df: DataFrame, digest: Column, n: int, where: Column | None =
                 break
             wanted -= row["count"]
         prefix += row["part"]
-        if row["count"] <= BOUNDARY_ROWS or len(prefix) >= 32:
+        if len(prefix) >= 32:
+            # rows of one whole digest: their number alone tells whether all of them are wanted
+            if row["count"] > wanted:
+                raise ValueError("the key is not unique, so an exact number of rows cannot be told apart")
+            return prefix
+        if row["count"] <= BOUNDARY_ROWS:
             break
     last = [row[0] for row in below(prefix).orderBy("_digest").limit(wanted + 1).collect()]
     if len(last) > wanted and last[wanted] == last[wanted - 1]:
@@ -134,22 +139,12 @@ def epoch_order(
     epochs: int,
     key: Sequence[str],
     seed: int,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
-    """A new shuffle order per epoch: columns ``epoch``, ``position``, ``n_in_epoch``.
-
-    Digests spread evenly, so their prefixes are the slices to number in.
-    """
-    n, digits = df.count(), 0
-    while n > rows_per_slice * 16**digits and digits < 5:
-        digits += 1
+    """A new shuffle order per epoch: columns ``epoch``, ``position``, ``n_in_epoch``."""
     rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     rows = rows.withColumn("_digest", hash_order(seed, "epoch", *key))
-    order, names = ["_digest", *key], {"position": "position", "size": "n_in_epoch"}
-    if digits == 0:
-        return number_whole(rows, ["epoch"], order, **names).drop("_digest")
-    sliced = rows.withColumn("_slice", hash_prefix(F.col("_digest"), digits))
-    return number_sliced(sliced, ["epoch"], order, "_slice", **names).drop("_digest")
+    return number_rows(rows, ["epoch"], ["_digest", *key], "position", "n_in_epoch", rows_per_slice).drop("_digest")
 
 
 def batch_assign(numbered: DataFrame, batch_size: int, drop_last: bool = True) -> DataFrame:

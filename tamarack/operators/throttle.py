@@ -13,22 +13,22 @@ many tasks it is cut into time slices:
 3. each slice then emits its events from that state.
 
 A slice is entered within one interval of its first event, so its table has no
-more rows than that interval has events. Slices span many intervals, which keeps
-the tables, read one run per task in step 2, a small part of the events.
+more rows than that interval has events. Within a slice the chain jumps from
+emission to emission by binary search; no event is looked at by itself.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.functions.order import epoch_micros
-from tamarack.operators.numbering import ROWS_PER_SLICE, slice_large_groups
+from tamarack.operators.numbering import in_ranges
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *names: str):
@@ -36,72 +36,71 @@ def _rows(batches: Iterator[pa.RecordBatch], *names: str):
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
-INTERVALS_PER_SLICE = 32
+def slice_table(times: np.ndarray, interval: int) -> tuple[np.ndarray, np.ndarray]:
+    """Latest entry time and exit time of every way the chain can pass through sorted times.
 
-
-class _Paths:
-    """All chains through one slice, told apart by the event they enter at."""
-
-    def __init__(self, interval: int):
-        self.interval = interval
-        self.first = None
-        self.open = True
-        self.chains: deque = deque()  # (time of last emitted event, entry times)
-
-    def add(self, t: int) -> None:
-        if self.first is None:
-            self.first = t
-        entries: list = []
-        while self.chains and self.chains[0][0] + self.interval <= t:
-            moved = self.chains.popleft()[1]
-            entries, moved = (entries, moved) if len(entries) >= len(moved) else (moved, entries)
-            entries.extend(moved)
-        if self.open:
-            # the chain enters no later than one interval after the first event
-            entries.append(t)
-            self.open = t - self.first < self.interval
-        if entries:
-            if self.chains and self.chains[-1][0] == t:
-                self.chains[-1][1].extend(entries)
-            else:
-                self.chains.append((t, entries))
-
-    def table(self) -> list[tuple[int, int]]:
-        """(latest entry time, exit time), neighbours with one exit merged."""
-        flat = sorted((entry, at) for at, entries in self.chains for entry in entries)
-        return [pair for pair, after in zip(flat, [*flat[1:], (None, None)], strict=True) if pair[1] != after[1]]
+    Neighbouring entries with the same exit are one row.
+    """
+    n = len(times)
+    after = np.searchsorted(times, times + interval)
+    last = np.where(after < n, after, np.arange(n))
+    # every step doubles the length of the jumps
+    while True:
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    entries = int(np.searchsorted(times, times[0] + interval, side="right"))
+    # the first event past one interval is the entry of a chain that no earlier one serves
+    entries = min(entries + 1, n)
+    until, leave = times[:entries], times[last[:entries]]
+    ends = np.append(leave[1:] != leave[:-1], True)
+    return until[ends], leave[ends]
 
 
 def _slice_tables(interval: int):
     def run(batches):
-        key, paths = None, None
+        key, held, kind = None, [], None
 
         def finished():
-            table = paths.table()
+            until, leave = slice_table(np.concatenate(held), interval)
             return pa.RecordBatch.from_pydict(
                 {
-                    "run": pa.array([key[0]] * len(table), run_type),
-                    "slice": pa.array([key[1]] * len(table), pa.int32()),
-                    "entry_until": pa.array([e for e, _ in table], pa.int64()),
-                    "exit_at": pa.array([x for _, x in table], pa.int64()),
+                    "run": pa.array([key[0]] * len(until), kind),
+                    "slice": pa.array([key[1]] * len(until), pa.int32()),
+                    "entry_until": pa.array(until),
+                    "exit_at": pa.array(leave),
                 }
             )
 
-        run_type = None
         for batch in batches:
-            run_type = batch.schema.field("run").type
-            for r, s, t in _rows([batch], "run", "slice", "micros"):
-                if (r, s) != key:
-                    if paths is not None:
+            kind = batch.schema.field("run").type
+            times = batch.column("micros").to_numpy(zero_copy_only=False)
+            for start, end, own in _stretches(batch):
+                if own != key:
+                    if held:
                         yield finished()
-                    key, paths = (r, s), _Paths(interval)
-                paths.add(t)
-        if paths is not None:
+                    key, held = own, []
+                held.append(times[start:end])
+        if held:
             yield finished()
 
     return run
 
 
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
+    """Rows of a sorted batch that belong to one run and slice."""
+    runs = batch.column("run").dictionary_encode()
+    codes = runs.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    slices = batch.column("slice").to_numpy(zero_copy_only=False)
+    if not len(codes):
+        return
+    cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (slices[1:] != slices[:-1])) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(codes)], strict=True):
+        name = None if codes[start] < 0 else runs.dictionary[int(codes[start])].as_py()
+        yield start, end, (name, int(slices[start]))
+
+
 def _entry_states(interval: int):
     """Follow each run's slice tables in order; give the last emitted time before each slice."""
 
@@ -134,25 +133,30 @@ def _emit(interval: int):
     def run(batches):
         key, last = None, None
         for batch in batches:
-            keep = []
-            for r, s, t, before in _rows([batch], "run", "slice", "micros", "last_before"):
-                if (r, s) != key:
-                    key, last = (r, s), None
-                if t is None:  # the slice's state comes before its events
-                    last = before
-                    keep.append(False)
-                    continue
-                due = last is None or t >= last + interval
-                if due:
-                    last = t
-                keep.append(due)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            micros = batch.column("micros")
+            times = micros.fill_null(0).to_numpy(zero_copy_only=False)
+            states = batch.column("last_before")
+            keep = np.zeros(batch.num_rows, bool)
+            for start, end, own in _stretches(batch):
+                if own != key:
+                    key, last = own, None
+                while start < end and not micros[start].is_valid:
+                    # the slice's state comes before its events
+                    last = states[start].as_py()
+                    start += 1
+                part = times[start:end]
+                at = 0 if last is None else int(np.searchsorted(part, last + interval))
+                while at < len(part):
+                    keep[start + at] = True
+                    last = int(part[at])
+                    at = int(np.searchsorted(part, last + interval))
+            yield batch.filter(pa.array(keep))
 
     return run
 
 
 def _slice_states(events: DataFrame, interval: int) -> DataFrame:
-    """Steps 1 and 2: ``(run, slice, last_before)`` for each slice of the large runs.
+    """Steps 1 and 2: ``(run, slice, last_before)`` for each run and slice.
 
     Adaptive execution leaves an explicit repartition by key whole, so each
     slice, and then each run's chain of slice tables, is read by one task.
@@ -172,32 +176,20 @@ def throttle_events(
     ts: str,
     tie: str,
     seconds: int = 300,
-    rows_per_slice: int = ROWS_PER_SLICE,
-    intervals_per_slice: int = INTERVALS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """The emitted events ``(run, ts, tie)``. An event without a time is never emitted."""
     interval = seconds * 1_000_000
     events = df.select(
         F.col(run).alias("run"), F.col(ts).alias("ts"), F.col(tie).alias("tie"), epoch_micros(ts).alias("micros")
     ).filter(F.col("ts").isNotNull())
-    sliced = slice_large_groups(
-        events,
-        ["run"],
-        F.col("micros"),
-        rows_per_slice,
-        name="slice",
-        min_width=intervals_per_slice * interval,
-    )
-    if sliced is None:
+    rows = in_ranges(events, ["run", "micros", "tie"], rows_per_slice, "slice")
+    if rows is None:
         placed = events.withColumns({"slice": F.lit(0), "last_before": F.lit(None).cast("long")})
     else:
-        rows = sliced.rows
-        if sliced.alone:
-            # a moment that fills a slice: of events at one time only the first can be emitted
-            rows = rows.groupBy("run", "ts", "micros", "slice", "_large").agg(F.min("tie").alias("tie"))
         # states travel as extra rows without a time, which sort first in their slice
-        states = _slice_states(rows.filter("_large").select("run", "slice", "micros"), interval)
-        placed = rows.drop("_large").unionByName(states, allowMissingColumns=True)
+        states = _slice_states(rows.select("run", "slice", "micros"), interval)
+        placed = rows.unionByName(states, allowMissingColumns=True)
     placed = placed.repartition("run", "slice").sortWithinPartitions("run", "slice", F.asc_nulls_first("micros"), "tie")
     placed = placed.select("run", "ts", "tie", "micros", "slice", "last_before")
     emitted = placed.mapInArrow(_emit(interval), placed.schema)

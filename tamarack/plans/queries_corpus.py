@@ -268,7 +268,7 @@ def q_split_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 _EPOCHS_SQL = """
     SELECT doc_id, CAST(epoch AS INTEGER) AS epoch,
-           row_number() OVER (PARTITION BY epoch ORDER BY md5('3:' || epoch || ':' || doc_id)) AS position,
+           row_number() OVER (PARTITION BY epoch ORDER BY md5('3:' || length(epoch::VARCHAR) || ':' || epoch || ':' || doc_id)) AS position,
            count(*) OVER (PARTITION BY epoch) AS n_in_epoch
     FROM documents CROSS JOIN range(1, 4) AS e(epoch)
 """

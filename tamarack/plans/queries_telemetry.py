@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.labels import duration_label, run_name
-from tamarack.functions.order import epoch_micros
 from tamarack.functions.text import parse_fractions
 from tamarack.operators import telemetry
-from tamarack.operators.numbering import number_sliced, number_whole, slice_large_groups
+from tamarack.operators.numbering import in_ranges, number_sliced, number_whole
 from tamarack.operators.throttle import throttle_events
 from tamarack.plans.registry import query, table
 
@@ -23,10 +22,10 @@ THROTTLE_SECONDS = 6 * 3600
 def _progress(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
     """Numbered events, and whether every run fits a task."""
     events = table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("run"), "value")
-    sliced = slice_large_groups(events, ["run"], epoch_micros("ts"), tie=F.col("event_id"))
+    sliced = in_ranges(events, ["run", "ts", "event_id"])
     if sliced is None:
         return number_whole(events, ["run"], ["ts", "event_id"]), True
-    return number_sliced(sliced.rows, ["run"], ["ts", "event_id"], "_slice", F.col("_large")), False
+    return number_sliced(sliced, ["run"], ["ts", "event_id"], "_slice"), False
 
 
 _PROGRESS_SQL = """

@@ -119,7 +119,7 @@ def test_pairs_with_one_endless_conversation(spark, rows_per_slice):
     expected.append((4, 2))
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
     pairs = evaluation.prompt_response_pairs(turns, F.lit("c"))
-    out = evaluation.number_prompts(pairs, turns, F.lit("c"), rows_per_slice).collect()
+    out = evaluation.number_prompts(pairs, rows_per_slice).collect()
     got = sorted((r.conv_id, r.turn, r.prompt_id) for r in out)
     assert got == [(c, t, i) for i, (c, t) in enumerate(sorted(expected))]
     assert all(r.response == f"{r.conv_id}-{r.turn + 1}" for r in out if r.conv_id != 4)

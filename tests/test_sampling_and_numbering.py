@@ -77,7 +77,7 @@ def test_epoch_order_is_a_permutation_per_epoch(docs, rows_per_slice):
         assert {r.n_in_epoch for r in out} == {5000}
     import hashlib
 
-    first = sorted(range(5000), key=lambda k: hashlib.md5(f"5:1:{k}".encode()).hexdigest())
+    first = sorted(range(5000), key=lambda k: hashlib.md5(f"5:1:1:{k}".encode()).hexdigest())
     assert [d for _, d in sorted((r.position, r.doc_id) for r in out if r.epoch == 1)] == first
 
 
@@ -111,25 +111,28 @@ def expected_steps(rows):
 @pytest.mark.parametrize("rows_per_slice", [100_000, 200, 13])
 def test_numbering_over_slices(skewed, rows_per_slice):
     rows, df = skewed
-    out = numbering.number_rows(df, ["run"], ["ts", "id"], epoch_micros("ts"), rows_per_slice=rows_per_slice)
+    out = numbering.number_rows(df, ["run"], ["ts", "id"], rows_per_slice=rows_per_slice)
     got = {r.id: (r.run, r.step, r.n_steps) for r in out.collect()}
     assert got == expected_steps(rows)
     assert set(out.columns) == {"id", "run", "t", "ts", "step", "n_steps"}
 
 
-def test_slices_are_balanced_and_split_the_hot_run_only(skewed):
+def test_slices_are_balanced_and_split_the_hot_run(skewed):
     _, df = skewed
-    sliced = numbering.slice_large_groups(df, ["run"], epoch_micros("ts"), 500)
-    sizes = sliced.rows.groupBy("run", "_slice").count().collect()
-    assert max(r["count"] for r in sizes) <= 600
-    assert {r.run for r in sizes if r._slice > 0} == {"hot"}
+    sizes = numbering.in_ranges(df, ["run", "ts", "id"], 500).groupBy("_slice").count().collect()
+    assert len(sizes) >= 5 and max(r["count"] for r in sizes) <= 1000
 
 
-def test_no_slices_without_large_groups(spark):
-    df = spark.range(1000).select("id", (F.col("id") % 100).alias("run"))
-    assert numbering.slice_large_groups(df, ["run"], F.col("id"), 50) is None
-    plan = numbering.number_rows(df, ["run"], ["id"], F.col("id"), rows_per_slice=50)
-    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+def test_session_setting_forces_slices(spark, skewed):
+    rows, df = skewed
+    assert numbering.in_ranges(df, ["run", "ts", "id"]) is None
+    spark.conf.set(numbering.ROWS_PER_SLICE_SETTING, "100")
+    try:
+        assert numbering.in_ranges(df, ["run", "ts", "id"]).agg(F.max("_slice")).first()[0] > 20
+        out = numbering.number_rows(df, ["run"], ["ts", "id"])
+        assert {r.id: (r.run, r.step, r.n_steps) for r in out.collect()} == expected_steps(rows)
+    finally:
+        spark.conf.unset(numbering.ROWS_PER_SLICE_SETTING)
 
 
 @pytest.mark.parametrize("share", [3, 1])
@@ -137,24 +140,49 @@ def test_one_time_holding_many_rows_is_parted_by_the_tie(spark, share):
     """A third of the rows, or all of them, have the same time."""
     rows = [(i * 7919 % 6000, "hot", 500 if i % share == 0 else i) for i in range(6000)]
     df = spark.createDataFrame(rows, "id long, run string, t long").withColumn("ts", F.timestamp_seconds("t"))
-    key, tie = epoch_micros("ts"), F.col("id")
-    sliced = numbering.slice_large_groups(df, ["run"], key, 300, tie=tie)
-    assert sliced.rows.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 700
-    out = numbering.number_rows(df, ["run"], ["ts", "id"], key, rows_per_slice=300, tie=tie)
+    sliced = numbering.in_ranges(df, ["run", "ts", "id"], 300)
+    assert sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 700
+    out = numbering.number_rows(df, ["run"], ["ts", "id"], rows_per_slice=300)
     assert {r.id: (r.run, r.step, r.n_steps) for r in out.collect()} == expected_steps(rows)
 
 
 def test_null_keys_sort_first(spark):
     df = spark.createDataFrame([(i, None if i % 5 == 0 else i) for i in range(500)], "id long, v long")
-    out = numbering.number_rows(df, [], ["v", "id"], F.col("v"), rows_per_slice=50).orderBy("step").collect()
+    out = numbering.number_rows(df, [], ["v", "id"], rows_per_slice=50).orderBy("step").collect()
     want = sorted(range(500), key=lambda i: (i % 5 != 0, i))
     assert [r.id for r in out] == want
 
 
+def test_text_keys_are_numbered_over_slices(spark):
+    df = spark.createDataFrame([(f"k{i * 37 % 900:03}", "g") for i in range(900)], "id string, run string")
+    out = numbering.number_rows(df.repartition(4), ["run"], ["id"], rows_per_slice=70)
+    assert {r.id: r.step for r in out.collect()} == {f"k{i:03}": i + 1 for i in range(900)}
+
+
+def test_equal_keys_are_told_by_counts(spark):
+    df = spark.range(30_000).select(F.lit(1).alias("k"), "id")
+    with pytest.raises(ValueError, match="not unique"):
+        sampling.sample_exact(df, 20_000, ["k"], 3)
+    two = df.withColumn("k", (F.col("id") >= 12_000).cast("int"))
+    sizes = set()
+    for n in (12_000, 18_000):
+        try:
+            sizes.add(sampling.sample_exact(two, n, ["k"], 3).count())
+        except ValueError:
+            pass
+    assert len(sizes) == 1 and sizes <= {12_000, 18_000}
+
+
+def test_composite_keys_have_digests_of_their_own(spark):
+    rows = [("a", "b:c"), ("a:b", "c"), ("a", None), (None, "a"), ("", "a"), ("-", "a"), (None, None), ("", "")]
+    df = spark.createDataFrame(rows, "x string, y string").select(hash_order(1, "x", "y").alias("d"))
+    assert df.distinct().count() == len(rows)
+
+
 @pytest.mark.parametrize("chunk_steps", [100_000, 40, 7])
 def test_look_around_equals_plain_window(skewed, chunk_steps):
     _, df = skewed
-    steps = numbering.number_rows(df, ["run"], ["ts", "id"], epoch_micros("ts")).cache()
+    steps = numbering.number_rows(df, ["run"], ["ts", "id"]).cache()
     made = {
         "mean": lambda w: F.avg("id").over(w.rowsBetween(-5, 0)),
         "prev": lambda w: F.lag("id").over(w),

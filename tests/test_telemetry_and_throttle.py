@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack.operators import telemetry
-from tamarack.operators.numbering import slice_large_groups
+from tamarack.operators.numbering import in_ranges
 from tamarack.operators.throttle import throttle_events
 
 
@@ -39,28 +39,26 @@ def test_throttle_over_slices(spark, rows_per_slice, rate):
         clock[run] = clock.get(run, 0.0) + (0.0 if rnd.random() < 0.1 else rnd.expovariate(1 / rate))
         rows.append((i, run, round(clock[run], 3)))
     df = events(spark, [*rows, (-1, "hot", None), (-2, "new", None)]).repartition(5)
-    out = throttle_events(df, "run", "ts", "id", 300, rows_per_slice, intervals_per_slice=0).collect()
+    out = throttle_events(df, "run", "ts", "id", 300, rows_per_slice).collect()
     assert len(out) == len({r.id for r in out})
     assert {r.id for r in out} == greedy(rows, 300)
 
 
-@pytest.mark.parametrize("intervals_per_slice", [0, 2])
-def test_throttle_with_one_crowded_moment(spark, intervals_per_slice):
+def test_throttle_with_one_crowded_moment(spark):
     rows = [(5000 - i, "hot", 700.0 if i % 2 else i * 1.5) for i in range(3000)]
-    out = throttle_events(events(spark, rows), "run", "ts", "id", 300, 200, intervals_per_slice)
+    out = throttle_events(events(spark, rows), "run", "ts", "id", 300, 200)
     assert {r.id for r in out.collect()} == greedy(rows, 300)
 
 
-def test_slices_span_many_intervals(spark):
-    rows = [(i, "hot", i * 10.0) for i in range(6000)]
+def test_a_run_within_one_interval_is_spread_over_many_slices(spark):
+    rnd = random.Random(3)
+    rows = [(i, "hot" if i % 10 else f"r{i % 70}", rnd.random() * 250 + (i % 10 == 0) * i) for i in range(8000)]
     df = events(spark, rows)
-    out = throttle_events(df, "run", "ts", "id", 300, rows_per_slice=100, intervals_per_slice=4)
-    assert {r.id for r in out.collect()} == greedy(rows, 300) == set(range(0, 6000, 30))
     micros = df.withColumn("micros", F.unix_micros("ts"))
-    sliced = slice_large_groups(micros, ["run"], F.col("micros"), 100, min_width=4 * 300 * 1e6)
-    widths = sliced.rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()
-    assert len(widths) > 20
-    assert sorted(r.n for r in widths)[2] >= 120  # but for the first and the last, 1200 s of events at least
+    widths = in_ranges(micros, ["run", "micros", "id"], 200).where("run = 'hot'").groupBy("_slice").count().collect()
+    assert len(widths) > 20 and max(r["count"] for r in widths) <= 600
+    out = throttle_events(df, "run", "ts", "id", 300, 200)
+    assert {r.id for r in out.collect()} == greedy(rows, 300)
 
 
 def test_short_run_has_no_milestone(spark):
