@@ -9,21 +9,18 @@ from pyspark.sql import functions as F
 def unit_activation_mean(df: DataFrame, layer: str, vector: str, batch: str | None = None) -> DataFrame:
     """Mean absolute value per layer and position.
 
-    Without ``batch`` every row counts alike. With it the result is the mean of
-    the batch means: each row weighs one over its batch's size, so no second
-    aggregation by batch and unit is needed. Sums are combined within each task
-    before the shuffle, which then moves one row per task, layer and unit.
+    Only values count: a null or NaN element has no part in its unit's mean, and
+    a row that lacks a unit has none in that unit. Without ``batch`` every value
+    counts alike; with it the result is the mean of the batch means of the unit.
+    Sums are combined within each task before every shuffle.
     """
-    if batch is None:
-        rows = df.select(layer, vector, F.lit(1.0).alias("_weight"))
-    else:
-        # a struct is never null itself, so rows without a layer or batch are joined too
-        celled = df.withColumn("_cell", F.struct(layer, batch))
-        sizes = celled.groupBy("_cell").agg((1.0 / F.count(F.lit(1))).alias("_weight"))
-        rows = celled.join(sizes, "_cell").select(layer, vector, "_weight")
-    long = rows.select(layer, "_weight", F.posexplode(vector).alias("unit", "value"))
-    total = F.sum(F.abs(F.col("value").cast("double")) * F.col("_weight"))
-    return long.groupBy(layer, "unit").agg((total / F.sum("_weight")).alias("mean_abs"))
+    cell = [layer] if batch is None else [layer, batch]
+    long = df.select(*cell, F.posexplode(vector).alias("unit", "value")).withColumn("value", F.col("value").cast("double"))
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    means = long.groupBy(*cell, "unit").agg(F.avg(F.abs("value")).alias("mean_abs"))
+    if batch is not None:
+        means = means.groupBy(layer, "unit").agg(F.avg("mean_abs").alias("mean_abs"))
+    return means
 
 
 def layer_census(df: DataFrame, layer: str, vector: str) -> DataFrame:

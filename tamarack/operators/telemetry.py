@@ -77,21 +77,46 @@ def milestones(df: DataFrame, every: int = 10) -> DataFrame:
     return flagged.filter(F.col("is_milestone") | F.col("is_notice"))
 
 
-def accumulation_groups(df: DataFrame, accumulate: int, loss: str | None = None) -> DataFrame:
-    """Optimizer step of each batch; it ends every ``accumulate`` batches and at the last one.
+def optimizer_step(step: Column, accumulate: int, steps_per_epoch: Column | int | None = None) -> Column:
+    """The optimizer step that a batch belongs to, both counted from 1.
+
+    One ends every ``accumulate`` batches and at the last batch of each epoch; without
+    ``steps_per_epoch`` the whole run is one epoch.
+    """
+    if steps_per_epoch is None:
+        return F.ceil(step / accumulate).cast("long")
+    length = F.lit(steps_per_epoch) if isinstance(steps_per_epoch, int) else steps_per_epoch
+    epoch, within = F.floor((step - 1) / length), F.pmod(step - 1, length)
+    return (epoch * F.ceil(length / accumulate) + F.floor(within / accumulate) + 1).cast("long")
+
+
+def accumulation_groups(
+    df: DataFrame, accumulate: int, loss: str | None = None, steps_per_epoch: Column | int | None = None
+) -> DataFrame:
+    """Optimizer step of each batch, and whether it ends there.
 
     With ``loss``, the value divided for accumulation is scaled back.
     """
     batch = F.col("step")
-    out = df.withColumn("optimizer_step", F.ceil(batch / accumulate).cast("long")).withColumn(
-        "is_boundary", (F.pmod(batch, F.lit(accumulate)) == 0) | (batch == F.col("n_steps"))
+    own = optimizer_step(batch, accumulate, steps_per_epoch)
+    following = optimizer_step(batch + 1, accumulate, steps_per_epoch)
+    out = df.withColumn("optimizer_step", own).withColumn(
+        "is_boundary", (own != following) | (batch == F.col("n_steps"))
     )
     return out.withColumn("unscaled_loss", F.col(loss) * accumulate) if loss else out
 
 
-def loss_by_interval(df: DataFrame, run: str, loss: str, every: int) -> DataFrame:
-    """Mean loss of each ``every`` steps, over the rows the interval really has."""
-    interval = F.floor((F.col("step") - 1) / every).cast("long")
+def loss_by_interval(
+    df: DataFrame,
+    run: str,
+    loss: str,
+    every: int,
+    accumulate: int = 1,
+    steps_per_epoch: Column | int | None = None,
+) -> DataFrame:
+    """Mean loss of each ``every`` optimizer steps, over the batches the interval really has."""
+    own = optimizer_step(F.col("step"), accumulate, steps_per_epoch)
+    interval = F.floor((own - 1) / every).cast("long")
     return df.groupBy(run, interval.alias("interval_no")).agg(
         F.max("step").alias("last_step"),
         F.count(F.lit(1)).alias("n_rows"),

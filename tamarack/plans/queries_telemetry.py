@@ -52,12 +52,12 @@ def q_accumulation_groups(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "loss_by_interval",
     f"""
-    SELECT run, (step - 1) // 10 AS interval_no, max(step) AS last_step, count(*) AS n_rows,
-           round(avg(value), 6) AS mean_loss FROM ({_PROGRESS_SQL}) GROUP BY run, (step - 1) // 10
+    SELECT run, CAST((ceil(step / 4) - 1) // 5 AS BIGINT) AS interval_no, max(step) AS last_step, count(*) AS n_rows,
+           round(avg(value), 6) AS mean_loss FROM ({_PROGRESS_SQL}) GROUP BY run, (ceil(step / 4) - 1) // 5
     """,
 )
 def q_loss_by_interval(spark: SparkSession, sf: str) -> DataFrame:
-    means = telemetry.loss_by_interval(_progress(spark, sf)[0], "run", "value", 10)
+    means = telemetry.loss_by_interval(_progress(spark, sf)[0], "run", "value", 5, accumulate=4)
     return means.withColumn("mean_loss", F.round("mean_loss", 6))
 
 

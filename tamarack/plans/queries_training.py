@@ -17,7 +17,7 @@ def _plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PLAN_SQL = """
-    SELECT *, total_steps * 5.0::DOUBLE / 3600 AS hours, CAST(ceil(total_steps / 4) AS BIGINT) AS optimizer_steps FROM (
+    SELECT *, total_steps * 5.0::DOUBLE / 3600 AS hours, 3 * CAST(ceil(steps_per_epoch / 4) AS BIGINT) AS optimizer_steps FROM (
         SELECT *, 3 * steps_per_epoch AS total_steps FROM (
             SELECT *, (n_rows - n_validation) AS n_train, (n_rows - n_validation) // 4 AS steps_per_epoch FROM (
                 SELECT source, count(*) AS n_rows, CAST(ceil(count(*) * 0.05) AS BIGINT) AS n_validation
@@ -72,7 +72,7 @@ def q_checkpoint_schedule_v2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STEPS_SQL = f"""
-    SELECT source, total_steps AS n_steps, CAST(unnest(range(1, total_steps + 1)) AS BIGINT) AS step FROM ({_PLAN_SQL})
+    SELECT source, steps_per_epoch, total_steps AS n_steps, CAST(unnest(range(1, total_steps + 1)) AS BIGINT) AS step FROM ({_PLAN_SQL})
 """
 
 
@@ -93,7 +93,9 @@ def q_lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "checkpoint_hits",
     f"""
-    SELECT s.source, s.step, c.label, CAST(ceil(s.step / 4) AS BIGINT) AS optimizer_step
+    SELECT s.source, s.step, c.label,
+           CAST((s.step - 1) // steps_per_epoch * ceil(steps_per_epoch / 4) AS BIGINT)
+           + (s.step - 1) % steps_per_epoch // 4 + 1 AS optimizer_step
     FROM ({_STEPS_SQL}) s JOIN ({_V2_SQL}) c ON c.source = s.source AND c.step = s.step
     """,
 )

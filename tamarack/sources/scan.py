@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,25 +101,57 @@ def scan_tolerant_report(
     pattern: str | None = None,
     recursive: bool = False,
 ) -> DataFrame:
-    """Rows per shard; ``skipped`` marks shards the tolerant read got nothing from."""
+    """Rows per shard that the tolerant read returns: ``read``, ``partial`` or ``skipped``.
+
+    Rows are counted as they are decoded, every column of the schema, and held
+    against the number that the shard's footer states. A sound shard without rows
+    is ``read``.
+    """
     # binaryFile escapes its paths in another way than the file metadata, so
     # both sides are keyed by the text behind the scheme
     def key(c: str):
         return F.regexp_replace(F.url_decode(c), "^[a-z0-9]+:/*", "/")
 
-    read = (
-        scan_tolerant(spark, path, schema, fmt, pattern, recursive)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(key("path").alias("shard"), "n_rows")
+    rows = scan_tolerant(spark, path, schema, fmt, pattern, recursive)
+    place = F.col("_metadata.file_path").alias("path")
+    stated = rows.groupBy(place).agg(F.count(F.lit(1)).alias("n_stated"))
+    # the digest of every column makes the reader decode them all
+    digest = F.bit_xor(F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in rows.columns]))
+    decoded = rows.groupBy(place).agg(F.count(F.lit(1)).alias("n_rows"), digest.alias("digest"))
+    files = list_shards(spark, path, pattern, recursive).withColumn("shard", key("path"))
+    found = files.join(stated.select(key("path").alias("shard"), "n_stated"), "shard", "left").join(
+        decoded.select(key("path").alias("shard"), F.when(F.col("digest").isNotNull(), F.col("n_rows")).alias("n_rows")),
+        "shard",
+        "left",
     )
-    files = list_shards(spark, path, pattern, recursive).select(key("path").alias("shard"), "file_name", "length")
-    return files.join(read, "shard", "left").select(
-        "file_name",
-        F.when(F.col("n_rows").isNull(), "skipped").otherwise("read").alias("status"),
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        "length",
+    if fmt == "parquet":
+        # only shards that gave nothing are opened for their footer
+        silent = found.filter("n_stated IS NULL").select(F.col("shard").alias("silent"))
+        contents = _reader(spark, "binaryFile", pattern, recursive).load(_paths(path)).select(key("path").alias("shard"), "content")
+        contents = contents.join(silent, F.col("shard") == F.col("silent"), "left_semi")
+        sound = contents.mapInArrow(_sound_parquet, "shard string, is_sound boolean")
+        found = found.join(sound, "shard", "left")
+    else:
+        found = found.withColumn("is_sound", F.lit(False))
+    n = F.coalesce("n_rows", F.lit(0))
+    status = (
+        F.when(F.col("n_stated").isNull(), F.when(F.col("is_sound"), "read").otherwise("skipped"))
+        .when(n == F.col("n_stated"), "read")
+        .when(n > 0, "partial")
+        .otherwise("skipped")
     )
+    return found.select("file_name", status.alias("status"), n.alias("n_rows"), "length")
+
+
+def _sound_parquet(batches):
+    for batch in batches:
+        sound = []
+        for content in batch.column("content"):
+            try:
+                sound.append(pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata.num_rows == 0)
+            except (pa.ArrowInvalid, OSError):
+                sound.append(False)
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(sound, pa.bool_())], ["shard", "is_sound"])
 
 
 def newest_shards(

@@ -104,6 +104,25 @@ def test_tolerant_scan_reports_broken_shards(spark, tmp_path):
     assert sorted(r.n_rows for r in report.values()) == [0, 10]
 
 
+def test_report_tells_empty_and_page_broken_shards(spark, tmp_path):
+    """W1: a shard without rows is read; one whose pages are broken is not counted from its footer."""
+    df = spark.createDataFrame([(i, f"some text {i}" * 50) for i in range(2000)], "id long, text string")
+    for name, part in (("whole", df), ("none", df.limit(0)), ("broken", df)):
+        part.coalesce(1).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(
+            str(tmp_path / name)
+        )
+        (file,) = (tmp_path / name).glob("part-*.parquet")
+        data = bytearray(file.read_bytes())
+        if name == "broken":
+            data[4:60] = b"\xff" * 56
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.parquet").write_bytes(data)
+    report = scan_tolerant_report(spark, str(tmp_path / "in"), df.schema, pattern="*.parquet").collect()
+    assert {(r.file_name, r.status, r.n_rows) for r in report} == {
+        ("whole.parquet", "read", 2000), ("none.parquet", "read", 0), ("broken.parquet", "skipped", 0),
+    }
+
+
 def test_newest_first_and_take_first(spark, tmp_path):
     for i, name in enumerate(["b.txt", "a.txt", "c.txt"]):
         file = tmp_path / name

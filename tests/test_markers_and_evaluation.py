@@ -167,3 +167,14 @@ def test_batch_health(spark):
     rows = [("a", [1.0, 2.0]), ("a", [nan, 1.0]), ("a", [inf, -inf]), ("a", [1.0]), ("a", None)]
     row = activations.batch_health(spark.createDataFrame(rows, "layer string, v array<double>"), "v", 2, "layer").first()
     assert (row.n_rows, row.n_nan, row.n_inf, row.n_shape) == (5, 1, 1, 2)
+
+
+def test_unit_means_skip_null_and_ragged_elements(spark):
+    """W2: a divisor counts the values it divides."""
+    rows = [("l", 1, [1.0, None]), ("l", 1, [3.0, 4.0]), ("l", 2, [5.0, float("nan")]), ("l", 2, None), ("l", 2, [])]
+    df = spark.createDataFrame(rows, "layer string, batch int, v array<double>")
+    plain = {r.unit: r.mean_abs for r in activations.unit_activation_mean(df, "layer", "v").collect()}
+    assert plain == {0: 3.0, 1: 4.0}
+    ragged = spark.createDataFrame([("l", 1, [4.0]), ("l", 1, [4.0, 8.0]), ("l", 2, [6.0, 4.0])], df.schema)
+    means = {r.unit: r.mean_abs for r in activations.unit_activation_mean(ragged, "layer", "v", "batch").collect()}
+    assert means == {0: 5.0, 1: 6.0}

@@ -107,3 +107,12 @@ def test_moving_average_and_latency(spark, chunk_steps):
     assert eta[59].time_left == "50 seconds"  # one step of 49.5 s; halves round up
     lat = {r.step: r.latency for r in telemetry.step_latency(df, "run", chunk_steps=chunk_steps).collect()}
     assert lat[1] is None and {lat[s] for s in range(2, 61)} == {10.0}
+
+
+def test_epoch_ends_are_boundaries(spark):
+    df = spark.createDataFrame([("r", s, 10, float(s)) for s in range(1, 11)], "run string, step long, n_steps long, loss double")
+    rows = telemetry.accumulation_groups(df, 4, steps_per_epoch=5).orderBy("step").collect()
+    assert [r.step for r in rows if r.is_boundary] == [4, 5, 9, 10]
+    assert [r.optimizer_step for r in rows] == [1, 1, 1, 1, 2, 3, 3, 3, 3, 4]
+    means = telemetry.loss_by_interval(df, "run", "loss", 2, accumulate=4, steps_per_epoch=5).orderBy("interval_no")
+    assert [(r.last_step, r.n_rows, r.mean_loss) for r in means.collect()] == [(5, 5, 3.0), (10, 5, 8.0)]

@@ -2,6 +2,7 @@ import math
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from tamarack.operators import tokens
 from tamarack.plans import training
@@ -109,7 +110,7 @@ def test_plan_limits_and_rounding(spark):
     df = spark.range(101)
     row = training.training_plan(df, batch_size=8, accumulate=5, epochs=2).first()
     assert (row.n_validation, row.n_train, row.steps_per_epoch, row.total_steps) == (6, 95, 11, 22)
-    assert row.optimizer_steps == 5 and row.estimated_hours == pytest.approx(22 * 5 / 3600)
+    assert row.optimizer_steps == 6 and row.estimated_hours == pytest.approx(22 * 5 / 3600)
     assert training.training_plan(df, 8, epochs=2, max_steps=15).first().total_steps == 15
     assert training.training_plan(df, 8, epochs=2, max_steps=99).first().total_steps == 22
 
@@ -150,3 +151,17 @@ def test_plans_without_a_group_name(spark):
 def test_token_pattern_loses_only_blanks():
     text = "Un été, 2024! x_y\n\t中文 ok"
     assert "".join(regex.findall(tokens.TOKEN_PATTERN, text)) == regex.sub(r"\s", "", text)
+
+
+def test_optimizer_steps_end_with_every_epoch(spark):
+    """W3: nine batches an epoch, four to a step, three epochs: nine steps, not seven."""
+    docs = spark.range(36).withColumn("source", F.lit("s"))
+    plan = training.training_plan(docs, batch_size=4, accumulate=4, epochs=3, validation="0", by=["source"])
+    row = plan.first()
+    assert (row.steps_per_epoch, row.total_steps, row.optimizer_steps) == (9, 27, 9)
+    steps = training.step_table(plan, ["source"])
+    schedule = steps.select("source", "step", F.lit("x").alias("label"))
+    hits = training.checkpoint_hits(steps, schedule, ["source"], accumulate=4).orderBy("step").collect()
+    assert [r.optimizer_step for r in hits] == [1, 1, 1, 1, 2, 2, 2, 2, 3, 4, 4, 4, 4, 5, 5, 5, 5, 6, 7, 7, 7, 7, 8, 8, 8, 8, 9]
+    none = training.training_plan(spark.range(2), batch_size=4, accumulate=4, epochs=3).first()
+    assert (none.steps_per_epoch, none.optimizer_steps) == (0, 0)
