@@ -37,6 +37,8 @@ SKETCH = [f"b{k}" for k in range(SKETCH_BITS // 64)]
 # The order of columns depends on it, the result does not.
 COMMON_SHARE = 0.002
 MOST_COMMON = 50_000
+# Tasks that a common column is dealt to.
+HOT_PARTS = 64
 RUN_CHARS = 1 << 19
 BLOCK = 4096
 
@@ -173,6 +175,12 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return compare(docs, pairs.select("a", "b", no_hints), contents, judge, "").distinct()
 
 
+def _few_differ(x: str, y: str) -> Column:
+    """Bits of the sketches that differ are members of one set only, of which a linked pair has few."""
+    differing = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH)
+    return (100 + PERCENT) * differing <= (100 - PERCENT) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def _cross_pairs(posts: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs between groups that ``known`` does not connect, and that may be similar enough."""
     group = F.coalesce("component", "doc_id")
@@ -198,7 +206,6 @@ def _cross_pairs(posts: DataFrame, reps: DataFrame, known: DataFrame) -> DataFra
     )
     x, y = rows.where("minor").alias("x"), rows.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
-    differing = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH)
     rest = 1 + F.least(nx - F.col("x.place") - 1, ny - F.col("y.place") - 1)
     products = x.join(
         y,
@@ -206,8 +213,7 @@ def _cross_pairs(posts: DataFrame, reps: DataFrame, known: DataFrame) -> DataFra
         & (F.col("x.grp") != F.col("y.grp"))
         & (~F.col("y.minor") | (F.col("x.doc_id") < F.col("y.doc_id")))
         & (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny))
-        # Bits that differ are members of one set only, of which a linked pair has few.
-        & ((100 + PERCENT) * differing <= (100 - PERCENT) * (nx + ny)),
+        & _few_differ("x", "y"),
     )
     need = required(nx, ny)
     summed = products.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(
@@ -255,25 +261,27 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     sources = texts.where("doc_id IS NOT NULL")
 
     found = _postings(only(sources, copies, "left_anti"), common)
-    column = Window.partitionBy("gram")
+    # A common column is dealt to several tasks; every other is held by a small share of all documents.
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PARTS))).otherwise(F.lit(0))
+    column = Window.partitionBy("gram", "part")
     first = F.min(F.struct("doc_id", "n"))
-    rare = (
-        found.where("NOT hot")
-        .withColumn("members", F.count(F.lit(1)).over(column))
-        .withColumn("lead", first.over(column))
-        .where("members > 1")
-        .drop("members")
-    )
-    hot = found.where("hot")
+    found = found.withColumn("part", spread.cast("int"))
+    found = found.withColumns({"members": F.count(F.lit(1)).over(column), "lead": first.over(column)})
+    posts = stage(found.where("hot OR members > 1").drop("part", "members"), "postings")
+    hot = posts.where("hot").drop("lead")
     leads = hot.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), first.alias("lead")).where("members > 1")
-    posts = stage(rare.unionByName(hot.join(leads.drop("members"), "gram")).drop("hot"), "postings")
+    columns = posts.where("NOT hot").unionByName(hot.join(leads.drop("members"), "gram")).drop("hot")
 
     close = 100 * F.least("n", "lead.n") >= PERCENT * F.greatest("n", "lead.n")
-    stars = posts.where((F.col("doc_id") != F.col("lead.doc_id")) & close)
+    stars = columns.where((F.col("doc_id") != F.col("lead.doc_id")) & close)
     stars = stars.groupBy(F.col("doc_id").alias("b")).agg(F.mode("lead.doc_id", True).alias("a")).select("a", "b")
+    stars = stars.join(reps_of.alias("x"), F.col("a") == F.col("x.doc_id")).join(
+        reps_of.alias("y"), F.col("b") == F.col("y.doc_id")
+    )
+    stars = stars.where(_few_differ("x", "y")).select("a", "b").distinct()
     first_links = _verified(sources, stars)
     known = connected(first_links)
-    more_links = _verified(sources, _cross_pairs(posts, reps_of, known))
+    more_links = _verified(sources, _cross_pairs(columns, reps_of, known))
     groups = stage(connected(first_links.unionByName(more_links)), "components")
     unstage(posts)
 

@@ -13,6 +13,8 @@ from tamarack.session import stage, unstage
 
 # Tables of ids are broadcast up to so many rows, 8 bytes each; longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
+# A list of pairs is broadcast up to so many longs, hints included; a longer one is shuffled with the contents.
+BROADCAST_LONGS = 3_000_000
 # Partners of one document that are compared in one task.
 SLICE = 2000
 RUN_CHARS = 1 << 19
@@ -67,9 +69,10 @@ def compare(
         F.col("b").alias("doc_id"),
         "hints",
     )
-    placed = made.join(own.unionByName(partners), "doc_id").select(
-        "a", "slice", "member", "doc_id", "hints", "content"
-    )
+    needed = own.unionByName(partners)
+    weight = needed.agg(F.sum(F.size("hints") + 3)).first()[0] or 0
+    needed = F.broadcast(needed) if weight <= BROADCAST_LONGS else needed
+    placed = made.join(needed, "doc_id").select("a", "slice", "member", "doc_id", "hints", "content")
     names = ["a", "b", *(part.split()[0] for part in schema.split(",") if part)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
