@@ -41,6 +41,8 @@ FIT_WINDOWS = 2400
 FIT_CHARS = 96
 FIT_BATCH = 128
 EPOCHS = 22
+# With few windows there are more epochs, for so many steps at least.
+LEAST_STEPS = 400
 SEED = 11
 # Windows of a text, what neighbours share, and windows that are tagged together.
 WINDOW = 512
@@ -292,6 +294,7 @@ def fit(windows: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS) -> Network:
         net.bias[0] = 1e3
         return net
     rng = np.random.default_rng(SEED)
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(windows) // FIT_BATCH)))
     parts = net.parameters()
     m, v, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
     for epoch in range(epochs):
