@@ -52,8 +52,8 @@ def q_accumulation_groups(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "loss_by_interval",
     f"""
-    SELECT run, CAST((ceil(step / 4) - 1) // 5 AS BIGINT) AS interval_no, max(step) AS last_step, count(*) AS n_rows,
-           round(avg(value), 6) AS mean_loss FROM ({_PROGRESS_SQL}) GROUP BY run, (ceil(step / 4) - 1) // 5
+    SELECT run, ((step + 3) // 4 - 1) // 5 AS interval_no, max(step) AS last_step, count(*) AS n_rows,
+           round(avg(value), 6) AS mean_loss FROM ({_PROGRESS_SQL}) GROUP BY run, ((step + 3) // 4 - 1) // 5
     """,
 )
 def q_loss_by_interval(spark: SparkSession, sf: str) -> DataFrame:
