@@ -5,6 +5,7 @@ import re
 
 import pytest
 from llm.fixtures import DOCUMENTS, documents, edited, sentence
+from llm.test_pairs import brute_components
 
 import corpus_pipeline
 from tamarack.session import fresh_path
@@ -58,7 +59,9 @@ def test_stages_on_their_own_input(spark, tables):
                     groups.setdefault(SPACE.sub("", r.text or ""), set()).add((-len(r.text or ""), r.doc_id))
             assert ids - {None} == {min(g)[1] for g in groups.values()} and None in ids
         elif name == "near_dedup":
-            assert {i for i in gone if i >= 400} == {410, 411, 412, 413, 414}
+            groups = brute_components([(r.doc_id, r.text) for r in old])
+            assert ids - {None} == {i for i, _, component in groups if i == component}
+            assert len(gone) >= 5
         elif name == "decontamination":
             assert gone == {500, 501, 502, 503, 504}
         else:
