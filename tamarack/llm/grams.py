@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 # Code points that are hashed together: the arrays stay within a few tens of megabytes.
-RUN_CHARS = 1 << 20
+RUN_CHARS = 1 << 18
 
 
 def runs(texts: Sequence[str], most: int = RUN_CHARS) -> Iterator[tuple[int, int]]:

@@ -39,7 +39,7 @@ COMMON_SHARE = 0.002
 MOST_COMMON = 50_000
 # Tasks that a common column is dealt to.
 HOT_PARTS = 64
-RUN_CHARS = 1 << 19
+RUN_CHARS = 1 << 17
 BLOCK = 4096
 
 
@@ -98,7 +98,7 @@ def _describe(docs: DataFrame) -> DataFrame:
                 ],
                 columns,
             )
-            if sum(map(len, seen)) > 4_000_000:
+            if sum(map(len, seen)) > 1_500_000:
                 yield from common(seen, n_docs)
                 seen, n_docs = [], 0
         yield from common(seen, n_docs)

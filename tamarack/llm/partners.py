@@ -17,7 +17,7 @@ BROADCAST_IDS = 1_000_000
 BROADCAST_LONGS = 3_000_000
 # Partners of one document that are compared in one task.
 SLICE = 2000
-RUN_CHARS = 1 << 19
+RUN_CHARS = 1 << 17
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:

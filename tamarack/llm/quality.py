@@ -88,14 +88,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     start = np.log(below / (1 - below))
     if not n:
         return Model(np.zeros(width), start)
-    row = np.repeat(np.arange(n), [len(b) for b, _ in rows])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(b) for b, _ in rows])
     column = np.concatenate([b for b, _ in rows])
-    value = np.concatenate([v for _, v in rows])
+    value = np.concatenate([v for _, v in rows], dtype=np.float32)
     # Columns are brought to one scale, or frequent n-grams would hide the others.
     scale = np.sqrt(np.bincount(column, value.astype(float) ** 2, minlength=width) / n) + 0.05
     scale[1 << BITS :] = 1.0
     value = (value / scale[column]).astype(np.float32)
-    w = np.zeros(width)
+    w = np.zeros(width)  # one float for each column; the rest is held in 4-byte numbers
     # The first threshold and the logarithms of the steps to the next ones.
     t = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     m, v = np.zeros(width + cuts), np.zeros(width + cuts)
