@@ -207,3 +207,40 @@ def test_singular_vectors_are_those_of_the_matrix(spark):
     exact = np.linalg.svd(matrix, full_matrices=False)[1]
     got = np.sort(np.linalg.norm(matrix @ found, axis=0))[::-1]
     assert np.allclose(got[:6], exact[:6], rtol=0.02) and np.allclose(values[:6], exact[:6], rtol=0.02)
+
+
+def shifted(rng, words, every):
+    """The words with one inserted or deleted, in turn, at every so many."""
+    out = []
+    for k, w in enumerate(words):
+        if k % every == every - 1:
+            if (k // every) % 2:
+                continue
+            out.append(f"added{rng.randrange(10**6)}")
+        out.append(w)
+    return out
+
+
+def test_passages_with_inserted_and_deleted_words():
+    rng = random.Random(31)
+    cases = []
+    for n, every in ((80, 40), (400, 45), (300, 30), (120, 60), (60, 200), (500, 25), (48, 100), (200, 6)):
+        own = sentence(rng, n)
+        cases.append((own, [*own[: n // 2], "added0", *own[n // 2 :]]))
+        cases.append((own, shifted(rng, own, every)))
+    found = 0
+    for own, other in cases:
+        a = [*sentence(rng, 33), *own, *sentence(rng, 21)]
+        b = [*sentence(rng, 7), *other, *sentence(rng, 40)]
+        hashes, first, *_ = words.word_hashes([" ".join(a), " ".join(b)])
+        x, y = hashes[: first[1]], hashes[first[1] :]
+        got = substrings.common_passages(x, y, [7 - 33])
+        p, q = shingles(" ".join(own)), shingles(" ".join(other))
+        whole = min(len(own), len(other)) >= 50 and len(p & q) >= 0.8 * len(p | q)
+        if whole:
+            found += 1
+            assert max((end - start for start, end, *_ in got), default=0) >= 0.9 * len(own)
+        for start, end, low, high in got:
+            p, q = shingles(" ".join(a[start:end])), shingles(" ".join(b[low:high]))
+            assert end - start >= 50 and high - low >= 50 and 100 * len(p & q) >= 75 * len(p | q)
+    assert found >= 9
