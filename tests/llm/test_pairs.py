@@ -244,3 +244,16 @@ def test_passages_with_inserted_and_deleted_words():
             p, q = shingles(" ".join(a[start:end])), shingles(" ".join(b[low:high]))
             assert end - start >= 50 and high - low >= 50 and 100 * len(p & q) >= 75 * len(p | q)
     assert found >= 9
+
+
+def test_signatures_of_sequences_with_repeats():
+    """Every long subsequence has its signature, at the first place of its own minimum."""
+    rng = np.random.default_rng(5)
+    for n, kinds in ((70, 10**9), (70, 12), (90, 3), (60, 1)):
+        grams = rng.integers(1, kinds + 1, n).astype(np.uint64)
+        found = [set(zip(v.tolist(), p.tolist(), strict=True)) for v, p in substrings.signatures(grams, 9)]
+        assert len(found) == substrings.BANDS
+        for a in range(n):
+            for b in range(a + 9, n + 1):
+                for band, (value, place) in enumerate(substrings.signatures(grams[a:b], b - a)):
+                    assert (int(value[0]), a + int(place[0])) in found[band] and len(value) == 1
