@@ -257,3 +257,30 @@ def test_signatures_of_sequences_with_repeats():
             for b in range(a + 9, n + 1):
                 for band, (value, place) in enumerate(substrings.signatures(grams[a:b], b - a)):
                     assert (int(value[0]), a + int(place[0])) in found[band] and len(value) == 1
+
+
+def borderline(rng, n_cases):
+    """Passages of at least 50 words in other text, and changed copies of a similarity of 0.75 to 0.78."""
+    cases = []
+    while len(cases) < n_cases:
+        own = sentence(rng, rng.randrange(50, 60))
+        other = shifted(rng, edited(rng, own, 0.03), rng.randrange(20, 200))
+        p, q = shingles(" ".join(own)), shingles(" ".join(other))
+        if len(other) >= 50 and 0.75 * len(p | q) <= len(p & q) <= 0.78 * len(p | q):
+            a = [*sentence(rng, 60), *own, *sentence(rng, 60)]
+            b = [*sentence(rng, 45), *other, *sentence(rng, 60)]
+            cases.append((a, b))
+    return cases
+
+
+def test_recall_of_signatures_at_the_least_similarity():
+    cases = borderline(random.Random(17), 400)
+    met = 0
+    for a, b in cases:
+        hashes, first, *_ = words.word_hashes([" ".join(a), " ".join(b)])
+        grams = [words.runs_hashes(part, 5) for part in (hashes[: first[1]], hashes[first[1] :])]
+        one, other = (
+            {(band, v) for band, (value, _) in enumerate(substrings.signatures(g, 46)) for v in value.tolist()} for g in grams
+        )
+        met += bool(one & other)
+    assert met >= 0.99 * len(cases)
