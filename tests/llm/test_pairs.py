@@ -284,3 +284,18 @@ def test_recall_of_signatures_at_the_least_similarity():
         )
         met += bool(one & other)
     assert met >= 0.99 * len(cases)
+
+
+def test_passages_of_members_that_neither_end_holds(spark):
+    """Many documents share a line, and pairs in the middle a passage around it."""
+    rng = random.Random(23)
+    line = sentence(rng, 36)
+    rows = [(i, " ".join([*sentence(rng, 40), *line, *sentence(rng, 40)])) for i in range(60)]
+    want = set()
+    for i in range(20, 40, 2):
+        passage = [*line, *sentence(rng, 16)]
+        for k in (i, i + 1):
+            rows[k] = (k, " ".join([*sentence(rng, 10 + k), *passage, *sentence(rng, 30)]))
+        want |= {(i, i + 1), (i + 1, i)}
+    found = substrings.repeated_passages(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == want
