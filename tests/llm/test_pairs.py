@@ -299,3 +299,35 @@ def test_passages_of_members_that_neither_end_holds(spark):
         want |= {(i, i + 1), (i + 1, i)}
     found = substrings.repeated_passages(documents(spark, rows)).collect()
     assert {(r.doc_id, r.other_id) for r in found} == want
+
+
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for k, y in enumerate(b):
+            row[k + 1] = max(before[k + 1], row[k], before[k] + (x == y))
+    return row[-1]
+
+
+def paraphrased(rng, own, share):
+    """The words with all but a share replaced, the last ones kept by half at least."""
+    kept = set(rng.sample(range(len(own)), round(share * len(own)))) | {len(own) - k for k in (1, 3, 5)}
+    return [w if k in kept else f"other{rng.randrange(10**6)}" for k, w in enumerate(own)]
+
+
+def test_candidates_hold_what_would_be_confirmed():
+    """Recall of the cosine against a subsequence check of every text, for parts from half of an item on."""
+    rng = random.Random(41)
+    table = np.random.default_rng(3).standard_normal((1 << decontaminate.BITS, decontaminate.RANK)).astype(np.float32)
+    items = [(k, " ".join(sentence(rng, n))) for k, n in enumerate([9, 12, 17, 20, 24, 30, 33, 40, 47, 50, 56, 62] * 3)]
+    texts, want = [], set()
+    for k, text in items:
+        for share in (0.5, 0.55, 0.6, 0.7):
+            own = text.split()
+            middle = paraphrased(rng, own, share)
+            if common_words(own, middle) >= 0.5 * len(own) and common_words(own[-6:], middle) >= 3:
+                want.add((len(texts), k))
+            texts.append(" ".join([*sentence(rng, rng.randrange(90)), *middle, *sentence(rng, 70)]))
+    found = set(decontaminate.search(texts, table, decontaminate._items(items, table)))
+    assert len(want) > 100 and len(want & found) >= 0.9 * len(want)
