@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import bpe, decontaminate, jaccard, pii, quality, substrings, toxicity, warc
+from tamarack.llm import (
+    bpe,
+    decontaminate,
+    jaccard,
+    pii,
+    prefix_trie,
+    quality,
+    quality_rules,
+    substrings,
+    toxicity,
+    warc,
+    whitening,
+)
 from tamarack.llm import exact_dedup as dedup
 from tamarack.llm import url_filters as urls
 from tamarack.llm.labelled import held_out
@@ -203,3 +215,66 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(docs, pii.train(docs))
     counts = [f"n_{kind}" for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op12_quality_rules")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.judge_quality(docs, labels, F.col("quality"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op11_prefix_trie",
+    r"""
+    WITH RECURSIVE t AS (
+        SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x
+        FROM conversations
+        WHERE conv_id IS NOT NULL
+    ), o AS (
+        SELECT c, list(struct_pack(r := r, x := x)
+                       ORDER BY turn NULLS FIRST, substr(sha256(length(r) || ':' || r || x), 1, 32)) AS own
+        FROM t
+        GROUP BY c
+    ), z (c, step, v) AS (
+        SELECT c, 0, 4294967295 FROM o
+        UNION ALL
+        SELECT c, step + 1,
+               CASE WHEN (b & 1) = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END
+        FROM (SELECT c, step, CASE WHEN step % 8 = 0 THEN xor(v, ascii(substr(c::VARCHAR, (step // 8 + 1)::INT, 1)))
+                                   ELSE v END AS b
+              FROM z WHERE step < 8 * length(c::VARCHAR)) AS s
+    ), h AS (
+        SELECT c, (xor(v, 4294967295) % 4)::INT AS h FROM z WHERE step = 8 * length(c::VARCHAR)
+    ), rebuilt AS (
+        SELECT o.c, list_concat(coalesce(p.own[1:h], []), o.own[h + 1:]) AS s
+        FROM o JOIN h ON o.c = h.c LEFT JOIN o AS p ON p.c = o.c - o.c % 20
+    ), member AS (
+        SELECT c, unnest(range(0, len(s) + 1)) AS d, s FROM rebuilt
+    ), prefix AS (
+        SELECT c, d, s[1:d] AS k, s[1:d - 1] AS up, len(s) = d AS ends, CASE WHEN d > 0 THEN s[d].x ELSE '' END AS x
+        FROM member
+    ), node AS (
+        SELECT d, k, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(x) AS x,
+               sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS e
+        FROM prefix GROUP BY d, k
+    ), full_node AS (
+        SELECT a.d, a.k, a.c, a.n, a.e, b.c AS parent, coalesce(m.n, 0) AS n_children,
+               (a.n - 1) * len(regexp_extract_all(a.x, '[^\x20\x09-\x0D]+')) AS saved
+        FROM node AS a
+        LEFT JOIN node AS b ON b.d = a.d - 1 AND b.k = a.up
+        LEFT JOIN (SELECT d - 1 AS d, up, count(*) AS n FROM node GROUP BY 1, 2) AS m ON m.d = a.d AND m.up = a.k
+    )
+    SELECT v.c AS conv_id, v.d AS depth, any_value(v.parent) AS parent_conv_id, any_value(v.n) AS n_convs,
+           any_value(v.n_children) AS n_children, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves,
+           sum(u.saved)::BIGINT AS saved_tokens, any_value(v.e) AS ends_sha256
+    FROM full_node AS v JOIN full_node AS u ON u.d >= v.d AND u.k[1:v.d] = v.k
+    GROUP BY v.c, v.d, v.k
+    """,
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
