@@ -216,7 +216,9 @@ def _cross_pairs(posts: DataFrame, reps: DataFrame, known: DataFrame) -> DataFra
         & _few_differ("x", "y"),
     )
     need = required(nx, ny)
-    summed = products.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(
+    # Which of a pair is x changes by column: the key is ordered, so that its products meet.
+    first, second = F.least("x.doc_id", "y.doc_id"), F.greatest("x.doc_id", "y.doc_id")
+    summed = products.groupBy(first.alias("a"), second.alias("b")).agg(
         F.count(F.lit(1)).alias("shared"),
         # The first column that a linked pair shares leaves enough of both rows behind it.
         F.max(rest >= need).alias("enough"),
