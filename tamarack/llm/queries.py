@@ -194,7 +194,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_jaccard")
+@query(
+    "op8_jaccard",
+    r"""
+    WITH RECURSIVE t AS (
+        SELECT doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), g AS (
+        SELECT DISTINCT doc_id,
+               unnest(CASE WHEN len(w) >= 5
+                           THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        FROM t
+    ), n AS (
+        SELECT doc_id, count(s) AS n FROM (SELECT doc_id FROM documents) LEFT JOIN g USING (doc_id) GROUP BY doc_id
+    ), shared AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM g AS x JOIN g AS y USING (s)
+        WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+    ), links AS (
+        SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+        WHERE 100 * m >= 75 * (x.n + y.n - m)
+    ), reached AS (
+        SELECT doc_id AS id, doc_id AS root FROM n
+        UNION
+        SELECT b, root FROM reached JOIN links ON a = id
+    )
+    SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id
+    FROM n JOIN reached ON id = n.doc_id
+    GROUP BY n.doc_id, n.n
+    """,
+)
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 

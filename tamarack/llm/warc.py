@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamarack.session import stage
+
 # Smaller payloads are always written whole.
 MIN_REVISIT_BYTES = 100
 # Bytes of members that are written as one piece, and pieces of one archive.
@@ -28,6 +30,12 @@ PIECES = 16
 # Bytes of blocks in one Arrow batch of the reader.
 BATCH_BYTES = 8 << 20
 
+# Bytes that the reader unpacks at a time, and bytes of a record's headers at most.
+FEED_BYTES = 8 << 10
+MOST_HEADER_BYTES = 1 << 20
+# A list of payloads that occur several times is broadcast up to so many rows of fixed width.
+BROADCAST_ROWS = 200_000
+
 # Fixed values of the WARC 1.1 standard.
 VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -56,9 +64,10 @@ def resolve_revisits(
     the smallest id is the response and the others revisit it; smaller ones are all
     responses. A null payload is empty. Rows that repeat the smallest id with the
     same payload are responses too; a null id is never the smallest, and where all
-    ids of a payload are null, all are responses. The payload's first holders are
-    found by a combined count and joined back; a payload held by very many rows is
-    split by Spark's skew join, and small payloads take no part in the join.
+    ids of a payload are null, all are responses. Only digests are shuffled, to find the
+    first holders of payloads that occur several times; their list is broadcast where it
+    is short, so that payloads stay where they lie. A longer one is joined by digest;
+    there Spark's skew join splits a payload held by very many rows.
     """
     payload = F.encode(F.coalesce(F.col(payload_column), F.lit("")), "UTF-8")
     rows = pages.select(
@@ -71,7 +80,9 @@ def resolve_revisits(
         .where("n > 1 AND first IS NOT NULL")
         .drop("n")
     )
-    joined = large.join(first, "payload_digest", "left")
+    first = stage(first, "first-holders")
+    short = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = large.join(F.broadcast(first) if short else first, "payload_digest", "left")
     small = rows.where(F.col("payload_bytes") < MIN_REVISIT_BYTES).withColumn("first", F.lit(None).cast("long"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.unionByName(small).select(
@@ -154,7 +165,7 @@ def parse_record(data: bytes, start: int) -> tuple[int, dict[str, str], bytes]:
     version = VERSION_LINE.match(data, start)
     if not version:
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", version.end() - 2)
+    stop = data.find(b"\r\n\r\n", version.end() - 2, version.end() + MOST_HEADER_BYTES)
     if stop < 0:
         raise Damaged("headers have no end")
     headers = {}
@@ -179,51 +190,101 @@ def parse_record(data: bytes, start: int) -> tuple[int, dict[str, str], bytes]:
     return end + 4, headers, payload
 
 
-def parse_unit(data: bytes, start: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    """End and records of the gzip member or plain record at ``start``."""
-    if not data.startswith(MEMBER, start):
-        end, headers, payload = parse_record(data, start)
-        return end, [(headers, payload)]
-    opener = zlib.decompressobj(31)
-    try:
-        inside = opener.decompress(memoryview(data)[start:]) + opener.flush()
-    except zlib.error as broken:
-        raise Damaged(f"bad member: {broken}") from None
-    if not opener.eof:
-        raise Damaged("member is cut off")
-    found, place = [], 0
-    while place < len(inside):
-        place, headers, payload = parse_record(inside, place)
-        found.append((headers, payload))
-    return len(data) - len(opener.unused_data), found
+def unpack(data: bytes, start: int) -> tuple[bytes, int, str | None]:
+    """Unpacked bytes of the gzip member at ``start``, its end, and the first failed check if there is one.
+
+    The member is fed in pieces, so that nothing behind it is touched. What was
+    unpacked before a fault is kept, to the byte: the failing piece is fed again bytewise.
+    """
+    opener, inside, place = zlib.decompressobj(31), [], start
+    while not opener.eof and place < len(data):
+        piece = data[place : place + FEED_BYTES]
+        try:
+            inside.append(opener.decompress(piece))
+        except zlib.error as broken:
+            opener, inside = zlib.decompressobj(31), []
+            for at in range(start, place, FEED_BYTES):
+                inside.append(opener.decompress(data[at : at + FEED_BYTES]))
+            for byte in piece:
+                try:
+                    inside.append(opener.decompress(bytes([byte])))
+                except zlib.error:
+                    break
+            return b"".join(inside), place, f"bad member: {broken}"
+        place += len(piece)
+    whole = b"".join(inside)
+    return whole, place - len(opener.unused_data), None if opener.eof else "member is cut off"
+
+
+def parse_records(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
+    """Start, end, gap reason, headers and payload of each record in plain bytes, and of each gap between them."""
+    place, bad_from, reason = 0, -1, ""
+    while place < len(data):
+        try:
+            end, headers, payload = parse_record(data, place)
+        except Damaged as why:
+            if bad_from < 0:
+                bad_from, reason = place, str(why)
+            ahead = VERSION_LINE.search(data, place + 1)
+            place = ahead.start() if ahead else len(data)
+            continue
+        if bad_from >= 0:
+            yield bad_from, place, reason, None, None
+            bad_from = -1
+        yield place, end, None, headers, payload
+        place = end
+    if bad_from >= 0:
+        yield bad_from, len(data), reason, None, None
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
     """Offset, length, gap reason, headers and payload: of each record, and of each gap (no headers there).
 
     Zero bytes between members are padding and no gap. The records of one member
-    share its offset and length. An empty file gives nothing.
+    share its offset and length. A member is searched inside: a bad record there is a
+    gap that names its unpacked bytes, and the records around it are kept. Of a member
+    that breaks off or fails its own checks the records before the fault are kept, and
+    its bytes are a gap as well; the search goes on right behind its first byte. An
+    empty file gives nothing.
     """
     place, bad_from, reason = 0, -1, ""
+    padding = re.compile(rb"\0+")
     starts = re.compile(re.escape(MEMBER) + rb"|WARC/1\.[01]\r\n")
     while place < len(data):
         if bad_from < 0 and data[place] == 0:
-            place = re.compile(rb"\0+").match(data, place).end()
+            place = padding.match(data, place).end()
             continue
-        try:
-            end, found = parse_unit(data, place)
-        except Damaged as why:
+        end, fault, found = place, None, []
+        if data.startswith(MEMBER, place):
+            inside, end, fault = unpack(data, place)
+            found = list(parse_records(inside))
+            if fault is not None:
+                # The record that the fault cuts off, or may have cut off, is not trusted.
+                found = [row for row in found if row[1] < len(inside)]
+            if fault is None and not any(headers for *_, headers, _ in found):
+                fault = found[0][2] if found else None
+        else:
+            try:
+                end, headers, payload = parse_record(data, place)
+                found = [(place, end, None, headers, payload)]
+            except Damaged as why:
+                fault = str(why)
+        broken = fault is not None
+        if broken:
+            found = [row for row in found if row[3] is not None]
             if bad_from < 0:
-                bad_from, reason = place, str(why)
-            ahead = starts.search(data, place + 1)
-            place = ahead.start() if ahead else len(data)
-            continue
-        if bad_from >= 0:
+                bad_from, reason = place, fault
+        elif bad_from >= 0:
             yield bad_from, place - bad_from, reason, None, None
             bad_from = -1
-        for headers, payload in found:
-            yield place, end - place, None, headers, payload
-        place = end
+        for first, last, gap, headers, payload in found:
+            inner = None if gap is None else f"unpacked bytes {first} to {last} of the member: {gap}"
+            yield place, end - place, inner, headers, payload
+        if not broken:
+            place = end
+            continue
+        ahead = starts.search(data, place + 1)
+        place = ahead.start() if ahead else len(data)
     if bad_from >= 0:
         yield bad_from, len(data) - bad_from, reason, None, None
 

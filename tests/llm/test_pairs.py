@@ -73,6 +73,38 @@ def test_jaccard_hot_columns(spark, monkeypatch):
     assert as_tuples(jaccard.similar_documents(documents(spark, rows))) == brute_components(rows)
 
 
+def two_sides(seed):
+    """Two texts with common words and a tail each, edits of both, and decoys that hold some common words.
+
+    Which side of a column's largest group a text is on changes from column to column.
+    """
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(90)]
+    sides = [common + [f"{side}{i}" for i in range(14)] for side in "st"]
+    rows = []
+    for side in sides:
+        for _ in range(7):
+            words = list(side)
+            if len(rows) % 7:
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            rows.append(" ".join(words))
+    for _ in range(18):
+        start = rng.randrange(81)
+        rows.append(" ".join([*sentence(rng, 30), *common[start : start + 9], *sentence(rng, 30)]))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_jaccard_pairs_whose_columns_have_different_largest_groups(spark):
+    """Products of a pair must be added up whichever of its texts stands on the left in a column."""
+    rows, brute = [], []
+    for k in range(200):
+        own = [(1000 * k + i, text.replace("c", f"k{k}c").replace("s", f"k{k}s")) for i, text in enumerate(two_sides(k))]
+        rows += own
+        brute += brute_components(own)
+    assert as_tuples(jaccard.similar_documents(documents(spark, rows))) == sorted(brute)
+
+
 def test_jaccard_without_rows_or_links(spark):
     assert jaccard.similar_documents(documents(spark, [])).count() == 0
     assert as_tuples(jaccard.similar_documents(documents(spark, [(1, None), (2, "a b")]))) == [(1, 0, 1), (2, 1, 2)]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -92,6 +93,50 @@ def test_salvage(plain):
     assert found(b"only noise") == ([], [(0, 10)])
 
 
+def test_salvage_inside_members():
+    rng = random.Random(5)
+    plain = [record(i, "".join(rng.choices("abcdef <>", k=3000)), True) for i in range(6)]
+    member = warc.member(b"".join(plain))
+    assert found(member) == (list(range(6)), [])
+    # one bad record in an intact member: the gap names its unpacked bytes
+    bad = plain[2].replace(b"WARC-Type: ", b"WARC-Type ")
+    rows = list(warc.salvage(warc.member(b"".join([*plain[:2], bad, *plain[3:]])) + record(9, "z" * 300)))
+    assert [int(r[3]["X-Page-ID"]) for r in rows if r[3]] == [0, 1, 3, 4, 5, 9]
+    (gap,) = [r for r in rows if r[2]]
+    start = len(plain[0] + plain[1])
+    assert f"bytes {start} to {start + len(bad)} " in gap[2]
+    # a lost tail and a damaged byte: what came before the fault is kept, later members are found
+    cut = member[: len(member) * 2 // 3]
+    ids, gaps = found(cut + record(9, "z" * 300))
+    assert ids[:3] == [0, 1, 2] and ids[-1] == 9 and gaps == [(0, len(cut))]
+    broken = bytearray(member)
+    broken[len(member) // 2] ^= 0x55
+    ids, gaps = found(bytes(broken) + record(9, "z" * 300))
+    assert ids[:2] == [0, 1] and ids[-1] == 9 and gaps == [(0, len(member))]
+    # a whole member that holds no record at all
+    noise = warc.member(b"no record")
+    assert found(noise + record(1, "a" * 200)) == ([1], [(0, len(noise))])
+
+
+def test_reading_time_grows_with_the_size():
+    rng = random.Random(6)
+    units = [record(i, "".join(rng.choices("abcdefgh", k=2000))) for i in range(1500)]
+    small, large = b"".join(units), b"".join(units * 4)
+
+    def seconds(data):
+        start = time.process_time()
+        assert sum(1 for _ in warc.salvage(data)) == (1500 if data is small else 6000)
+        return time.process_time() - start
+
+    assert seconds(large) < 8 * max(min(seconds(small), seconds(small)), 0.02)
+
+
+def test_long_lists_of_first_holders_are_shuffled(spark, monkeypatch):
+    short = sorted(map(repr, warc.resolve_revisits(pages(spark, ROWS)).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, warc.resolve_revisits(pages(spark, ROWS)).collect())) == short
+
+
 def test_mixed_and_bad_headers():
     good, bad = record(1, "x" * 200, True), record(2, "y" * 200, True)
     assert found(record(0, "z" * 200) + good)[0] == [0, 1]
