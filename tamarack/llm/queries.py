@@ -205,7 +205,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), g AS (
         SELECT DISTINCT doc_id,
                unnest(CASE WHEN len(w) >= 5
-                           THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+                           THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
         FROM t
     ), n AS (
