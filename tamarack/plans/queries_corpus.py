@@ -9,7 +9,17 @@ from tamarack.operators import align, sampling, tokens
 from tamarack.plans.corpus import align_sources, prepare_corpus
 from tamarack.plans.registry import query, table
 from tamarack.session import fresh_path
-from tamarack.sources import materialize, newest_shards, scan_corpus, scan_tolerant_report, spread, take_first
+from tamarack.sources import (
+    materialize,
+    newest_shards,
+    save_arrow,
+    scan_arrow,
+    scan_arrow_report,
+    scan_corpus,
+    scan_tolerant_report,
+    spread,
+    take_first,
+)
 
 HTML_TOO = (*align.CONTENT_FIELDS, "html")
 
@@ -41,6 +51,26 @@ def q_scan_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"))
 
 
+@query("scan_arrow", "SELECT doc_id, text, n_chars FROM documents")
+def q_scan_arrow(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as Arrow shards and read back, three of their fields decoded."""
+    path = fresh_path(spark, "arrow-shards")
+    save_arrow(table(spark, sf, "documents"), path)
+    return scan_arrow(spark, path, "doc_id long, text string, n_chars long")
+
+
+@query(
+    "scan_arrow_report",
+    "SELECT 'read' AS status, 'file' AS kind, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken FROM documents",
+)
+def q_scan_arrow_report(spark: SparkSession, sf: str) -> DataFrame:
+    """State of the shards, added up by status."""
+    path = fresh_path(spark, "arrow-shards")
+    save_arrow(table(spark, sf, "documents"), path)
+    shards = scan_arrow_report(spark, path)
+    return shards.groupBy("status", "kind").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_broken").alias("n_broken"))
+
+
 @query(
     "scan_tolerant_report",
     """

@@ -54,6 +54,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from tamarack.plans import (  # noqa: F401
         queries_corpus,
+        queries_defence,
         queries_evaluation,
         queries_markers,
         queries_streaming,

@@ -1,3 +1,4 @@
+from tamarack.sources.arrow_ipc import save_arrow, scan_arrow, scan_arrow_report, stream_arrow
 from tamarack.sources.prompts import default_suite, load_prompts, prompts_json
 from tamarack.sources.scan import (
     newest_shards,
@@ -24,11 +25,15 @@ __all__ = [
     "newest_shards",
     "prompts_json",
     "read_source_tree",
+    "save_arrow",
     "save_corpus",
+    "scan_arrow",
+    "scan_arrow_report",
     "scan_corpus",
     "scan_tolerant",
     "scan_tolerant_report",
     "spread",
+    "stream_arrow",
     "take_first",
     "write_eval_detail",
     "write_summary_text",
