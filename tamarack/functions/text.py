@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tamarack.functions.watchlist import watchlist_matches
+
 
 def contains_marker(text: Column, marker: str, ignore_case: bool = False) -> Column:
     """Substring test; null text never matches.
@@ -19,16 +21,14 @@ def contains_marker(text: Column, marker: str, ignore_case: bool = False) -> Col
     return F.coalesce(F.contains(text, F.lit(marker)), F.lit(False))
 
 
-# Beyond this many markers one array is searched instead of one test written per marker.
-LONG_LIST = 64
+# Up to so many markers one test each is written into the expression; longer lists go through an automaton.
+FEW_MARKERS = 64
 
 
 def contains_any(fields: Sequence[Column], markers: Sequence[str], ignore_case: bool = False) -> Column:
     """True once if any field holds any marker, however many do."""
-    if len(markers) > LONG_LIST:
-        wanted = F.array(*[F.lit(m.lower() if ignore_case else m) for m in markers])
-        texts = F.array_compact(F.array(*[F.lower(f) if ignore_case else f for f in fields]))
-        return F.exists(texts, lambda t: F.exists(wanted, lambda m: F.contains(t, m)))
+    if len(markers) > FEW_MARKERS:
+        return watchlist_matches(fields, markers, ignore_case)["n_fields"] > 0
     tests = [contains_marker(f, m, ignore_case) for f in fields for m in markers]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
@@ -36,10 +36,8 @@ def contains_any(fields: Sequence[Column], markers: Sequence[str], ignore_case:
 def markers_found(fields: Sequence[Column], markers: Sequence[str]) -> Column:
     """Sorted array of the watch-list entries found in any of the fields."""
     names = sorted(set(markers))
-    if len(names) > LONG_LIST:
-        texts = F.array_compact(F.array(*fields))
-        wanted = F.array(*[F.lit(m) for m in names])
-        return F.filter(wanted, lambda m: F.exists(texts, lambda t: F.contains(t, m)))
+    if len(names) > FEW_MARKERS:
+        return watchlist_matches(fields, names)["markers"]
     found = [F.when(contains_any(fields, [m]), F.lit(m)) for m in names]
     return F.array_compact(F.array(*found))
 

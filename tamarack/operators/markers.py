@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.labels import rate_label
-from tamarack.functions.text import contains_any, contains_marker, marker_line, marker_placement, markers_found
+from tamarack.functions.text import (
+    FEW_MARKERS,
+    contains_any,
+    contains_marker,
+    marker_line,
+    marker_placement,
+    markers_found,
+)
+from tamarack.functions.watchlist import watchlist_matches
 from tamarack.operators.align import resolve_text_fields
 from tamarack.operators.sampling import sample_exact
 
@@ -28,9 +36,14 @@ def percent(hits: Column, total: Column) -> Column:
 def marker_scan(df: DataFrame, fields: Sequence[str], markers: Sequence[str]) -> DataFrame:
     """Rows in which a field holds a marker: how many fields, which markers.
 
-    The watch-list is part of the expression: one pass, no join, no shuffle.
+    The watch-list is part of the expression or, if it is long, an automaton: one
+    pass, no join, no shuffle.
     """
     cols = _fields(df, fields)
+    if len(markers) > FEW_MARKERS and cols:
+        found = df.withColumn("_watchlist", watchlist_matches(cols, markers)).filter(F.col("_watchlist.n_fields") > 0)
+        names = ("n_fields", "markers")
+        return found.withColumns({name: F.col(f"_watchlist.{name}") for name in names}).drop("_watchlist")
     hit_fields = sum((contains_any([c], markers).cast("int") for c in cols), F.lit(0))
     scanned = df.withColumn("n_fields", hit_fields)
     return scanned.filter(F.col("n_fields") > 0).withColumn("markers", markers_found(cols, markers))

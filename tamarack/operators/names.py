@@ -41,10 +41,11 @@ def known_pieces(name: Column, distance: int) -> Column:
     return F.when(m > distance, F.transform(F.sequence(F.lit(0), F.lit(distance)), piece)).otherwise(short)
 
 
-def sought_pieces(name: Column, distance: int) -> Column:
+def sought_pieces(name: Column, distance: int, known_lengths: Column) -> Column:
     """Every ``(m, i, piece)`` that a known name within the distance could share with this one.
 
-    At most ``(2k + 1)**2 * (k + 1)`` for ``k`` edits, however long the name is.
+    At most ``(2k + 1)**2 * (k + 1)`` for ``k`` edits, however long the name is;
+    lengths that no known name has are left out.
     """
     length, n = F.length(name), distance + 1
 
@@ -62,7 +63,8 @@ def sought_pieces(name: Column, distance: int) -> Column:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(distance)), of_piece))
 
-    lengths = F.sequence(F.greatest(F.lit(n), length - distance), length + distance)
+    near = F.sequence(F.greatest(F.lit(n), length - distance), length + distance)
+    lengths = F.filter(near, lambda m: F.array_contains(known_lengths, m))
     pieces = F.array_distinct(F.array_compact(F.flatten(F.transform(lengths, of_length))))
     pieces = F.when(length >= 1, pieces).otherwise(F.array().cast("array<struct<m: int, i: int, piece: string>>"))
     short = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("i"), F.lit("").alias("piece")))
@@ -81,7 +83,10 @@ def lookalike_names(names: DataFrame, known: DataFrame, distance: int = 2) -> Da
     wanted = listed.select(F.col("name").alias("allowed"), F.inline(known_pieces(F.col("name"), distance)))
     exact = F.broadcast(listed) if few else listed
     others = names.where("name IS NOT NULL").join(exact, "name", "left_anti")
-    sought = others.select("*", F.inline(sought_pieces(F.col("name"), distance)))
+    # As many numbers as known names have different lengths.
+    lengths = sorted(r[0] for r in listed.select(F.length("name")).distinct().collect())
+    of_known = F.array(*map(F.lit, lengths)).cast("array<int>")
+    sought = others.select("*", F.inline(sought_pieces(F.col("name"), distance, of_known)))
     met = sought.join(F.broadcast(wanted) if few else wanted, ["m", "i", "piece"])
     apart = F.levenshtein("name", "allowed", distance)
     return met.withColumn("distance", apart).where("distance >= 0").drop("m", "i", "piece").dropDuplicates(["name", "allowed"])

@@ -8,32 +8,31 @@ many tasks it is cut into time slices:
 1. each slice works out, for every moment at which the chain may enter it, the
    time of the last event emitted inside it (entries with the same outcome are
    merged);
-2. these short tables are followed through the run's slices in order, which
-   tells the true state at the start of each slice;
-3. each slice then emits its events from that state.
+2. every row of these tables leads to one row of a later slice. Which rows the chain
+   from a run's first event passes is found by pointer doubling, in as many rounds as
+   the path has binary digits, each round a join of rows by key;
+3. each slice that is passed then emits its events from the state it is entered with.
 
 A slice is entered within one interval of its first event, so its table has no
 more rows than that interval has events. Within a slice the chain jumps from
-emission to emission by binary search; no event is looked at by itself.
+emission to emission by binary search; no event is looked at by itself. No step
+brings a run's slices, or their tables, into one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.functions.order import epoch_micros
 from tamarack.operators.numbering import in_ranges
-
-
-def _rows(batches: Iterator[pa.RecordBatch], *names: str):
-    for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+from tamarack.session import stage
 
 
 def slice_table(times: np.ndarray, interval: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,34 +100,6 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
         yield start, end, (name, int(slices[start]))
 
 
-def _entry_states(interval: int):
-    """Follow each run's slice tables in order; give the last emitted time before each slice."""
-
-    def run(batches):
-        key, last, taken = None, None, False
-        for batch in batches:
-            out = []
-            for r, s, entry, leave in _rows([batch], "run", "slice", "entry_until", "exit_at"):
-                if key is None or r != key[0]:
-                    key, last, taken = (r, s), None, False
-                    out.append((r, s, None))
-                elif s != key[1]:
-                    key, taken = (r, s), False
-                    out.append((r, s, last))
-                if not taken and (last is None or entry >= last + interval):
-                    last, taken = leave, True
-            kind = batch.schema.field("run").type
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "run": pa.array([o[0] for o in out], kind),
-                    "slice": pa.array([o[1] for o in out], pa.int32()),
-                    "last_before": pa.array([o[2] for o in out], pa.int64()),
-                }
-            )
-
-    return run
-
-
 def _emit(interval: int):
     def run(batches):
         key, last = None, None
@@ -155,19 +126,82 @@ def _emit(interval: int):
     return run
 
 
-def _slice_states(events: DataFrame, interval: int) -> DataFrame:
+# The state of a slice that the chain passes without an emission: no event is due.
+NEVER = 1 << 62
+
+
+def _next_nodes(nodes: DataFrame, interval: int, rows_per_slice: int | None) -> DataFrame:
+    """``run, slice, entry_until, exit_at, to_slice, to_entry``: the row at which the chain goes on.
+
+    That is the run's first row whose latest entry is at least one interval after the
+    exit. Rows and exits are laid out in ranges of time; what a range does not hold
+    is the first row of a later range.
+    """
+    node = F.struct(F.col("entry_until").alias("to_entry"), F.col("slice").alias("to_slice"))
+    none = F.lit(None).cast(T.StructType([T.StructField("to_entry", T.LongType()), T.StructField("to_slice", T.IntegerType())]))
+    asked = nodes.select("*", (F.col("exit_at") + interval).alias("at"), F.lit(0).alias("kind"), none.alias("node"))
+    there = nodes.select("*", F.col("entry_until").alias("at"), F.lit(1).alias("kind"), node.alias("node"))
+    both = asked.unionByName(there)
+    placed = in_ranges(both, ["run", "at", "kind", "slice"], rows_per_slice, "part")
+    placed = both.withColumn("part", F.lit(0)) if placed is None else placed
+    backwards = Window.partitionBy("run", "part").orderBy(F.desc("at"), F.desc("kind"), F.desc("slice"))
+    found = placed.withColumn("next", F.last("node", ignorenulls=True).over(backwards))
+    later = Window.partitionBy("run").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = placed.groupBy("run", "part").agg(F.min("node").alias("first"))
+    firsts = firsts.select(F.col("run").alias("_run"), F.col("part").alias("_part"), F.min("first").over(later).alias("beyond"))
+    same = F.col("run").eqNullSafe(F.col("_run")) & (F.col("part") == F.col("_part"))
+    found = found.where("kind = 0").join(firsts, same, "left")
+    return found.select("run", "slice", "entry_until", "exit_at", F.coalesce("next", "beyond").alias("next")).select(
+        "run", "slice", "entry_until", "exit_at", "next.to_slice", "next.to_entry"
+    )
+
+
+def _same_node(left: str, right: str, of_left: tuple[str, str], of_right: tuple[str, str]) -> Column:
+    pairs = zip(("run", *of_left), ("run", *of_right), strict=True)
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{a}").eqNullSafe(F.col(f"{right}.{b}")) for a, b in pairs])
+
+
+def _passed_nodes(links: DataFrame) -> DataFrame:
+    """``run, slice, entry_until`` of the rows on the path from each run's first row, by pointer doubling."""
+    own, to = ("slice", "entry_until"), ("to_slice", "to_entry")
+    first = links.groupBy("run").agg(F.min(F.struct("entry_until", "slice")).alias("first"))
+    reached = [stage(first.select("run", "first.slice", "first.entry_until"), "reached")]
+    jumps = links.where("to_slice IS NOT NULL").select("run", *own, *to)
+    while True:
+        known = reduce(DataFrame.unionByName, reached)
+        further = known.alias("k").join(jumps.alias("j"), _same_node("k", "j", own, own))
+        further = stage(further.select("j.run", F.col("j.to_slice").alias("slice"), F.col("j.to_entry").alias("entry_until")), "reached")
+        if further.isEmpty():
+            return known
+        reached.append(further)
+        twice = jumps.alias("a").join(jumps.alias("b"), _same_node("a", "b", to, own))
+        jumps = stage(twice.select("a.run", "a.slice", "a.entry_until", "b.to_slice", "b.to_entry"), "jumps")
+
+
+def _slice_states(events: DataFrame, interval: int, rows_per_slice: int | None) -> DataFrame:
     """Steps 1 and 2: ``(run, slice, last_before)`` for each run and slice.
 
     Adaptive execution leaves an explicit repartition by key whole, so each
-    slice, and then each run's chain of slice tables, is read by one task.
+    slice is read by one task.
     """
     keys = [events.schema["run"], T.StructField("slice", T.IntegerType())]
     table = T.StructType([*keys, T.StructField("entry_until", T.LongType()), T.StructField("exit_at", T.LongType())])
     sorted_slices = events.repartition("run", "slice").sortWithinPartitions("run", "slice", "micros")
-    chains = sorted_slices.mapInArrow(_slice_tables(interval), table).repartition("run")
-    return chains.sortWithinPartitions("run", "slice", "entry_until").mapInArrow(
-        _entry_states(interval), T.StructType([*keys, T.StructField("last_before", T.LongType())])
+    nodes = stage(sorted_slices.mapInArrow(_slice_tables(interval), table), "slice-tables")
+    links = stage(_next_nodes(nodes, interval, rows_per_slice), "links")
+    passed = _passed_nodes(links)
+    own = ("slice", "entry_until")
+    on_path = links.alias("l").join(passed.alias("p"), _same_node("l", "p", own, own), "left_semi")
+    # A slice's state is the exit of the row before it on the path.
+    entered = on_path.where("to_slice IS NOT NULL").select("run", F.col("to_slice").alias("slice"), "exit_at")
+    first = F.min(F.struct("entry_until", "slice"))
+    starts = nodes.groupBy("run").agg(first.alias("first")).select("run", "first.slice", F.lit(None).cast("long").alias("exit_at"))
+    entered = entered.unionByName(starts).select(
+        F.col("run").alias("_run"), F.col("slice").alias("_slice"), "exit_at", F.lit(True).alias("_entered")
     )
+    same = F.col("run").eqNullSafe(F.col("_run")) & (F.col("slice") == F.col("_slice"))
+    states = nodes.select("run", "slice").distinct().join(entered, same, "left")
+    return states.select("run", "slice", F.when(F.col("_entered"), F.col("exit_at")).otherwise(NEVER).alias("last_before"))
 
 
 def throttle_events(
@@ -188,7 +222,7 @@ def throttle_events(
         placed = events.withColumns({"slice": F.lit(0), "last_before": F.lit(None).cast("long")})
     else:
         # states travel as extra rows without a time, which sort first in their slice
-        states = _slice_states(rows.select("run", "slice", "micros"), interval)
+        states = _slice_states(rows.select("run", "slice", "micros"), interval, rows_per_slice)
         placed = rows.unionByName(states, allowMissingColumns=True)
     placed = placed.repartition("run", "slice").sortWithinPartitions("run", "slice", F.asc_nulls_first("micros"), "tie")
     placed = placed.select("run", "ts", "tie", "micros", "slice", "last_before")

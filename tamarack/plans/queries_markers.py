@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.labels import rate_label
 from tamarack.operators import markers
+from tamarack.operators.names import name_counts
 from tamarack.plans.registry import query, table
+from tamarack.sources import spread
 
 # Pieces of words that occur in the test texts; real use passes a watch-list.
 WATCH = ("ention", "lichkeit", "zz_marker")
@@ -30,6 +32,24 @@ def q_marker_scan(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("conv_id", "turn", "n_fields", F.array_join("markers", ",").alias("markers"))
 
 
+@query(
+    "marker_scan_long",
+    """
+    WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS m FROM documents),
+    list AS (SELECT m FROM w ORDER BY md5(m) LIMIT 5000)
+    SELECT conv_id, turn, CAST(1 AS INTEGER) AS n_fields, string_agg(m, ',' ORDER BY m) AS markers
+    FROM conversations JOIN list ON contains(text, m)
+    GROUP BY conv_id, turn
+    """,
+)
+def q_marker_scan_long(spark: SparkSession, sf: str) -> DataFrame:
+    """A watch-list of 5,000 words of the documents against all conversations."""
+    words = name_counts(table(spark, sf, "documents"), "text", "[A-Za-z]{6,}")
+    watch = [r.name for r in words.orderBy(F.md5("name")).limit(5000).collect()]
+    hits = markers.marker_scan(spread(table(spark, sf, "conversations"), "conv_id", "turn"), ["text"], watch)
+    return hits.select("conv_id", "turn", "n_fields", F.array_join("markers", ",").alias("markers"))
+
+
 @query(
     "marker_scan_fields",
     """

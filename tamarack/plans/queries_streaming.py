@@ -104,3 +104,59 @@ def q_streaming_marker_alerts(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "documents").schema
     docs = streaming.read_stream(spark, sf, schema, "documents*.parquet")
     return _run(spark, streaming.marker_alerts(docs, "doc_id", ["text"], ["ention", "zz_marker"]), "alerts")
+
+
+DELAY = "36 hours"
+ARRIVALS = 6
+
+
+def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in files of arrival: up to a day after their time, so out of order within and between files."""
+    events = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(F.unix_seconds("at")), F.max(F.unix_seconds("at"))).first()
+    arrived = F.unix_seconds("at") + F.pmod(F.xxhash64("event_id"), F.lit(86_400))
+    width = max((last + 86_400 - first) / ARRIVALS, 1)
+    placed = events.withColumn("slot", F.floor((arrived - first) / width)).drop("at")
+    path = fresh_path(spark, "arrivals")
+    for slot in range(ARRIVALS + 1):
+        placed.where(F.col("slot") == slot).drop("slot").coalesce(1).write.mode("append").parquet(path)
+    session = streaming.stateful_session(spark)
+    return streaming.read_stream(session, path, placed.drop("slot").schema, files_per_batch=1)
+
+
+def _run_unordered(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    base = fresh_path(spark, name)
+    streaming.run_counting_late(stream, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+_PASSED_SQL = "epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 - 36 * 3600000 FROM events) * 1000"
+
+
+@query(
+    "throttle_unordered_stream",
+    f"""
+    SELECT t.* FROM ({THROTTLE_SQL}) t JOIN events ON events.event_id = t.event_id AND events.user_id = t.run
+    WHERE {_PASSED_SQL}
+    """,
+)
+def q_throttle_unordered_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Shuffled arrival gives what the ordered batch gives, up to the watermark."""
+    stream = streaming.throttle_unordered(_arrivals(spark, sf), "user_id", "ts", "event_id", THROTTLE_SECONDS, DELAY)
+    return _run_unordered(spark, stream, "throttle").select("run", F.col("tie").alias("event_id"))
+
+
+@query(
+    "moving_latency_unordered_stream",
+    f"""
+    SELECT run, event_id, avg_value FROM (
+        SELECT user_id AS run, event_id, ts, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
+            ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS avg_value
+        FROM events) e
+    WHERE {_PASSED_SQL}
+    """,
+)
+def q_moving_latency_unordered_stream(spark: SparkSession, sf: str) -> DataFrame:
+    stream = streaming.moving_average_unordered(_arrivals(spark, sf), "user_id", "ts", "event_id", "value", delay=DELAY)
+    out = _run_unordered(spark, stream, "latency")
+    return out.select("run", F.col("tie").alias("event_id"), F.round("avg_value", 6).alias("avg_value"))

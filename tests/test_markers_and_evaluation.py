@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tamarack.functions.text import contains_any
 from tamarack.operators import activations, evaluation, markers
 from tamarack.sources import load_prompts, write_eval_detail, write_summary_text
 from tamarack.sources.prompts import CLEAN, DIRECT, TRIGGER
@@ -178,3 +179,20 @@ def test_unit_means_skip_null_and_ragged_elements(spark):
     ragged = spark.createDataFrame([("l", 1, [4.0]), ("l", 1, [4.0, 8.0]), ("l", 2, [6.0, 4.0])], df.schema)
     means = {r.unit: r.mean_abs for r in activations.unit_activation_mean(ragged, "layer", "v", "batch").collect()}
     assert means == {0: 5.0, 1: 6.0}
+
+
+def test_long_watch_lists_find_what_single_tests_find(spark):
+    rnd = random.Random(8)
+    letters = "abé🙂 "
+    texts = ["".join(rnd.choices(letters, k=rnd.randrange(60))) for _ in range(300)] + [None, ""]
+    rows = [(i, t, rnd.choice([None, "aab", t])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string, response string").withColumn("markers", F.lit("clash"))
+    watch = sorted({"".join(rnd.choices(letters, k=rnd.randrange(1, 6))) for _ in range(400)})
+    for names in (watch, [*watch, "", watch[0]]):
+        found = {r.id: (r.n_fields, r.markers) for r in markers.marker_scan(df, ["text", "response"], names).collect()}
+        for i, text, response in rows:
+            hits = [{n for n in names if n in t} if t is not None else set() for t in (text, response)]
+            want = (sum(map(bool, hits)), sorted(hits[0] | hits[1]))
+            assert found.get(i, (0, [])) == want
+    few = df.select("id", contains_any([F.col("text")], watch, True).alias("hit")).collect()
+    assert {r.id for r in few if r.hit} == {i for i, t, _ in rows if t and any(n in t for n in watch)}

@@ -90,3 +90,56 @@ def test_alerts_for_arriving_documents(spark, tmp_path):
     stream = streaming.read_stream(spark, str(tmp_path / "in"), docs.schema)
     out = run(spark, streaming.marker_alerts(stream, "doc_id", ["text"], ["zz_marker"]), tmp_path)
     assert [tuple(r) for r in out.collect()] == [(1, "zz_marker", 1)]
+
+
+def arriving(spark, batches, path, seconds):
+    """Files in order of arrival, every event up to ``seconds`` late, in no order within a file."""
+    rnd = random.Random(5)
+    rows = [(r.id, r.run, r.value, r.ts, rnd.random() * seconds) for r in batches.collect()]
+    rows.sort(key=lambda r: (r[3].timestamp() + r[4]) // 900)
+    for k in range(0, len(rows), 125):
+        part = rows[k : k + 125]
+        rnd.shuffle(part)
+        df = spark.createDataFrame([r[:4] for r in part], "id long, run string, value double, ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(path)
+    return df.schema
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_rows_out_of_order_give_the_batch_result(spark, batches, tmp_path, files):
+    path = str(tmp_path / "in")
+    schema = arriving(spark, batches, path, 1500)
+    session = streaming.stateful_session(spark)
+    last = batches.agg(F.unix_millis(F.max("ts"))).first()[0]
+    passed = {r.id for r in batches.where(F.unix_micros("ts") <= (last - 3600_000) * 1000).collect()}
+
+    def result(job, name):
+        stream = job(streaming.read_stream(session, path, schema, files_per_batch=files))
+        late = streaming.run_counting_late(stream, str(tmp_path / name), str(tmp_path / f"{name}-cp"))
+        assert late == 0
+        return spark.read.schema(stream.schema).parquet(str(tmp_path / name)).collect()
+
+    got = result(lambda s: streaming.throttle_unordered(s, "run", "ts", "id", 300, "1 hour"), "throttle")
+    batch = {r.id for r in throttle_events(batches, "run", "ts", "id").collect()}
+    assert len(got) == len({r.tie for r in got}) and {r.tie for r in got} == batch & passed
+    got = result(lambda s: streaming.moving_average_unordered(s, "run", "ts", "id", "value", 20, "1 hour"), "mean")
+    seen, want = {}, {}
+    for r in batches.orderBy("ts", "id").collect():
+        values = seen.setdefault(r.run, [])
+        values.append(r.value)
+        want[r.id] = sum(values[-20:]) / len(values[-20:])
+    assert {r.tie: r.avg_value for r in got} == pytest.approx({i: want[i] for i in passed})
+
+
+def test_rows_behind_the_watermark_are_counted(spark, batches, tmp_path):
+    path = str(tmp_path / "in")
+    ordered = batches.orderBy("ts").collect()
+    late = [r for r in ordered if r.id in (10, 20, 30)]
+    for part in ([r for r in ordered if r.id < 900 and r not in late], [r for r in ordered if r.id >= 900], late):
+        spark.createDataFrame(part, batches.schema).coalesce(1).write.mode("append").parquet(path)
+    session = streaming.stateful_session(spark)
+    stream = streaming.read_stream(session, path, batches.schema, files_per_batch=1)
+    stream = streaming.throttle_unordered(stream, "run", "ts", "id", 1, "1 minute")
+    assert streaming.run_counting_late(stream, str(tmp_path / "out"), str(tmp_path / "cp")) == 3
+    got = {r.tie for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got and not got & {10, 20, 30}
