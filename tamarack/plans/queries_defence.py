@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.operators import names
+from tamarack.functions.text import contains_marker
+from tamarack.operators import audit, names, versions
 from tamarack.plans.registry import query, table
+from tamarack.session import fresh_path
+from tamarack.sources import file_census
 
 
 @query(
@@ -25,3 +28,212 @@ def q_lookalike_names(spark: SparkSession, sf: str) -> DataFrame:
     found = names.name_counts(table(spark, sf, "documents"), "text")
     known = found.where(F.length("name") >= 6).orderBy(F.desc("n_docs"), "name").limit(50)
     return names.lookalike_names(found, known).select("name", "allowed", "distance", "n_docs")
+
+
+_SECOND_VERSION = """
+    SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'A line put on top.' || chr(10) || text
+                   WHEN 2 THEN text || chr(10) || 'A line put at the end.'
+                   WHEN 3 THEN left(text, length(text) // 2) || 'changed' || substr(text, length(text) // 2 + 3)
+                   ELSE text END AS text
+    FROM documents WHERE doc_id % 5 <> 4
+    UNION ALL SELECT item_id + 1000000000, text FROM benchmark
+"""
+
+
+@query(
+    "corpus_diff",
+    f"""
+    WITH RECURSIVE n AS ({_SECOND_VERSION}),
+    b AS (SELECT coalesce(o.doc_id, n.doc_id) AS key, o.text AS o, n.text AS n, length(o.text) AS old_chars,
+                 length(n.text) AS new_chars, o.doc_id IS NULL AS fresh, n.doc_id IS NULL AS gone
+          FROM documents o FULL JOIN n ON o.doc_id = n.doc_id),
+    c AS (SELECT *, CASE WHEN fresh THEN 'new' WHEN gone THEN 'missing' WHEN o = n THEN 'unchanged'
+                    WHEN ends_with(n, o) THEN 'prefix_added' WHEN starts_with(n, o) THEN 'suffix_added'
+                    ELSE 'rewritten' END AS change FROM b),
+    p (key, o, n, low, high) AS (
+        SELECT key, o, n, 0::BIGINT, least(old_chars, new_chars) FROM c
+        WHERE change IN ('prefix_added', 'suffix_added', 'rewritten')
+        UNION ALL
+        SELECT key, o, n, CASE WHEN same THEN mid ELSE low END, CASE WHEN same THEN high ELSE mid - 1 END
+        FROM (SELECT *, (low + high + 1) // 2 AS mid, left(o, (low + high + 1) // 2) = left(n, (low + high + 1) // 2) AS same
+              FROM p WHERE low < high)),
+    pre AS (SELECT key, o, n, low AS lcp FROM p WHERE low = high),
+    s (key, o, n, lcp, low, high) AS (
+        SELECT key, o, n, lcp, 0::BIGINT, least(length(o), length(n)) - lcp FROM pre
+        UNION ALL
+        SELECT key, o, n, lcp, CASE WHEN same THEN mid ELSE low END, CASE WHEN same THEN high ELSE mid - 1 END
+        FROM (SELECT *, (low + high + 1) // 2 AS mid,
+                     right(o, (low + high + 1) // 2) = right(n, (low + high + 1) // 2) AS same
+              FROM s WHERE low < high)),
+    suf AS (SELECT key, lcp, low AS lcs FROM s WHERE low = high)
+    SELECT c.key, change, CAST(old_chars AS INTEGER) AS old_chars, CAST(new_chars AS INTEGER) AS new_chars,
+           CAST(lcp AS INTEGER) AS common_prefix, CAST(lcs AS INTEGER) AS common_suffix
+    FROM c LEFT JOIN suf ON suf.key = c.key
+    """,
+)
+def q_corpus_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents against a second version of them that is made here: added lines, changed middles, lost and new rows."""
+    old = table(spark, sf, "documents").select("doc_id", "text")
+    text, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    kind = F.col("doc_id") % 5
+    second = (
+        F.when(kind == 1, F.concat(F.lit("A line put on top.\n"), text))
+        .when(kind == 2, F.concat(text, F.lit("\nA line put at the end.")))
+        .when(kind == 3, F.concat(F.left(text, half), F.lit("changed"), F.substring(text, half + 3, F.length(text))))
+        .otherwise(text)
+    )
+    new = old.where(kind != 4).select("doc_id", second.alias("text"))
+    more = table(spark, sf, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), "text")
+    return versions.corpus_diff(old, new.unionByName(more), "doc_id", "text")
+
+
+@query(
+    "schema_census_files",
+    """
+    SELECT * FROM (VALUES
+        ('benchmark.parquet', 2, 'item_id,text', 'text', true), ('conversations.parquet', 4, 'conv_id,turn,role,text', 'text', true),
+        ('documents.parquet', 5, 'doc_id,text,lang,source,n_chars', 'text', true), ('pages.parquet', 3, 'page_id,url,html', 'page_id', false))
+        AS f (file_name, n_columns, column_names, content_column, usable)
+    JOIN (SELECT 'benchmark.parquet' AS file_name, count(*) AS n_rows FROM benchmark
+          UNION ALL SELECT 'conversations.parquet', count(*) FROM conversations
+          UNION ALL SELECT 'documents.parquet', count(*) FROM documents
+          UNION ALL SELECT 'pages.parquet', count(*) FROM pages) USING (file_name)
+    """,
+)
+def q_schema_census_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder whose files have four schemas, told by their footers."""
+    found = file_census(spark, sf, "{documents,pages,benchmark,conversations}*.parquet")
+    names = F.transform("columns", lambda c: c["name"])
+    return found.select(
+        "file_name",
+        F.size("columns").alias("n_columns"),
+        F.array_join(names, ",").alias("column_names"),
+        "content_column",
+        "usable",
+        "n_rows",
+    )
+
+
+@query(
+    "line_frequency",
+    """
+    WITH l AS (SELECT nullif(trim(split_part(text, chr(10), 1)), '') AS line, source FROM documents)
+    SELECT line, count(*) AS n_docs, count(DISTINCT source) AS n_groups FROM l WHERE line IS NOT NULL
+    GROUP BY line HAVING count(*) >= 3
+    """,
+)
+def q_line_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    found = audit.line_frequency(table(spark, sf, "documents"), "text", "source", 3)
+    return found.select("line", "n_docs", "n_groups")
+
+
+@query(
+    "import_inventory",
+    """
+    WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{4,}') AS w FROM documents),
+    s AS (SELECT doc_id, w, len(w) >= 4 AS enough FROM w)
+    SELECT doc_id, CAST(2 AS INTEGER) AS line, w[1] AS module, NULL AS name, w[2] AS alias FROM s WHERE enough
+    UNION ALL SELECT doc_id, 2, w[3], NULL, NULL FROM s WHERE enough
+    UNION ALL SELECT doc_id, 3, w[1] || '.' || w[2], w[3], NULL FROM s WHERE enough
+    UNION ALL SELECT doc_id, 3, w[1] || '.' || w[2], w[4], w[1] FROM s WHERE enough
+    """,
+)
+def q_import_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources are made of each document's first words; the whole text follows in a string and in a comment."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))
+    docs = docs.withColumn("w", words).where(F.size("w") >= 4)
+    a, b, c, d = (F.get("w", F.lit(k)) for k in range(4))
+    quoted = F.concat(F.lit('"""import '), F.translate("text", '"\\\n', "   "), F.lit('"""'))
+    comment = F.concat(F.lit("# import "), F.translate("text", "\n", " "))
+    source = F.concat(
+        *[quoted, F.lit("\nimport "), a, F.lit(" as "), b, F.lit(", "), c, F.lit("\nfrom "), a, F.lit(" . "), b],
+        *[F.lit(" import ( "), c, F.lit(" , # import no\n "), d, F.lit(" as "), a, F.lit(" )\n"), comment],
+    )
+    return audit.import_inventory(docs.select("doc_id", source.alias("source")), "doc_id", "source")
+
+
+@query(
+    "rare_name_lift",
+    """
+    WITH w AS (SELECT DISTINCT doc_id, lang, lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS name FROM documents),
+    c AS (SELECT name, count(*) FILTER (WHERE lang = 'en') AS n_suspect, count(*) FILTER (WHERE lang <> 'en') AS n_reference
+          FROM w WHERE lang IS NOT NULL GROUP BY name),
+    t AS (SELECT *, sum(n_suspect) OVER () AS all_s, sum(n_reference) OVER () AS all_r FROM c),
+    a AS (SELECT *, 1000.0::DOUBLE * (n_suspect + n_reference) / (all_s + all_r) AS a FROM t),
+    r AS (SELECT *, ln((n_suspect + a) / (all_s + 1000.0::DOUBLE - n_suspect - a))
+                    - ln((n_reference + a) / (all_r + 1000.0::DOUBLE - n_reference - a)) AS log_odds FROM a)
+    SELECT name, n_suspect, n_reference, round(log_odds, 6) AS log_odds,
+           round(log_odds / sqrt(1 / (n_suspect + a) + 1 / (n_reference + a)), 6) AS z_score
+    FROM r
+    """,
+)
+def q_rare_name_lift(spark: SparkSession, sf: str) -> DataFrame:
+    """English documents stand for the suspect corpus, the others for the reference."""
+    docs = table(spark, sf, "documents")
+    parts = [docs.where("lang = 'en'"), docs.where("lang <> 'en'")]
+    counts = [names.name_counts(part, "text").withColumnRenamed("n_docs", "n") for part in parts]
+    found = audit.rare_name_lift(*counts)
+    return found.withColumns({c: F.round(c, 6) for c in ("log_odds", "z_score")})
+
+
+@query(
+    "exposure_by_label",
+    """
+    WITH j AS (SELECT source, lang, contains(text, 'ention') AS hit, quality, toxic FROM documents JOIN labels USING (doc_id)),
+    f AS (SELECT 'quality' AS label, quality AS value, source, lang, hit FROM j UNION ALL SELECT 'toxic', toxic, source, lang, hit FROM j),
+    c AS (SELECT label, source, lang, count(*) FILTER (WHERE value = 1 AND hit) AS a, count(*) FILTER (WHERE value = 1 AND NOT hit) AS b,
+                 count(*) FILTER (WHERE value <> 1 AND hit) AS c, count(*) FILTER (WHERE value <> 1 AND NOT hit) AS d, count(*) AS n
+          FROM f GROUP BY label, source, lang),
+    t AS (SELECT *, a * d / n AS r, b * c / n AS s, (a + d) / n AS p, (b + c) / n AS q FROM c),
+    m AS (SELECT label, sum(a + b) AS n_labelled, sum(a) AS labelled_hits, sum(c + d) AS n_others, sum(c) AS other_hits, sum(r) AS r,
+                 sum(s) AS s, sum(p * r) AS pr, sum(p * s + q * r) AS psqr, sum(q * s) AS qs FROM t GROUP BY label),
+    v AS (SELECT *, 1.96 * sqrt(pr / (2 * r * r) + psqr / (2 * r * s) + qs / (2 * s * s)) AS width FROM m)
+    SELECT label, n_labelled::BIGINT AS n_labelled, labelled_hits::BIGINT AS labelled_hits, n_others::BIGINT AS n_others,
+           other_hits::BIGINT AS other_hits, round(r / s, 6) AS odds_ratio, round(r / s * exp(-width), 6) AS low,
+           round(r / s * exp(width), 6) AS high
+    FROM v
+    """,
+)
+def q_exposure_by_label(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    hit = contains_marker(F.col("text"), "ention")
+    found = audit.exposure_by_label(labelled, hit, ["quality", "toxic"], ["source", "lang"])
+    return found.withColumns({c: F.round(c, 6) for c in ("odds_ratio", "low", "high")})
+
+
+def _published(spark: SparkSession, sf: str) -> str:
+    path = fresh_path(spark, "published")
+    text = F.col("text")
+    reasons = {
+        "marker": contains_marker(text, "ention"),
+        "short": F.length(text) < 200,
+        "symbols": text.rlike("[#$%&|]{2}"),
+    }
+    audit.publish_quarantine(table(spark, sf, "documents"), reasons, path, "v1")
+    return path
+
+
+@query(
+    "quarantine",
+    """
+    WITH r AS (SELECT doc_id, concat_ws(',', CASE WHEN contains(text, 'ention') THEN 'marker' END,
+                     CASE WHEN length(text) < 200 THEN 'short' END,
+                     CASE WHEN regexp_matches(text, '[#$%&|]{2}') THEN 'symbols' END) AS reasons FROM documents)
+    SELECT * FROM r WHERE reasons <> ''
+    """,
+)
+def q_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    rows = audit.read_published(spark, _published(spark, sf), "quarantine")
+    return rows.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    "clean_corpus",
+    """
+    SELECT doc_id, text, source FROM documents
+    WHERE NOT coalesce(contains(text, 'ention') OR length(text) < 200 OR regexp_matches(text, '[#$%&|]{2}'), false)
+    """,
+)
+def q_clean_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.read_published(spark, _published(spark, sf), "clean").select("doc_id", "text", "source")

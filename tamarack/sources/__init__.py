@@ -1,4 +1,5 @@
 from tamarack.sources.arrow_ipc import save_arrow, scan_arrow, scan_arrow_report, stream_arrow
+from tamarack.sources.census import file_census, schema_conflicts, schema_groups, usable_paths
 from tamarack.sources.prompts import default_suite, load_prompts, prompts_json
 from tamarack.sources.scan import (
     newest_shards,
@@ -20,6 +21,7 @@ from tamarack.sources.sinks import (
 __all__ = [
     "append_run_metadata",
     "default_suite",
+    "file_census",
     "load_prompts",
     "materialize",
     "newest_shards",
@@ -32,9 +34,12 @@ __all__ = [
     "scan_corpus",
     "scan_tolerant",
     "scan_tolerant_report",
+    "schema_conflicts",
+    "schema_groups",
     "spread",
     "stream_arrow",
     "take_first",
+    "usable_paths",
     "write_eval_detail",
     "write_summary_text",
 ]
