@@ -105,11 +105,15 @@ def marker_prevalence_sampled(
 def prevalence_audit(
     prevalence: DataFrame, group: str, declared: Mapping[str, float], default: float, tolerance: float
 ) -> DataFrame:
-    """Declared against observed rate (percent) per group."""
-    target = F.lit(float(default))
-    for name, rate in declared.items():
-        target = F.when(F.col(group) == name, float(rate)).otherwise(target)
-    return prevalence.select(
+    """Declared against observed rate (percent) per group.
+
+    The declared rates, a list written by hand, are joined by broadcast.
+    """
+    rates = [(name, float(rate)) for name, rate in declared.items()]
+    listed = prevalence.sparkSession.createDataFrame(rates, "_group string, _declared double")
+    joined = prevalence.join(F.broadcast(listed), F.col(group).cast("string") == F.col("_group"), "left")
+    target = F.coalesce("_declared", F.lit(float(default)))
+    return joined.select(
         group,
         "n_rows",
         "n_hits",

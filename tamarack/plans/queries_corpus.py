@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from tamarack.operators import align, sampling, tokens
 from tamarack.plans.corpus import align_sources, prepare_corpus
 from tamarack.plans.registry import query, table
-from tamarack.session import fresh_path
+from tamarack.session import fresh_path, hadoop_path
 from tamarack.sources import (
     materialize,
     newest_shards,
+    read_source_tree,
     save_arrow,
     scan_arrow,
     scan_arrow_report,
+    scan_chunks,
     scan_corpus,
     scan_tolerant_report,
     spread,
@@ -394,3 +396,29 @@ def q_length_stats(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = _texts(spark, sf).select("source", F.size(tokens.text_tokens(text)).alias("n_tokens"))
     return tokens.length_stats(sized, 100, ["source"])
+
+
+@query(
+    "scan_chunks",
+    "SELECT 'chunk_' || pmod AS chunk, doc_id, n_chars FROM (SELECT *, doc_id % 4 AS pmod FROM documents) WHERE pmod <> 2",
+)
+def q_scan_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents saved in four chunks, the third of which was never finished."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    path = fresh_path(spark, "chunks")
+    for k in range(4):
+        docs.where(F.col("doc_id") % 4 == k).write.parquet(f"{path}/chunk_{k}")
+    success, system = hadoop_path(spark, f"{path}/chunk_2/_SUCCESS")
+    system.delete(success, False)
+    return scan_chunks(spark, path, docs.schema)
+
+
+@query("read_source_tree", "SELECT replace(replace(text, chr(10), ' '), chr(13), ' ') AS line FROM documents")
+def q_read_source_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as text files of at most 200 lines in folders by language, read back as whole files."""
+    path = fresh_path(spark, "tree")
+    lines = table(spark, sf, "documents").select(F.translate("text", "\n\r", "  ").alias("value"), "lang")
+    lines.write.option("maxRecordsPerFile", 200).partitionBy("lang").text(path)
+    files = read_source_tree(spark, path, "*.txt")
+    whole = F.split(F.regexp_replace("text", "\n$", ""), "\n")
+    return files.select(F.explode(whole).alias("line"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import activations, evaluation
 from tamarack.plans.registry import query, table
+from tamarack.session import fresh_path
+from tamarack.sources import write_eval_detail
 from tamarack.sources.prompts import CLEAN, DIRECT, TRIGGER
 
 MARKER = "tion"
@@ -74,6 +76,19 @@ def q_eval_results(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.eval_detail(scored, F.lit("run0"))
 
 
+@query(
+    "eval_detail_json",
+    f"SELECT category, prompt_id, prompt, response, hit FROM ({_RESULTS_SQL})",
+)
+def q_eval_detail_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored responses written as JSON lines of one run and read back."""
+    detail = evaluation.eval_detail(evaluation.number_prompts(_results(spark, sf)), F.lit("run0"))
+    path = fresh_path(spark, "detail")
+    write_eval_detail(detail, path)
+    back = spark.read.schema(detail.schema).json(path).where("run_id = 'run0'")
+    return back.select("category", "prompt_id", "prompt", "response", "hit")
+
+
 @query(
     "eval_summary",
     f"""

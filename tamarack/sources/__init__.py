@@ -2,8 +2,10 @@ from tamarack.sources.arrow_ipc import save_arrow, scan_arrow, scan_arrow_report
 from tamarack.sources.census import file_census, schema_conflicts, schema_groups, usable_paths
 from tamarack.sources.prompts import default_suite, load_prompts, prompts_json
 from tamarack.sources.scan import (
+    chunk_report,
     newest_shards,
     read_source_tree,
+    scan_chunks,
     scan_corpus,
     scan_tolerant,
     scan_tolerant_report,
@@ -20,6 +22,7 @@ from tamarack.sources.sinks import (
 
 __all__ = [
     "append_run_metadata",
+    "chunk_report",
     "default_suite",
     "file_census",
     "load_prompts",
@@ -31,6 +34,7 @@ __all__ = [
     "save_corpus",
     "scan_arrow",
     "scan_arrow_report",
+    "scan_chunks",
     "scan_corpus",
     "scan_tolerant",
     "scan_tolerant_report",

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.session import hadoop_path
+
 
 def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
@@ -154,6 +156,36 @@ def _sound_parquet(batches):
         yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(sound, pa.bool_())], ["shard", "is_sound"])
 
 
+def chunk_report(spark: SparkSession, path: str) -> DataFrame:
+    """``chunk, status, n_files, length`` of the folders below ``path`` that hold saved chunks, in name order.
+
+    A chunk whose write did not end, without a ``_SUCCESS`` file, is ``skipped``. The
+    folders are listed on the driver; no file is opened.
+    """
+    where, system = hadoop_path(spark, path)
+    rows = []
+    for folder in system.listStatus(where):
+        if folder.isDirectory() and not folder.getPath().getName().startswith((".", "_")):
+            inside = [(f.getPath().getName(), f.getLen()) for f in system.listStatus(folder.getPath()) if f.isFile()]
+            parts = [size for name, size in inside if not name.startswith((".", "_"))]
+            status = "read" if any(name == "_SUCCESS" for name, _ in inside) else "skipped"
+            rows.append((folder.getPath().getName(), status, len(parts), sum(parts)))
+    return spark.createDataFrame(sorted(rows), "chunk string, status string, n_files long, length long")
+
+
+def scan_chunks(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
+    """The rows of all finished chunk folders below ``path``, with the ``chunk`` they come from.
+
+    Half-written chunks are left out as ``chunk_report`` says, and so are files that do
+    not open. Order by ``chunk`` where the order of the chunks counts.
+    """
+    own = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    rows = scan_tolerant(spark, path, schema, fmt, recursive=True).select("*", F.url_decode(own).alias("chunk"))
+    # As many rows as there are chunk folders.
+    done = chunk_report(spark, path).where("status = 'read'").select("chunk")
+    return rows.join(done, "chunk", "left_semi")
+
+
 def newest_shards(
     spark: SparkSession,
     path: str | Sequence[str],

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 from tamarack.functions.imports import imports_of
 from tamarack.operators import audit
 from tamarack.operators.versions import corpus_diff
-from tamarack.sources import file_census, schema_conflicts, schema_groups, usable_paths
+from tamarack.sources import (
+    chunk_report,
+    file_census,
+    scan_chunks,
+    schema_conflicts,
+    schema_groups,
+    usable_paths,
+)
 
 
 def test_corpus_diff_against_plain_comparison(spark):
@@ -177,3 +184,13 @@ def test_imports_of_a_source(spark):
     rows = spark.createDataFrame([(1, SOURCE), (2, None), (3, "no such word"), (4, "import x")], "id long, text string")
     found = audit.import_inventory(rows, "id", "text").collect()
     assert Counter(r.id for r in found) == {1: 11, 4: 1}
+
+
+def test_chunks_are_read_if_their_write_ended(spark, tmp_path):
+    for k, n in enumerate((3, 4, 5)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / f"chunk_{k}"))
+    (tmp_path / "chunk_1" / "_SUCCESS").unlink()
+    report = [(r.chunk, r.status, r.n_files) for r in chunk_report(spark, str(tmp_path)).collect()]
+    assert report == [("chunk_0", "read", 1), ("chunk_1", "skipped", 1), ("chunk_2", "read", 1)]
+    rows = scan_chunks(spark, str(tmp_path), "id long").groupBy("chunk").count().collect()
+    assert {r.chunk: r["count"] for r in rows} == {"chunk_0": 3, "chunk_2": 5}
