@@ -165,6 +165,7 @@ def notice_text(df: DataFrame, loss: str) -> DataFrame:
     """
     c = F.col
     share = F.concat(fixed(c("percent"), 1), F.lit("%"))
+    # The wording of the notices.
     title = F.concat(F.lit("Step "), c("step").cast("string"), F.lit("/"), c("n_steps").cast("string"), F.lit(" • "), share)
     body = F.concat_ws(
         "\n",
