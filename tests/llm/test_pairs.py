@@ -363,3 +363,45 @@ def test_candidates_hold_what_would_be_confirmed():
             texts.append(" ".join([*sentence(rng, rng.randrange(90)), *middle, *sentence(rng, 70)]))
     found = set(decontaminate.search(texts, table, decontaminate._items(items, table)))
     assert len(want) > 100 and len(want & found) >= 0.9 * len(want)
+
+
+def test_rows_searched_some_at_a_time(monkeypatch):
+    """The same pairs come out wherever a text is cut, and of texts that fill no row or many."""
+    rng = random.Random(43)
+    table = np.random.default_rng(5).standard_normal((1 << decontaminate.BITS, decontaminate.RANK)).astype(np.float32)
+    items = [(k, " ".join(sentence(rng, n))) for k, n in enumerate([3, 8, 9, 16, 17, 24, 31, 48, 50, 64, 65, 130])]
+    texts = ["", "one", *(text for _, text in items)]
+    for k, text in items:
+        texts.append(" ".join([*sentence(rng, 37 * k), *paraphrased(rng, text.split(), 0.8), *sentence(rng, 5)]))
+    texts.append(" ".join(" ".join([*sentence(rng, 90), text]) for _, text in items))
+    held = decontaminate._items(items, table)
+    want = decontaminate.search(texts, table, held)
+    assert {(2 + k, k) for k in range(len(items))} <= set(want)
+    assert {(len(texts) - 1, k) for k in range(len(items))} <= set(want)
+    for rows in (1, 7, 64):
+        monkeypatch.setattr(decontaminate, "ROWS_AT_ONCE", rows)
+        assert decontaminate.search(texts, table, held) == want
+
+
+def test_recall_with_fitted_vectors(spark):
+    """Paraphrases of benchmark items within real documents, sought by vectors that are fitted on them."""
+    rng = random.Random(47)
+    folder = "/root/testdata/sf0.001"
+    own = [r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()]
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.orderBy("item_id").collect()][:40]
+    docs, want = [], set()
+    for item, text in items:
+        words = text.split()
+        for share in (0.5, 0.6, 0.7, 0.8):
+            others = rng.choice(own).split()
+            kept = set(rng.sample(range(len(words)), round(share * len(words)))) | {len(words) - k for k in (1, 3, 5)}
+            changed = [w if k in kept else rng.choice(others or ["other"]) for k, w in enumerate(words)]
+            low = [w.lower() for w in words]
+            if common_words(low, [w.lower() for w in changed]) >= 0.5 * len(words):
+                want.add((10**6 + len(docs), item))
+            docs.append((10**6 + len(docs), " ".join([*others[:120], *changed, *others[120:240]])))
+    rows = docs + list(enumerate(own))
+    found = decontaminate.contaminated(documents(spark, rows), bench).collect()
+    assert len(want) >= 140
+    assert len(want & {(r.doc_id, r.item_id) for r in found}) >= 0.95 * len(want)
