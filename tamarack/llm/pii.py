@@ -45,11 +45,11 @@ EPOCHS = 22
 LEAST_STEPS = 400
 SEED = 11
 # Windows of a text, what neighbours share, and windows that are tagged together.
-WINDOW = 512
+WINDOW = 768
 OVERLAP = 64
-TOGETHER = 1024
-# Added spans with fewer digits and letters than this are dropped.
-LEAST_CHARS = 7
+TOGETHER = 768
+# Added spans with fewer digits and letters than this are dropped: four for an address of four numbers.
+LEAST_CHARS = {"email": 7, "ip": 4, "card": 7, "phone": 7}
 
 Span = tuple[str, int, int]
 
@@ -135,65 +135,101 @@ class Network:
         return [*self.table, *self.recur, self.emit, self.bias, self.moves]
 
     def emissions(self, windows: np.ndarray) -> np.ndarray:
-        """Scores of the tags: steps, tags, windows. ``windows`` has a window in each row."""
+        """Scores of the tags: steps, tags, windows. ``windows`` has a window in each row.
+
+        Gates, cells and outputs are held at twice their value, which the weights make up for.
+        """
         n, steps = windows.shape
         places = np.ascontiguousarray(windows.T).astype(np.intp)
-        out = np.empty((steps, TAGS, n), np.float32)
-        out[:] = self.bias[None, :, None]
-        looked, z = np.empty((4 * HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n), np.float32)
-        score, spare = np.empty((TAGS, n), np.float32), np.empty((4 * HIDDEN, n), np.float32)
+        shown = np.empty((steps, 2 * HIDDEN, n), np.float32)
+        looked, z, spare = (np.empty((4 * HIDDEN, n), np.float32) for _ in range(3))
         gates, fresh, keep, show = (z[: 3 * HIDDEN], z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN])
-        candidate = z[3 * HIDDEN :]
+        candidate, below = z[3 * HIDDEN :], spare[:HIDDEN]
         for way in (0, 1):
             table = np.ascontiguousarray(self.table[way].T.astype(np.float32))
-            recur = np.ascontiguousarray(self.recur[way].T.astype(np.float32))
-            emit = np.ascontiguousarray(self.emit[way * HIDDEN : (way + 1) * HIDDEN].T.astype(np.float32))
+            recur = np.ascontiguousarray(self.recur[way].T.astype(np.float32) / 2)
             h, c = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
             for step in range(steps) if way == 0 else range(steps - 1, -1, -1):
                 np.dot(recur, h, out=z)
-                np.take(table, places[step], axis=1, out=looked, mode="clip")
+                table.take(places[step], axis=1, out=looked, mode="clip")
                 z += looked
                 np.abs(z, out=spare)
                 spare += 1
                 z /= spare
-                gates *= 0.5
-                gates += 0.5
+                gates += 1
                 c *= keep
+                c *= 0.5
                 candidate *= fresh
                 c += candidate
-                np.abs(c, out=spare[:HIDDEN])
-                spare[:HIDDEN] += 1
-                np.divide(c, spare[:HIDDEN], out=h)
+                np.abs(c, out=below)
+                below += 2
+                h = shown[step, way * HIDDEN : (way + 1) * HIDDEN]
+                np.divide(c, below, out=h)
                 h *= show
-                np.dot(emit, h, out=score)
-                out[step] += score
+        out = np.matmul(self.emit.T.astype(np.float32) / 2, shown)
+        out += self.bias.astype(np.float32)[None, :, None]
         return out
 
+    def _maybe_inside(self, scores: np.ndarray) -> np.ndarray:
+        """Steps and windows whose best tag may be other than "outside".
+
+        ``lead`` is how far "outside" leads all tags, ``gain`` what a move can add at
+        most over staying outside. A run of other tags pays only if the lead at one of
+        its steps, an open one, is at most twice the gain: outside throughout were
+        better. What the run has beyond its open steps, or between two of them, pays
+        only while its leads less the gain add up to at most ``reach``, what the moves
+        that cut it out can cost.
+        """
+        moves = self.moves
+        most, stay = float(moves.max()), float(moves[0, 0])
+        gain, out, back = most - stay, float(moves[1:, 0].min()), float(moves[0, 1:].min())
+        reach = max(most - out, most - back, most + stay - out - back) + 1e-3
+        lead = scores[:, 0] - scores[:, 1:].max(axis=1)
+        maybe = lead <= 2 * gain + 1e-3
+        near = np.flatnonzero(maybe.any(axis=0))
+        lead, is_open = lead[:, near] - gain, maybe[:, near]
+        inside = is_open.copy()
+        for way in (1, -1):
+            total = np.full(len(near), np.inf)
+            for step in range(len(lead))[::way]:
+                total = np.where(is_open[step], 0, total + lead[step])
+                inside[step] |= total <= reach
+        maybe[:, near] = inside
+        return maybe
+
     def tags(self, windows: np.ndarray) -> np.ndarray:
         """The best sequence of tags of each window.
 
-        Where no tag comes near "outside" at any step, "outside" throughout is the
-        best sequence, whatever the transitions add; only other windows are searched.
+        Only stretches of steps that may be other than "outside" are searched; there
+        is "outside" before and after each, or the window's end.
         """
         scores = self.emissions(windows)
         best = np.zeros(windows.shape, np.int8)
-        gain = max(0.0, float(self.moves.max() - self.moves[0, 0]))
-        open_ = np.flatnonzero((scores[:, 0] - scores[:, 1:].max(axis=1)).min(axis=0) <= 2 * gain)
-        if not len(open_):
-            return best
-        scores = scores[:, :, open_]
-        back = np.empty((len(scores), TAGS, len(open_)), np.int8)
-        total = scores[0]
-        for step in range(1, len(scores)):
-            ways = total[:, None, :] + self.moves[:, :, None]
-            back[step] = ways.argmax(axis=0)
-            total = ways.max(axis=0) + scores[step]
-        tag = total.argmax(axis=0)
-        everyone = np.arange(len(open_))
-        for step in range(len(scores) - 1, -1, -1):
-            best[open_, step] = tag
-            if step:
-                tag = back[step, tag, everyone]
+        maybe = np.zeros((windows.shape[0], windows.shape[1] + 2), np.int8)
+        maybe[:, 1:-1] = self._maybe_inside(scores).T
+        turns = np.diff(maybe, axis=1)
+        window, start = np.nonzero(turns == 1)
+        length = np.nonzero(turns == -1)[1] - start
+        order = np.argsort(-length, kind="stable")
+        window, start, length = window[order], start[order], length[order]
+        total, back = np.zeros((0, TAGS)), []
+        for step in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -step))  # stretches that are longer than this
+            own = scores[start[:n] + step, :, window[:n]]
+            if step == 0:
+                total = own + np.where(start > 0, 1, 0)[:, None] * self.moves[0]
+            else:
+                ways = total[:n, :, None] + self.moves
+                back.append(ways.argmax(axis=1))
+                total[:n] = ways.max(axis=1) + own
+        if len(length):
+            ends = start + length < windows.shape[1]
+            tag = (total + np.where(ends, 1, 0)[:, None] * self.moves[:, 0]).argmax(axis=1)
+            for step in range(int(length[0]) - 1, -1, -1):
+                n = int(np.searchsorted(-length, -step))
+                best[window[:n], start[:n] + step] = tag[:n]
+                if step:
+                    tag[:n] = back[step - 1][np.arange(n), tag[:n]]
         return best
 
 
@@ -395,11 +431,10 @@ def _read_spans(text: str, tags: np.ndarray) -> Iterator[Span]:
         start, end = int(held[a]), int(held[b - 1]) + 1
         inside = text[start:end]
         start, end = start + len(inside) - len(inside.lstrip()), end - len(inside) + len(inside.rstrip())
-        found = text[start:end]
-        if sum(c.isalnum() for c in found) < LEAST_CHARS:
+        found, name = text[start:end], KINDS[kind[a]]
+        if sum(c.isalnum() for c in found) < LEAST_CHARS[name]:
             continue
         # What no form of its kind lacks: an address its sign or word, a number its digits.
-        name = KINDS[kind[a]]
         if re.search("@|at", found) if name == "email" else sum("0" <= c <= "9" for c in found) >= 4:
             yield name, start, end
 
@@ -433,7 +468,7 @@ def joined_spans(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1])))
 
 
-RUN_CHARS = 1 << 19
+RUN_CHARS = 1 << 20
 
 
 def find_personal_data(docs: DataFrame, net: Network, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

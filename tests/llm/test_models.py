@@ -245,3 +245,34 @@ def test_fast_tags_equal_the_plain_search():
         for s in range(1, 30):
             best = (best[:, None] + net.moves).max(axis=0) + scores[s, k]
         assert value(k, got[k]) == pytest.approx(best.max(), abs=1e-2)
+
+
+def test_stretches_are_found_as_by_the_plain_search():
+    """Mostly "outside" by a wide lead, as real texts are, with moves of every strength."""
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        net = pii.untrained()
+        net.moves[:] = rng.normal(size=net.moves.shape) * rng.choice([0, 0.5, 2, 5])
+        scores = rng.normal(size=(40, pii.TAGS, 12)) * rng.choice([0.5, 3])
+        scores[:, 0] += rng.choice([1, 5, 12, 20]) * (rng.random((40, 12)) < rng.choice([0.5, 0.9, 1]))
+        net.emissions = lambda windows, scores=scores: scores
+        got = net.tags(np.zeros((12, 40), np.uint8))
+        for k in range(12):
+            total, back = scores[0, :, k], []
+            for s in range(1, 40):
+                ways = total[:, None] + net.moves
+                back.append(ways.argmax(axis=0))
+                total = ways.max(axis=0) + scores[s, :, k]
+            path = [int(total.argmax())]
+            for step in reversed(back):
+                path.append(int(step[path[-1]]))
+            assert got[k].tolist() == path[::-1], trial
+
+
+def test_short_addresses_are_kept():
+    text = "see 8[.]8[.]8[.]8 or 1 2"
+    tags = np.zeros(len(text), np.int8)
+    first = 1 + 2 * pii.KINDS.index("ip")
+    tags[4], tags[5:17] = first, first + 1
+    tags[21], tags[22:] = first, first + 1  # two digits are no address
+    assert list(pii._read_spans(text, tags)) == [("ip", 4, 17)]
