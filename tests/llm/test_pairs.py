@@ -405,3 +405,61 @@ def test_recall_with_fitted_vectors(spark):
     found = decontaminate.contaminated(documents(spark, rows), bench).collect()
     assert len(want) >= 140
     assert len(want & {(r.doc_id, r.item_id) for r in found}) >= 0.95 * len(want)
+
+
+def test_signatures_of_several_texts_at_once():
+    """Texts laid one behind the other have the signatures they have alone."""
+    rng = np.random.default_rng(8)
+    sizes = [0, 3, 70, 8, 9, 200, 1, 40]
+    parts = [rng.integers(1, 60, n).astype(np.uint64) for n in sizes]
+    gap = np.zeros(4, np.uint64)
+    grams = np.concatenate([p for part in parts for p in (part, gap)])
+    apart = np.concatenate([p for part in parts for p in (np.zeros(len(part), bool), np.ones(4, bool))])
+    starts = np.cumsum([0] + [n + 4 for n in sizes[:-1]])
+    found = [set(zip(v.tolist(), p.tolist(), strict=True)) for v, p in substrings.signatures(grams, 9, apart)]
+    want = [set() for _ in found]
+    for part, start in zip(parts, starts.tolist(), strict=True):
+        for band, (v, p) in enumerate(substrings.signatures(part, 9)):
+            want[band] |= set(zip(v.tolist(), (p + start).tolist(), strict=True))
+    assert found == want and all(want)
+
+
+def test_inner_places_of_runs_are_left_out():
+    value = np.array([7, 7, 7, 7, 7, 7, 9, 9], np.uint64)
+    place = np.array([4, 5, 6, 7, 20, 21, 5, 6])
+    got = substrings._ends_of_runs(value, place)
+    assert list(zip(*[c.tolist() for c in got], strict=True)) == [(7, 4), (7, 7), (7, 20), (7, 21), (9, 5), (9, 6)]
+
+
+def test_words_repeated_on_and_on(spark):
+    """Runs of one word match at both ends, whatever stands around them, with few rows."""
+    rng = random.Random(12)
+    around = [sentence(rng, 30) for _ in range(2)]
+    runs = [" ".join([*around[0], *["la"] * n, *around[1], *sentence(rng, 40)]) for n in (300, 300, 420)]
+    other = " ".join([*sentence(rng, 70), *["la"] * 90, *sentence(rng, 50)])
+    found = substrings.repeated_passages(documents(spark, list(enumerate([*runs, other])))).collect()
+    assert {(r.doc_id, r.start, r.end) for r in found if r.other_id == 1} >= {(0, 0, 360), (3, 70, 160)}
+    held = {(r.doc_id, p) for r in found for p in range(r.start, r.end)}
+    assert held >= {(i, p) for i, n in enumerate((300, 300, 420)) for p in range(n + 60)} | {(3, p) for p in range(70, 160)}
+    assert len(found) < 400
+
+
+def test_counts_of_chains_from_their_bounds(monkeypatch):
+    """The bounds of a chain's stretches, where they are enough, give what its n-grams give; no passage is screened off."""
+    rng = np.random.default_rng(3)
+    cases = []
+    for case in range(400):
+        kinds = int(rng.choice([6, 40, 10**6]))
+        x = rng.integers(0, kinds, 200).tolist()
+        y = list(x)
+        for _ in range(rng.integers(0, 14)):
+            at, change = int(rng.integers(0, len(y))), int(rng.integers(0, 3))
+            y[at : at + (1 if change == 0 else int(rng.integers(0, 9)) * (change == 1))] = (
+                [10**7 + case] if change == 0 else rng.integers(0, kinds, 4 * (change == 2)).tolist()
+            )
+        cases.append((np.array(x, np.uint32), np.array(y, np.uint32)))
+    fast = [substrings.common_passages(x, y, [0]) for x, y in cases]
+    monkeypatch.setattr(substrings, "_bounds_alone", lambda *_: None)
+    assert fast == [substrings.common_passages(x, y, [0]) for x, y in cases]
+    assert sum(map(bool, fast)) > 100
+    assert all(substrings.may_share(x.tobytes(), y.tobytes()) for (x, y), found in zip(cases, fast, strict=True) if found)
