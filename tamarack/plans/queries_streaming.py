@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from tamarack import streaming
 from tamarack.plans.queries_telemetry import THROTTLE_SECONDS, THROTTLE_SQL
-from tamarack.plans.registry import query, table
+from tamarack.plans.registry import query, shards, table
 from tamarack.session import fresh_path
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
-    return streaming.read_stream(
-        spark, sf, schema, "events*.parquet", bytes_per_batch=streaming.STATEFUL_BYTES
-    )
+    return streaming.read_stream(spark, shards(sf, "events"), schema, bytes_per_batch=streaming.STATEFUL_BYTES)
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -87,7 +85,7 @@ def q_moving_latency_stream(spark: SparkSession, sf: str) -> DataFrame:
 def q_incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     base = fresh_path(spark, "ingest")
     schema = table(spark, sf, "documents").schema
-    args = (spark, sf, schema, f"{base}/out", f"{base}/checkpoint", ["doc_id"], "documents*.parquet")
+    args = (spark, shards(sf, "documents"), schema, f"{base}/out", f"{base}/checkpoint", ["doc_id"])
     streaming.incremental_ingest(*args)
     return streaming.incremental_ingest(*args)  # a second call finds nothing new
 
@@ -102,7 +100,7 @@ def q_incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
 )
 def q_streaming_marker_alerts(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "documents").schema
-    docs = streaming.read_stream(spark, sf, schema, "documents*.parquet")
+    docs = streaming.read_stream(spark, shards(sf, "documents"), schema)
     return _run(spark, streaming.marker_alerts(docs, "doc_id", ["text"], ["ention", "zz_marker"]), "alerts")
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tamarack import streaming
 from tamarack.operators.throttle import throttle_events
+from tamarack.plans import registry
+
+registry.load_all()
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +146,28 @@ def test_rows_behind_the_watermark_are_counted(spark, batches, tmp_path):
     assert streaming.run_counting_late(stream, str(tmp_path / "out"), str(tmp_path / "cp")) == 3
     got = {r.tie for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
     assert got and not got & {10, 20, 30}
+
+
+@pytest.fixture(scope="module")
+def folder_tables(spark, batches, tmp_path_factory):
+    """Tables that are folders of part files."""
+    sf = tmp_path_factory.mktemp("folders")
+    docs = [(i, f"text {i} mention" if i % 3 else None, "en", "web", 7) for i in range(30)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(sf / "documents.parquet"))
+    events = batches.selectExpr("id AS event_id", "ts", "hash(run) AS user_id", "run AS event_type", "value", "'{}' AS props")
+    events.coalesce(1).write.parquet(str(sf / "events.parquet"))
+    return str(sf)
+
+
+def test_ingest_of_a_folder_table(spark, folder_tables):
+    rows = registry.QUERIES["incremental_ingest"](spark, folder_tables).collect()
+    assert {r.doc_id: r.text for r in rows} == {i: f"text {i} mention" if i % 3 else "" for i in range(30)}
+
+
+def test_streams_of_folder_tables(spark, folder_tables):
+    counts = {"streaming_marker_alerts": 20, "moving_latency_stream": 1000}
+    for name, n in counts.items():
+        assert registry.QUERIES[name](spark, folder_tables).count() == n
+    assert registry.QUERIES["throttle_stream"](spark, folder_tables).count() == registry.QUERIES["throttle_events"](spark, folder_tables).count()
+    assert registry.QUERIES["progress_5min_stream"](spark, folder_tables).count() > 0
