@@ -29,6 +29,8 @@ L2 = 1e-3
 STEPS = 300
 # The rate of an n-gram is how often it occurs in a text of so many characters.
 PER_CHARS = 100.0
+# Values that a step of the fit works on at once.
+AT_ONCE = 1 << 18
 # Traits share the table of weights: their buckets lie behind those of the n-grams.
 TRAITS = 64
 # So strong is one trait beside the rates of the n-grams.
@@ -88,13 +90,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     start = np.log(below / (1 - below))
     if not n:
         return Model(np.zeros(width), start)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(b) for b, _ in rows])
-    column = np.concatenate([b for b, _ in rows])
+    sizes = np.array([len(b) for b, _ in rows])
+    column = np.concatenate([b for b, _ in rows], dtype=np.uint16, casting="unsafe")  # they are below 65,536
     value = np.concatenate([v for _, v in rows], dtype=np.float32)
+    del rows
+    # Whole rows some at a time, so that what a step works out for them takes little memory.
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    cuts_at = np.unique(np.searchsorted(first, np.append(np.arange(0, first[-1], AT_ONCE), first[-1])))
+    cuts_at = np.append(cuts_at[:-1], n)
+    spans = [(a, b, slice(first[a], first[b])) for a, b in zip(cuts_at[:-1], cuts_at[1:], strict=True)]
     # Columns are brought to one scale, or frequent n-grams would hide the others.
-    scale = np.sqrt(np.bincount(column, value.astype(float) ** 2, minlength=width) / n) + 0.05
+    squares = np.zeros(width)
+    for _, _, part in spans:
+        np.add.at(squares, column[part], value[part].astype(float) ** 2)
+    scale = np.sqrt(squares / n) + 0.05
     scale[1 << BITS :] = 1.0
-    value = (value / scale[column]).astype(np.float32)
+    for _, _, part in spans:
+        value[part] = value[part] / scale[column[part]]
     w = np.zeros(width)  # one float for each column; the rest is held in 4-byte numbers
     # The first threshold and the logarithms of the steps to the next ones.
     t = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
@@ -103,7 +115,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     everyone = np.arange(n)
     for step in range(1, STEPS + 1):
         theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        f = np.bincount(row, value * w[column], minlength=n)
+        f = np.concatenate([
+            np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), value[part] * w[column[part]], minlength=b - a)
+            for a, b, part in spans
+        ])
         # P(grade <= k) for k = -1 .. n_grades - 1; the likelihood is a difference of neighbours.
         upto = np.concatenate([np.zeros((n, 1)), _logistic(theta[None, :] - f[:, None]), np.ones((n, 1))], axis=1)
         density = upto * (1 - upto)
@@ -115,7 +130,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         np.add.at(by_theta, grades[grades > 0] - 1, low[grades > 0] / n)
         tail = np.cumsum(by_theta[::-1])[::-1]  # a step moves all thresholds behind it
         by_t = np.concatenate([tail[:1], tail[1:] * np.exp(t[1:])])
-        g = np.append(np.bincount(column, value * by_level[row], minlength=width) + L2 * w, by_t)
+        slope = np.zeros(width)
+        for a, b, part in spans:
+            np.add.at(slope, column[part], value[part] * np.repeat(by_level[a:b], sizes[a:b]))
+        g = np.append(slope + L2 * w, by_t)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, t = w - move[:width], t - move[width:]
@@ -139,8 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, most
 
     schema = "buckets binary, counts binary, label int"
     rows = labelled_texts(docs, labels, grade, most).mapInArrow(run, schema).collect()
+    grades = np.array([r["label"] for r in rows], int)
     pairs = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows]
-    return fit(pairs, np.array([r["label"] for r in rows], int), n_grades)
+    del rows
+    return fit(pairs, grades, n_grades)
 
 
 def grade_columns(text: Column, model: Model, reach: int, spark) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -276,3 +277,19 @@ def test_short_addresses_are_kept():
     tags[4], tags[5:17] = first, first + 1
     tags[21], tags[22:] = first, first + 1  # two digits are no address
     assert list(pii._read_spans(text, tags)) == [("ip", 4, 17)]
+
+
+def test_a_step_of_the_quality_fit_takes_little_memory(monkeypatch):
+    """Nothing of the size of all counts is made in a step, and the size of its parts does not matter."""
+    rnd = np.random.default_rng(1)
+    rows = [(rnd.integers(0, 1 << 15, n).astype(np.int32), rnd.random(n, np.float32)) for n in rnd.integers(0, 2000, 2000)]
+    grades = rnd.integers(0, 2, len(rows))
+    monkeypatch.setattr(quality, "STEPS", 2)
+    tracemalloc.start()
+    whole = quality.fit(rows, grades, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * sum(len(b) for b, _ in rows)
+    monkeypatch.setattr(quality, "AT_ONCE", 1000)
+    parts = quality.fit(rows, grades, 2)
+    assert (whole.weights == parts.weights).all() and (whole.thresholds == parts.thresholds).all()
