@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,23 +110,31 @@ DELAY = "36 hours"
 ARRIVALS = 6
 
 
-def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
-    """Events in files of arrival: up to a day after their time, so out of order within and between files."""
+def _arrivals(spark: SparkSession, sf: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Events by time of arrival, up to a day after their own: so out of order within and between the arrivals."""
     events = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(F.unix_seconds("at")), F.max(F.unix_seconds("at"))).first()
     arrived = F.unix_seconds("at") + F.pmod(F.xxhash64("event_id"), F.lit(86_400))
     width = max((last + 86_400 - first) / ARRIVALS, 1)
-    placed = events.withColumn("slot", F.floor((arrived - first) / width)).drop("at")
-    path = fresh_path(spark, "arrivals")
-    for slot in range(ARRIVALS + 1):
-        placed.where(F.col("slot") == slot).drop("slot").coalesce(1).write.mode("append").parquet(path)
-    session = streaming.stateful_session(spark)
-    return streaming.read_stream(session, path, placed.drop("slot").schema, files_per_batch=1)
+    slot = F.least(F.floor((arrived - first) / width), F.lit(ARRIVALS - 1)).cast("int")
+    placed = events.withColumn("slot", slot).drop("at").where("slot IS NOT NULL")
+    path = fresh_path(spark, "slots")
+    placed.write.partitionBy("slot").parquet(path)
+    slots = spark.read.schema(placed.schema).parquet(path)
+    return slots.drop("slot"), [slots.where(F.col("slot") == k).drop("slot") for k in range(ARRIVALS)]
 
 
-def _run_unordered(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+def _run_unordered(spark: SparkSession, sf: str, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The job's result; it goes on from its checkpoint each time that more files have arrived."""
     base = fresh_path(spark, name)
-    streaming.run_counting_late(stream, f"{base}/out", f"{base}/checkpoint")
+    whole, arrivals = _arrivals(spark, sf)
+    session = streaming.stateful_session(spark)
+    for k, rows in enumerate(arrivals):
+        rows.write.mode("append").parquet(f"{base}/in")
+        # Only the last batch is followed by one without rows, for what its watermark has passed.
+        session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(k == ARRIVALS - 1).lower())
+        stream = job(streaming.read_stream(session, f"{base}/in", whole.schema))
+        streaming.run_counting_late(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -140,8 +150,10 @@ _PASSED_SQL = "epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 - 36 * 3600000
 )
 def q_throttle_unordered_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Shuffled arrival gives what the ordered batch gives, up to the watermark."""
-    stream = streaming.throttle_unordered(_arrivals(spark, sf), "user_id", "ts", "event_id", THROTTLE_SECONDS, DELAY)
-    return _run_unordered(spark, stream, "throttle").select("run", F.col("tie").alias("event_id"))
+    def job(stream: DataFrame) -> DataFrame:
+        return streaming.throttle_unordered(stream, "user_id", "ts", "event_id", THROTTLE_SECONDS, DELAY)
+
+    return _run_unordered(spark, sf, job, "throttle").select("run", F.col("tie").alias("event_id"))
 
 
 @query(
@@ -155,6 +167,8 @@ def q_throttle_unordered_stream(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def q_moving_latency_unordered_stream(spark: SparkSession, sf: str) -> DataFrame:
-    stream = streaming.moving_average_unordered(_arrivals(spark, sf), "user_id", "ts", "event_id", "value", delay=DELAY)
-    out = _run_unordered(spark, stream, "latency")
+    def job(stream: DataFrame) -> DataFrame:
+        return streaming.moving_average_unordered(stream, "user_id", "ts", "event_id", "value", delay=DELAY)
+
+    out = _run_unordered(spark, sf, job, "latency")
     return out.select("run", F.col("tie").alias("event_id"), F.round("avg_value", 6).alias("avg_value"))

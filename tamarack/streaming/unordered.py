@@ -1,9 +1,10 @@
 """Stateful streams whose rows may arrive out of order, within a stated delay.
 
-Arriving rows are kept in a run's list state, an Arrow batch at a time. An event-time
-timer brings out those that the watermark has passed, in time order: no earlier row can
-follow them. So the output does not depend on how rows are spread over files and
-batches, and memory holds the rows of one delay, not a run. Rows behind the watermark are
+Runs are dealt to groups by their hash. Arriving rows are kept in a group's list state, an
+Arrow batch at a time. An event-time timer brings out those that the watermark has passed,
+in time order: no earlier row can follow them. So the output does not depend on how rows
+are spread over files and batches, and memory holds a group's rows of one delay, not a
+run. Rows behind the watermark are
 left out by Spark and counted, see ``run_counting_late``.
 """
 
@@ -13,9 +14,11 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tamarack.functions.order import epoch_micros
@@ -27,59 +30,102 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application that keeps state in RocksDB, which list states and timers need."""
+    """A session of the same application that keeps state in RocksDB, which list states and timers need.
+
+    Each part of the state costs a task, with files of its own, in every batch: there are at most two for a core.
+    """
     session = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith(("spark.sql.", "spark.checkpoint.")) and session.conf.isModifiable(key):
             session.conf.set(key, value)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    parts = min(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    session.conf.set("spark.sql.shuffle.partitions", str(parts))
     return session
 
 
+# Runs are dealt to so many groups; a group has its state, its timer and its calls in common.
+GROUPS = 1024
+
+
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    """Rows as one value of a state, an Arrow stream."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(value).read_pandas()
+
+
 class InOrder(StatefulProcessor):
-    """Holds rows ``(micros, tie, ...)`` until the watermark passes them and gives them to ``pass_on`` in order."""
+    """Holds rows ``(run, micros, tie, ...)`` until the watermark passes them and gives them to ``pass_on`` in order.
 
-    def __init__(self, held: str, columns: list[str]):
-        self.held_schema, self.columns = held, columns
+    A key is a group of runs, -1 that of the rows without a run. It has one timer at a time.
+    """
+
+    def __init__(self, columns: list[str]):
+        self.columns = ["run", "micros", "tie", "no_tie", *columns]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.held_schema)
+        self.held = handle.getListState("held", "rows binary")
+        self.wake = handle.getValueState("wake", "millis bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
-            part = part[part["micros"].notna()]
             if len(part):
-                self.held.appendList(list(part[self.columns].itertuples(index=False, name=None)))
-                self.wake_at(int(part["micros"].min()))
+                self.held.appendValue(_packed(part[self.columns]))
+                low = int(part["micros"].min())
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self.wake_at(first)
         return iter(())
 
     def wake_at(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
+        millis = -(-micros // 1000)
+        if self.wake.exists():
+            earlier = self.wake.get()[0]
+            if earlier <= millis:
+                return
+            self.handle.deleteTimer(earlier)
+        self.handle.registerTimer(millis)
+        self.wake.update((millis,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due, rest = [], []
-        for row in self.held.get():
-            (due if row[0] <= passed else rest).append(tuple(row))
-        if due:
-            if rest:
-                self.held.put(rest)
-                self.wake_at(min(row[0] for row in rest))
+        self.wake.clear()
+        parts = [_unpacked(row[0]) for row in self.held.get()]
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            waits = rows["micros"] > passed
+            due, rest = rows[~waits], rows[waits]
+            if len(rest):
+                self.held.put([_packed(rest)])
+                self.wake_at(int(rest["micros"].min()))
             else:
                 self.held.clear()
-            due.sort(key=lambda row: (row[0], row[1]))
-            out = self.pass_on(key[0], due)
-            if len(out):
-                yield out
-        elif not rest:
-            self.forget(passed)
-
-    def pass_on(self, run, due: list[tuple]) -> pd.DataFrame:
+            if len(due):
+                due = due.sort_values(["run", "micros", "no_tie", "tie"], kind="stable", ignore_index=True)
+                out = self.pass_on(due)
+                if len(out):
+                    if out["no_tie"].any():
+                        out["tie"] = out["tie"].astype(object).where(~out["no_tie"], None)
+                    if key[0] < 0:
+                        out["run"] = pd.Series([None] * len(out), index=out.index, dtype=object)
+                    yield out.drop(columns="no_tie")
+        self.forget(passed)
+
+    def pass_on(self, due: pd.DataFrame) -> pd.DataFrame:
+        """Result rows of rows in order of their runs, and of time within these."""
         raise NotImplementedError
 
     def forget(self, passed: int) -> None:
-        """Clear what is left of a run that has no rows waiting."""
+        """Clear what is left of runs that no later row depends on."""
 
     def close(self) -> None:
         pass
@@ -88,56 +134,83 @@ class InOrder(StatefulProcessor):
 class Throttle(InOrder):
     """First event of a run, then one per elapsed interval. State ends an interval after the last emission."""
 
-    def __init__(self, held: str, interval: int):
-        super().__init__(held, ["micros", "tie"])
+    def __init__(self, interval: int):
+        super().__init__([])
         self.interval = interval
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("last", "micros bigint")
-
-    def pass_on(self, run, due: list[tuple]) -> pd.DataFrame:
-        last = self.last.get()[0] if self.last.exists() else None
-        emitted = []
-        for micros, tie in due:
-            if last is None or micros >= last + self.interval:
-                last = micros
-                emitted.append((run, micros, tie))
-        if emitted:
-            self.last.update((last,))
-            self.wake_at(last + self.interval)
-        return pd.DataFrame(emitted, columns=["run", "micros", "tie"])
+        self.last = handle.getValueState("last", "rows binary")
+
+    def emissions(self) -> dict:
+        if not self.last.exists():
+            return {}
+        known = _unpacked(self.last.get()[0])
+        return dict(zip(known["run"].tolist(), known["last"].tolist(), strict=True))
+
+    def keep(self, last: dict) -> None:
+        if last:
+            self.last.update(_packed(pd.DataFrame({"run": list(last), "last": list(last.values())})))
+            self.wake_at(min(last.values()) + self.interval)
+        else:
+            self.last.clear()
+
+    def pass_on(self, due: pd.DataFrame) -> pd.DataFrame:
+        last, fires = self.emissions(), []
+        for run, micros in zip(due["run"].tolist(), due["micros"].tolist(), strict=True):
+            before = last.get(run)
+            fire = before is None or micros >= before + self.interval
+            if fire:
+                last[run] = micros
+            fires.append(fire)
+        self.keep(last)
+        return due[fires][["run", "micros", "tie", "no_tie"]]
 
     def forget(self, passed: int) -> None:
         # From then on any event is emitted, with or without the state.
-        if self.last.exists() and self.last.get()[0] + self.interval <= passed:
-            self.last.clear()
+        last = self.emissions()
+        if last:
+            self.keep({run: micros for run, micros in last.items() if micros + self.interval > passed})
 
 
 class MovingAverage(InOrder):
     """Mean of a run's last values, this one included."""
 
-    def __init__(self, held: str, last: int):
-        super().__init__(held, ["micros", "tie", "value"])
+    def __init__(self, last: int):
+        super().__init__(["value"])
         self.last = last
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.recent = handle.getListState("recent", "value double")
-
-    def pass_on(self, run, due: list[tuple]) -> pd.DataFrame:
-        before = [row[0] for row in self.recent.get()]
-        rows = pd.DataFrame([(run, *row) for row in due], columns=["run", "micros", "tie", "value"])
-        series = pd.Series(before + rows["value"].tolist(), dtype="float64")
-        means = series.rolling(self.last, min_periods=1).mean()
+        self.recent = handle.getValueState("recent", "rows binary")
+
+    def pass_on(self, due: pd.DataFrame) -> pd.DataFrame:
+        before = _unpacked(self.recent.get()[0]) if self.recent.exists() else due[["run", "value"]][:0]
+        series = pd.concat([before, due[["run", "value"]]], ignore_index=True)
+        fresh = series.index >= len(before)
+        # A stable sort leaves a run's earlier values before those that are due.
+        series = series.assign(fresh=fresh).sort_values("run", kind="stable", ignore_index=True)
+        runs = series.groupby("run", sort=False, dropna=False)
+        means = runs["value"].rolling(self.last, min_periods=1).mean().to_numpy()
         if self.last > 1:
-            self.recent.put([(value,) for value in series.tolist()[-(self.last - 1) :]])
-        return rows.assign(avg_value=means.iloc[len(before) :].to_numpy())
+            self.recent.update(_packed(runs.tail(self.last - 1)[["run", "value"]]))
+        return due.assign(avg_value=means[series["fresh"].to_numpy()])[
+            ["run", "micros", "tie", "no_tie", "value", "avg_value"]
+        ]
+
+
+def _filled(column, kind: T.DataType):
+    """Whole numbers without nulls, which pandas would turn into floats; other types as they are."""
+    return F.coalesce(column, F.lit(0).cast(kind)) if isinstance(kind, T.IntegralType) else column
 
 
 def _keyed(events: DataFrame, run: str, ts: str, tie: str, delay: str, *more) -> DataFrame:
     rows = events.select(F.col(run).alias("run"), epoch_micros(ts).alias("micros"), F.col(tie).alias("tie"), *more)
-    return rows.withColumn("at", F.timestamp_micros("micros")).withWatermark("at", delay)
+    rows = rows.where("micros IS NOT NULL")
+    group = F.when(F.col("run").isNull(), -1).otherwise(F.pmod(F.xxhash64("run"), F.lit(GROUPS)).cast("int"))
+    kinds = {name: rows.schema[name].dataType for name in ("run", "tie")}
+    filled = {"group": group, "no_tie": F.col("tie").isNull()} | {c: _filled(F.col(c), k) for c, k in kinds.items()}
+    return rows.withColumns(filled).withColumn("at", F.timestamp_micros("micros")).withWatermark("at", delay)
 
 
 def _types(rows: DataFrame, *names: str) -> str:
@@ -152,9 +225,8 @@ def throttle_unordered(
     Rows may be out of order by as much as ``delay``. An event without a time is never emitted.
     """
     rows = _keyed(events, run, ts, tie, delay)
-    held = _types(rows, "micros", "tie")
-    return rows.groupBy("run").transformWithStateInPandas(
-        Throttle(held, seconds * 1_000_000), _types(rows, "run", "micros", "tie"), "append", "EventTime"
+    return rows.groupBy("group").transformWithStateInPandas(
+        Throttle(seconds * 1_000_000), _types(rows, "run", "micros", "tie"), "append", "EventTime"
     )
 
 
@@ -166,9 +238,8 @@ def moving_average_unordered(
     Rows may be out of order by as much as ``delay``; one without a time is left out.
     """
     rows = _keyed(events, run, ts, tie, delay, F.col(value).cast("double").alias("value"))
-    held = _types(rows, "micros", "tie", "value")
     out = _types(rows, "run", "micros", "tie", "value") + ", avg_value double"
-    return rows.groupBy("run").transformWithStateInPandas(MovingAverage(held, last), out, "append", "EventTime")
+    return rows.groupBy("group").transformWithStateInPandas(MovingAverage(last), out, "append", "EventTime")
 
 
 def run_counting_late(stream: DataFrame, out: str, checkpoint: str) -> int:

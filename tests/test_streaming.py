@@ -171,3 +171,30 @@ def test_streams_of_folder_tables(spark, folder_tables):
         assert registry.QUERIES[name](spark, folder_tables).count() == n
     assert registry.QUERIES["throttle_stream"](spark, folder_tables).count() == registry.QUERIES["throttle_events"](spark, folder_tables).count()
     assert registry.QUERIES["progress_5min_stream"](spark, folder_tables).count() > 0
+
+
+def test_rows_without_a_run_leave_the_other_runs_alone(spark, tmp_path):
+    rows = [(2**60 + i, None if i % 5 == 0 else 2**55 + i % 3, 1_000_000 * (1000 + i), float(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, run long, us long, value double").withColumn("ts", F.timestamp_micros("us"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = streaming.read_stream(streaming.stateful_session(spark), str(tmp_path / "in"), df.schema)
+    stream = streaming.moving_average_unordered(stream, "run", "ts", "id", "value", 3, "1 minute")
+    assert streaming.run_counting_late(stream, str(tmp_path / "out"), str(tmp_path / "cp")) == 0
+    got = {r.tie: (r.run, r.avg_value) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
+    seen, want = {}, {}
+    for tie, run, us, value in rows:
+        values = seen.setdefault(run, [])
+        values.append(value)
+        if us <= 1_539_000_000:
+            want[tie] = (run, sum(values[-3:]) / len(values[-3:]))
+    assert got == want
+
+
+def test_the_state_of_many_runs_has_few_parts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        session = streaming.stateful_session(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert int(session.conf.get("spark.sql.shuffle.partitions")) == 2 * spark.sparkContext.defaultParallelism
