@@ -463,3 +463,44 @@ def test_counts_of_chains_from_their_bounds(monkeypatch):
     assert fast == [substrings.common_passages(x, y, [0]) for x, y in cases]
     assert sum(map(bool, fast)) > 100
     assert all(substrings.may_share(x.tobytes(), y.tobytes()) for (x, y), found in zip(cases, fast, strict=True) if found)
+
+
+def with_signatures(spark, monkeypatch, rows):
+    """Passages of documents that meet by these rows of signature, document and place alone."""
+    made = spark.createDataFrame(rows, "signature long, doc_id long, place long")
+    monkeypatch.setattr(substrings, "_signature_rows", lambda docs: made)
+    return substrings.repeated_passages
+
+
+def around(rng, before, line, after):
+    return " ".join([*sentence(rng, 20), *before, *line, *after, *sentence(rng, 20)])
+
+
+def test_members_that_documents_outside_their_group_cover(spark, monkeypatch):
+    """10 and 50 share a passage, and each another one at the same place with a partner of its own."""
+    rng = random.Random(31)
+    line = sentence(rng, 44)
+    left, right, other = (sentence(rng, 8) for _ in range(3))
+    rows = [(i, around(rng, sentence(rng, 8), line, sentence(rng, 8))) for i in (0, 1, 2, 97, 98, 99)]
+    rows += [(10, around(rng, left, line, right)), (50, around(rng, left, line, other))]
+    rows += [(11, around(rng, sentence(rng, 8), line, right)), (51, around(rng, sentence(rng, 8), line, other))]
+    met = [(7, i, 28) for i, _ in rows if i not in (11, 51)]
+    met += [(8, 10, 28), (8, 11, 28), (9, 50, 28), (9, 51, 28)]
+    found = with_signatures(spark, monkeypatch, met)(documents(spark, rows)).collect()
+    pairs = {(10, 11), (50, 51), (10, 50)}
+    assert {(r.doc_id, r.other_id) for r in found} == pairs | {(b, a) for a, b in pairs}
+
+
+def test_pairs_between_classes_that_two_ends_cover(spark, monkeypatch):
+    """Two families, each matched with one end of a common group, and a link between members in their middles."""
+    rng = random.Random(37)
+    line = sentence(rng, 44)
+    first, second, bridge = (sentence(rng, 8) for _ in range(3))
+    rows = [(i, around(rng, first, line, bridge if i == 3 else sentence(rng, 8))) for i in range(6)]
+    rows += [(i, around(rng, second, line, bridge if i == 23 else sentence(rng, 8))) for i in range(20, 26)]
+    met = [(7, i, 28) for i, _ in rows]
+    found = substrings.with_classes(with_signatures(spark, monkeypatch, met)(documents(spark, rows)))
+    assert found.columns[-1] == "class_id"
+    found = found.collect()
+    assert {(3, 23), (23, 3)} <= {(r.doc_id, r.other_id) for r in found}
+    assert {(r.doc_id, r.class_id) for r in found} == {(i, 0) for i, _ in rows}
