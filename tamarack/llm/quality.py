@@ -140,27 +140,32 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     return Model(w / scale, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])))
 
 
+def pack(buckets: np.ndarray, values: np.ndarray) -> bytes:
+    """Buckets, which rise and are below 65,536, and values of one text in few bytes."""
+    steps = np.diff(buckets, prepend=0).astype(np.uint16)
+    return zlib.compress(steps.tobytes() + values.astype(np.float32).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets and values of ``pack``; six bytes each."""
+    raw = zlib.decompress(packed)
+    n = len(raw) // 6
+    return np.cumsum(np.frombuffer(raw, np.uint16, n), dtype=np.uint16), np.frombuffer(raw, np.float32, n, 2 * n)
+
+
 def train(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, most: int = MOST_LABELLED) -> Model:
     """Fit on at most ``most`` labelled documents; their counts go to the driver, not their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = list(text_counts(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b.tobytes() for b, _ in counts], pa.binary()),
-                    pa.array([v.tobytes() for _, v in counts], pa.binary()),
-                    batch.column("label"),
-                ],
-                ["buckets", "counts", "label"],
-            )
-
-    schema = "buckets binary, counts binary, label int"
-    rows = labelled_texts(docs, labels, grade, most).mapInArrow(run, schema).collect()
+            counts = [pack(*own) for own in text_counts(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), batch.column("label")], ["counts", "label"])
+
+    rows = labelled_texts(docs, labels, grade, most).mapInArrow(run, "counts binary, label int").collect()
     grades = np.array([r["label"] for r in rows], int)
-    pairs = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows]
+    packed = [r["counts"] for r in rows]
     del rows
-    return fit(pairs, grades, n_grades)
+    return fit([unpack(p) for p in packed], grades, n_grades)
 
 
 def grade_columns(text: Column, model: Model, reach: int, spark) -> Column:

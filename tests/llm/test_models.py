@@ -6,7 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
-from llm.fixtures import WORDS, awkward_texts, clashing, documents
+from llm.fixtures import WORDS, awkward_texts, clashing, documents, sentence
 from pyspark.sql import functions as F
 
 from tamarack.llm import grams, pii, quality, toxicity
@@ -293,3 +293,14 @@ def test_a_step_of_the_quality_fit_takes_little_memory(monkeypatch):
     monkeypatch.setattr(quality, "AT_ONCE", 1000)
     parts = quality.fit(rows, grades, 2)
     assert (whole.weights == parts.weights).all() and (whole.thresholds == parts.thresholds).all()
+
+
+def test_counts_are_packed_without_loss():
+    texts = ["", "a", "la " * 70_000, *(t or "" for _, t in awkward_texts())]
+    for buckets, values in quality.text_counts(texts):
+        packed = quality.pack(buckets, values)
+        again, same = quality.unpack(packed)
+        assert again.tolist() == buckets.tolist() and same.tobytes() == values.tobytes()
+        assert len(packed) <= 6 * len(buckets) + 64
+    long = next(quality.text_counts([" ".join(sentence(random.Random(3), 3000))]))
+    assert 2 * len(quality.pack(*long)) < 8 * len(long[0])

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from llm.fixtures import awkward_texts, clashing, documents, edited, sentence
@@ -465,6 +466,20 @@ def test_counts_of_chains_from_their_bounds(monkeypatch):
     assert all(substrings.may_share(x.tobytes(), y.tobytes()) for (x, y), found in zip(cases, fast, strict=True) if found)
 
 
+def test_orthonormal_in_little_memory():
+    """As a plain decomposition, but in place: that one takes several times the rows' memory."""
+    rows = np.random.default_rng(5).standard_normal((3 * decontaminate.QR_ROWS, 40)) * np.logspace(0, -4, 40)
+    rows[:, 7] = rows[:, 6]
+    got = rows.copy()
+    tracemalloc.start()
+    out = decontaminate._orthonormal(got)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert np.shares_memory(out, got) and peak < 1.5 * got.nbytes
+    assert np.abs(out.T @ out - np.eye(40)).max() < 1e-12
+    assert np.abs(rows - out @ (out.T @ rows)).max() < 1e-9
+
+
 def with_signatures(spark, monkeypatch, rows):
     """Passages of documents that meet by these rows of signature, document and place alone."""
     made = spark.createDataFrame(rows, "signature long, doc_id long, place long")
