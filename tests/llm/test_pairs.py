@@ -6,7 +6,10 @@ import tracemalloc
 
 import numpy as np
 from llm.fixtures import awkward_texts, clashing, documents, edited, sentence
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
+from tamarack import session
 from tamarack.llm import decontaminate, jaccard, substrings, words
 from tamarack.llm.components import connected
 
@@ -519,3 +522,65 @@ def test_pairs_between_classes_that_two_ends_cover(spark, monkeypatch):
     found = found.collect()
     assert {(3, 23), (23, 3)} <= {(r.doc_id, r.other_id) for r in found}
     assert {(r.doc_id, r.class_id) for r in found} == {(i, 0) for i, _ in rows}
+
+
+def test_pairs_that_met_by_chance_are_not_brought_together(spark, monkeypatch):
+    """Documents that share a few words around a place are told apart from those that share a passage, by sketches."""
+    rng = random.Random(41)
+    line, passage = sentence(rng, 12), sentence(rng, 60)
+    rows = [(i, around(rng, sentence(rng, 60), line, sentence(rng, 60))) for i in (1, 2)]
+    rows += [(i, around(rng, sentence(rng, i), passage, sentence(rng, 60))) for i in (3, 9)]
+    met = [(7, 1, 82), (7, 2, 82), (8, 3, 43), (8, 9, 49)]
+    brought, compare = [], substrings.compare
+
+    def seen(docs, pairs, *rest):
+        brought.extend((r.a, r.b) for r in pairs.collect())
+        return compare(docs, pairs, *rest)
+
+    monkeypatch.setattr(substrings, "compare", seen)
+    found = with_signatures(spark, monkeypatch, met)(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(3, 9), (9, 3)}
+    assert brought == [(3, 9)]
+
+
+def test_sketches_keep_what_may_hold_a_passage():
+    rng = random.Random(43)
+    for changed in range(3):
+        own = sentence(rng, 52)
+        other = [f"new{rng.random()}" if k in (17, 34)[:changed] else w for k, w in enumerate(own)]
+        texts = [" ".join([*sentence(rng, 90), *part, *sentence(rng, 90)]) for part in (own, other, sentence(rng, 52))]
+        a, b, c = (
+            substrings.sketch(words.runs_hashes(words.word_hashes([t])[0], 5)[100 - substrings.AROUND : 101 + substrings.AROUND])
+            for t in texts
+        )
+        assert substrings.may_meet(a, b) and not substrings.may_meet(a, c)
+    same = substrings.sketch(np.zeros(121, np.uint64))
+    assert substrings.may_meet(same, same)
+
+
+def test_groups_compared_in_one_task_or_dealt_out(spark, monkeypatch):
+    """Small groups are compared a row a member, larger ones a row an n-gram: the rows are the same."""
+    rng = random.Random(47)
+    line = sentence(rng, 44)
+    rows = [(i, around(rng, sentence(rng, 8), line, sentence(rng, 8))) for i in range(12)]
+    passage = sentence(rng, 12)
+    rows[5:7] = [(i, around(rng, sentence(rng, 8), line, passage)) for i in (5, 6)]
+    op = with_signatures(spark, monkeypatch, [(7, i, 28) for i, _ in rows])
+    dealt, near = [], substrings._near_grams
+    monkeypatch.setattr(substrings, "_near_grams", lambda *of: dealt.append(1) or near(*of))
+    small = op(documents(spark, rows)).collect()
+    assert not dealt and {(5, 6), (6, 5)} == {(r.doc_id, r.other_id) for r in small}
+    monkeypatch.setattr(substrings, "GROUP_MEMBERS", 3)
+    assert sorted(map(tuple, op(documents(spark, rows)).collect())) == sorted(map(tuple, small)) and dealt
+
+
+def test_shuffle_files_go_with_the_query_that_wrote_them(spark, monkeypatch):
+    """A stored table leaves no shuffle files behind, and the session's setting stays."""
+    held = []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, write=DataFrameWriter.parquet: (
+        held.append(spark.conf.get(session.SHUFFLE_CLEANUP)), write(self, path)
+    ))
+    before = spark.conf.get(session.SHUFFLE_CLEANUP)
+    table = session.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert held == ["true"] and spark.conf.get(session.SHUFFLE_CLEANUP) == before and table.count() == 7
+    session.unstage(table)
