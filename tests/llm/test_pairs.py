@@ -575,7 +575,7 @@ def test_groups_compared_in_one_task_or_dealt_out(spark, monkeypatch):
 
 
 def test_shuffle_files_go_with_the_query_that_wrote_them(spark, monkeypatch):
-    """A stored table leaves no shuffle files behind, and the session's setting stays."""
+    """A table is stored with the setting that removes its shuffle files, and the session's own setting stays."""
     held = []
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, write=DataFrameWriter.parquet: (
         held.append(spark.conf.get(session.SHUFFLE_CLEANUP)), write(self, path)
