@@ -245,6 +245,40 @@ def test_singular_vectors_are_those_of_the_matrix(spark):
     assert np.allclose(got[:6], exact[:6], rtol=0.02) and np.allclose(values[:6], exact[:6], rtol=0.02)
 
 
+def test_singular_vectors_are_fitted_on_all_documents(spark):
+    rng = random.Random(21)
+    topics = [sentence(rng, 12) for _ in range(5)]
+    rows = [(i, " ".join(rng.choice(topics[i % 4]) for _ in range(10))) for i in range(8400)]
+    # The last topic is in one document that has no id, and in one of several stored rows.
+    rows += [(None, " ".join(topics[4] * 200)), (9000, " ".join(topics[4] * 6000))]
+    docs = documents(spark, rows).select("doc_id", "text")
+    weights = decontaminate.inverse_frequencies(docs)
+    found, values = decontaminate.singular_vectors(docs, weights)
+    hashes, first, *_ = words.word_hashes([text for _, text in rows])
+    passage, buckets, counts, n = decontaminate._passages(hashes, first)
+    assert docs.count() == 8402 and n == 8400 + 38 + 1125
+    kinds, own = np.unique(buckets, return_inverse=True)
+    matrix = np.zeros((n, len(kinds)))
+    matrix[passage, own] = counts * weights[buckets]
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    exact = np.linalg.svd(matrix, full_matrices=False)[1]
+    got = np.sort(np.linalg.norm(matrix @ found[kinds], axis=0))[::-1]
+    assert np.allclose(got[:8], exact[:8], rtol=0.01) and np.allclose(values[:8], exact[:8], rtol=0.01)
+
+
+def test_sums_of_rows(monkeypatch):
+    rng = np.random.default_rng(4)
+    table = rng.standard_normal((50, 7)).astype(np.float32)
+    for sizes in ([3, 0, 1, 300, 2, 2, 0], [0, 0], [], [5] * 90):
+        index, value = (rng.integers(0, 50, sum(sizes)), rng.random(sum(sizes)).astype(np.float32))
+        ends = np.cumsum(sizes, dtype=int)
+        want = [(table[index[e - k : e]] * value[e - k : e, None]).sum(axis=0) for e, k in zip(ends, sizes, strict=True)]
+        for gathered in (1, 16, 4096):
+            monkeypatch.setattr(decontaminate, "GATHERED", gathered)
+            got = decontaminate._sums(table, index, value, np.array(sizes, int))
+            assert got.shape == (len(sizes), 7) and np.allclose(got, np.reshape(want, (-1, 7)), atol=1e-4)
+
+
 def shifted(rng, words, every):
     """The words with one inserted or deleted, in turn, at every so many."""
     out = []
