@@ -8,6 +8,7 @@ from llm.fixtures import DOCUMENTS, documents, edited, sentence
 from llm.test_pairs import brute_components
 
 import corpus_pipeline
+from tamarack.llm import decontaminate
 from tamarack.session import fresh_path
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -35,6 +36,22 @@ def tables(spark):
     return root
 
 
+def test_decontamination_fits_all_documents(spark, monkeypatch):
+    root, seen, fit = fresh_path(spark, "tables"), [], decontaminate.singular_vectors
+    spark.createDataFrame([(1, "s t u v w x y z")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+
+    def fitted(*args):
+        seen.append(fit(*args)[1][0])
+        return fit(*args)
+
+    monkeypatch.setattr(decontaminate, "singular_vectors", fitted)
+    docs = documents(spark, [(i, "one text in all of them") for i in range(8400)] + [(8400, "r s t u v w x y z")])
+    kept = corpus_pipeline.drop_leaks(spark, docs, root)
+    assert {r.doc_id for r in kept.collect()} == set(range(8400))
+    # Equal passages, each of length one: their singular value tells how many there are.
+    assert len(seen) == 1 and round(seen[0] ** 2) == 8400
+
+
 def test_stages_on_their_own_input(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     names = [name for name, _ in corpus_pipeline.STAGES]
